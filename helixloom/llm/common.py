@@ -31,6 +31,12 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(text_of(col), UPPER, UPPER.lower())
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once for each row however often body uses it, also within its lambdas, and
+    wherever the optimizer moves the expression (a column of an earlier projection can be copied into a lambda)."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset
     on a local master."""

@@ -10,26 +10,78 @@ is replaced. Only DataFrame functions are used, each row is judged on its own, a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, WS_RE, text_of, words_of
+from .common import WS_CHARS, let, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
+
+def _repeat_words(words: Column) -> Column:
+    """Words covered by windows of WINDOW words that occur more than once in the text."""
+    zero = F.lit(0).cast("bigint")
+
+    def windows(h: Column) -> Column:
+        at = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])
+        return F.when(F.size(h) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), at)).otherwise(F.array().cast("array<bigint>"))
+
+    def repeated(s: Column) -> Column:
+        """Places, ascending, of the windows in s (sorted by hash, then place) that equal a neighbour."""
+        same = lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"]))
+
+    def covered(at: Column) -> Column:
+        each = F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - p, F.lit(WINDOW))))
+        return F.aggregate(each, zero, lambda a, x: a + x)
+
+    def total(win: Column) -> Column:
+        # Most texts repeat nothing; only the others are sorted.
+        twice = F.size(F.array_distinct(win)) < F.size(win)
+        pairs = F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(twice, let(pairs, lambda s: let(repeated(s), covered))).otherwise(zero)
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), total))
+
+
+def _measures(text: Column) -> Column:
+    length = lambda c: F.length(c).cast("bigint")
+    without = lambda t, chars: length(t) - length(F.translate(t, chars, ""))
+
+    def of(t: Column) -> Column:
+        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, WS_CHARS, "")) > 0)
+        by_line = let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup")))
+        by_word = let(words_of(t), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeat_words(w).alias("repeat")))
+        named = lambda x, y: F.struct(
+            y["n"].alias("n_words"),
+            length(F.translate(t, WS_CHARS, "")).alias("word_chars"),
+            without(t, SYMBOLS).alias("n_symbols"),
+            x["n"].alias("n_lines"),
+            x["dup"].alias("n_dup_lines"),
+            y["repeat"].alias("n_repeat_words"),
+            F.regexp_count(t, F.lit(r"\p{Lu}")).cast("bigint").alias("n_upper"),
+            without(t, "!").alias("n_exclaim"),
+        )
+        return let(by_line, lambda x: let(by_word, lambda y: named(x, y)))
+
+    return let(text_of(text), of)
+
+
 #: Rules in bit order; each is a failure condition over the measurements.
-RULES: dict[str, str] = {
-    "few_words": "n_words < 20",
-    "repeated_windows": "100 * n_repeat_words > 30 * n_words",
-    "word_length": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)",
-    "symbols": "4 * n_symbols > n_words AND n_words > 0",
-    "capitals": "10 * n_upper > 6 * word_chars AND n_words > 0",
-    "exclamations": "2 * n_exclaim > n_words AND n_words > 0",
-    "duplicate_lines": "n_lines >= 4 AND 2 * n_dup_lines > n_lines",
+RULES: dict[str, Callable[[Column], Column]] = {
+    "few_words": lambda m: m["n_words"] < 20,
+    "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"],
+    "word_length": lambda m: (m["n_words"] > 0) & ((m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
+    "symbols": lambda m: 4 * m["n_symbols"] > m["n_words"],
+    "capitals": lambda m: 10 * m["n_upper"] > 6 * m["word_chars"],
+    "exclamations": lambda m: 2 * m["n_exclaim"] > m["n_words"],
+    "duplicate_lines": lambda m: (m["n_lines"] >= 4) & (2 * m["n_dup_lines"] > m["n_lines"]),
 }
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaim")
 
 
 @dataclass(frozen=True)
@@ -49,60 +101,16 @@ STRICT = Policy("strict-1", tuple(RULES))
 POLICIES = {p.version: p for p in (BASE, STRICT)}
 
 
-def _repeat_words(df: DataFrame, words: str) -> DataFrame:
-    """Add _q_repeat: words covered by windows of WINDOW words that occur more than once in the row's text."""
-    n = F.size(words)
-    df = df.withColumn("_q_hash", F.transform(words, lambda w: F.xxhash64(w)))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size("_q_hash") - WINDOW),
-        lambda i: F.xxhash64(*[F.get(F.col("_q_hash"), i + k) for k in range(WINDOW)]),
-    )
-    df = df.withColumn("_q_win", F.when(n >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
-    # Most texts repeat nothing; only the others are sorted.
-    twice = F.size(F.array_distinct("_q_win")) < F.size("_q_win")
-    pairs = F.sort_array(F.transform("_q_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_q_sorted", F.when(twice, pairs))
-    s = F.col("_q_sorted")
-    near = lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
-    df = df.withColumn("_q_at", F.sort_array(F.transform(F.filter(s, near), lambda x: x["i"])))
-    covered = F.transform("_q_at", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_q_at"), k + 1) - p, F.lit(WINDOW))))
-    total = F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return df.withColumn("_q_repeat", F.coalesce(total, F.lit(0).cast("bigint")))
-
-
 def ledger(df: DataFrame, text: str = "text", out: str = "ledger") -> DataFrame:
     """df with column `out`: struct of the measurements (long) and fail_bits (long)."""
-    keep = [c for c in df.columns if c != out]
-    t = text_of(F.col(text))
-    work = df.select(*[F.col(f"`{c}`") for c in keep], t.alias("_q_text"), words_of(F.col(text)).alias("_q_words"))
-    lines = F.filter(F.split("_q_text", "\n"), lambda x: F.length(F.translate(x, WS_CHARS, "")) > 0)
-    work = work.withColumn("_q_lines", lines)
-    work = _repeat_words(work, "_q_words")
-    length = lambda c: F.length(c).cast("bigint")
-    raw = F.col("_q_text")
-    measures: dict[str, Column] = {
-        "n_words": F.size("_q_words").cast("bigint"),
-        "word_chars": length(F.translate(raw, WS_CHARS, "")),
-        "n_symbols": length(raw) - length(F.translate(raw, SYMBOLS, "")),
-        "n_lines": F.size("_q_lines").cast("bigint"),
-        "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("bigint"),
-        "n_repeat_words": F.col("_q_repeat"),
-        "n_upper": F.regexp_count(raw, F.lit(r"\p{Lu}")).cast("bigint"),
-        "n_exclaim": length(raw) - length(F.translate(raw, "!", "")),
-    }
-    work = work.select(*[F.col(f"`{c}`") for c in keep], F.struct(*[m.alias(k) for k, m in measures.items()]).alias("_q_m"))
-    bits = F.lit(0).cast("bigint")
-    for bit, rule in enumerate(RULES.values()):
-        for name in sorted(measures, key=len, reverse=True):
-            rule = _qualified(rule, name)
-        bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
-    return work.select(*[F.col(f"`{c}`") for c in keep], F.struct(F.col("_q_m.*"), bits.alias("fail_bits")).alias(out))
-
-
-def _qualified(rule: str, name: str) -> str:
-    import re
-
-    return re.sub(rf"(?<![\w.]){name}(?!\w)", f"_q_m.{name}", rule)
+
+    def entry(m: Column) -> Column:
+        bits = F.lit(0).cast("bigint")
+        for bit, rule in enumerate(RULES.values()):
+            bits = bits.bitwiseOR(F.when(rule(m), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
+        return F.struct(*[m[c].alias(c) for c in MEASURES], bits.alias("fail_bits"))
+
+    return df.withColumn(out, let(_measures(F.col(f"`{text}`")), entry))
 
 
 def kept(policy: Policy, out: str = "ledger") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, license_scan, mixing, packing, quality_rules, secret_scan, url_filters
+from . import exact_topk, html_text, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, url_filters
 from .common import table
 
 
@@ -24,6 +24,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    return pages.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.size(lines).cast("bigint").alias("n_lines"), "text")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filters.judge(pages, url_filters.HOST_RULES + url_filters.KEYWORD_RULES)
@@ -47,6 +53,22 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(vectors.filter(F.col("id") % 50 == 0), vectors, k=5)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join(docs, width=4, num=85, den=100).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dropped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("row.key").alias("doc_id"),
+        F.col("line_no").cast("bigint").alias("line_no"),
+        "kind",
+        F.col("kept.row.key").alias("kept_doc_id"),
+        F.col("kept.line_no").cast("bigint").alias("kept_line_no"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("secrets.base")
