@@ -8,10 +8,11 @@ How the index is spread: sets of sizes a and b at the threshold differ in at mos
 shingles, and every such shingle changes one group. So of the first D + 1 non-empty groups of either set, one at least is
 the same in both, not only in count but in content. Documents are therefore dealt to cells (size class, group, content of
 the group) for those groups, and only documents that meet in a cell can be linked. Within a cell documents are compared
-with its smallest one first (a star, not all pairs): members of large families of copies are linked so. Where comparisons
-failed, the families involved are gathered into clusters, and R-trees over blocks of a cluster find the links that are
-left: blocks hold BLOCK documents at most, documents of the largest family only serve as the trees' points, and pairs
-that are in one component already are skipped. No link between different components is lost, and no cap is set.
+with its first one first (a star, not all pairs): points by the bound, then sets where the bound allows it. Members of
+large families of copies are linked so. Cells in which that leaves several families are gone through again, one of each
+set of members: R-trees over blocks of BLOCK members find the links that are left, where members of the cell's largest
+family only serve as points and pairs of one family are skipped. No link between different components is lost, and no
+cap is set.
 
 Hashes of shingles have 64 bits and fingerprints of sets 128; equal hashes count as equal shingles.
 
@@ -127,13 +128,14 @@ def _points(df: DataFrame, key: str, text: str, width: int, num: int, den: int,
                 h = shingle_set(t, width)
                 own, weak = cells(h, num, den, scale)
                 a, c = _mix(h, 17).sum(dtype=np.uint64), _mix(h, 19).sum(dtype=np.uint64)
-                rows.append((len(h), int(a.view(np.int64)), int(c.view(np.int64)), weak, _signed(own)))
-            b[["n", "f1", "f2", "weak", "cells"]] = pd.DataFrame(rows, columns=["n", "f1", "f2", "weak", "cells"], index=b.index)
+                rows.append((len(h), int(a.view(np.int64)), int(c.view(np.int64)), weak, stored(point(h)), _signed(own)))
+            names = ["n", "f1", "f2", "weak", "pt", "cells"]
+            b[names] = pd.DataFrame(rows, columns=names, index=b.index)
             yield b
 
     kind = dict(df.dtypes)[key]
     slim = df.select(F.col(f"`{key}`").alias("id"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("th"), F.col(f"`{text}`").cast("string").alias("t"))
-    return slim.mapInPandas(hashed, f"id {kind}, th long, n long, f1 long, f2 long, weak boolean, cells array<long>")
+    return slim.mapInPandas(hashed, f"id {kind}, th long, n long, f1 long, f2 long, weak boolean, pt binary, cells array<long>")
 
 
 class PointTree:
@@ -167,51 +169,61 @@ def point(h: np.ndarray) -> np.ndarray:
     return np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=DIMS)
 
 
+def stored(p: np.ndarray) -> bytes:
+    """A point in as few bytes as its largest coordinate allows."""
+    return p.astype(np.uint8 if p.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def loaded(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8 if len(raw) == DIMS else np.uint32).astype(np.int64)
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _verify(num: int, den: int):
+def _bounded(num: int, den: int):
+    """Pairs (a, b) with whether their points allow the threshold."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            good = []
+            near = []
             for x, y in zip(b["x"], b["y"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                bound = int(np.minimum(point(x), point(y)).sum())
-                good.append((num + den) * bound >= num * (len(x) + len(y)) and linked(x, y, num, den))
+                x, y = loaded(x), loaded(y)
+                near.append((num + den) * int(np.minimum(x, y).sum()) >= num * int(x.sum() + y.sum()))
+            yield pd.DataFrame({"a": b["a"], "b": b["b"], "near": near})
+
+    return run
+
+
+def _verify(num: int, den: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            good = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), num, den) for x, y in zip(b["x"], b["y"])]
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "good": good})
 
     return run
 
 
 def _join_block(num: int, den: int):
-    """Links between the queries and the tree points of the blocks of one bucket, pairs of one component aside."""
+    """Pairs of a query and a tree point of another family whose bound allows the threshold, block by block of a bucket."""
 
     def run(queries: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        trees = dict(list(tree.groupby(["cluster", "tb", "qb"])))
-        for k, qs in queries.groupby(["cluster", "tb", "qb"]):
+        out_a, out_b = [], []
+        trees = dict(list(tree.groupby(["cell", "tb", "qb"])))
+        for k, qs in queries.groupby(["cell", "tb", "qb"]):
             if k not in trees:
                 continue
             ts = trees[k]
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in ts["h"]]
-            index, family = PointTree(np.stack([point(s) for s in sets]), num, den), ts["comp"].to_numpy()
-            root: dict[int, int] = {}
-
-            def top(c: int, root: dict[int, int] = root) -> int:
-                while root.get(c, c) != c:
-                    c = root[c]
-                return c
-
-            for comp, raw in zip(qs["comp"], qs["h"]):
-                h = np.frombuffer(raw, dtype=np.uint64)
-                for j in index.near(point(h)):
-                    a, b = top(int(comp)), top(int(family[j]))
-                    if a != b and linked(h, sets[j], num, den):
-                        root[max(a, b)] = min(a, b)
-                        out.append((int(comp), int(family[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            index, family, node = PointTree(np.stack([loaded(x) for x in ts["pt"]]), num, den), ts["comp"].to_numpy(), ts["node"].to_numpy()
+            for own, comp, raw in zip(qs["node"], qs["comp"], qs["pt"]):
+                at = index.near(loaded(raw))
+                at = at[family[at] != comp]
+                out_a.append(np.full(len(at), own))
+                out_b.append(node[at])
+        none = [np.empty(0, dtype=np.int64)]
+        return pd.DataFrame({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
 
     return run
 
@@ -235,64 +247,77 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
     """
     scale = 1
     while True:
-        rows = written(_points(df, key, text, width, num, den, scale), "points")
+        rows = written(_points(df, key, text, width, num, den, scale).withColumn("uid", F.monotonically_increasing_id()), "points")
         if not rows.filter("weak").limit(1).count():
             break
         scale *= 2  # some set fills too few groups for the cells to be sure: deal all into more
-    nodes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()).select("node", "f1", "f2", F.struct("first.id", "first.th").alias("row")), "nodes")
-
-    met = rows.filter("n > 0").select("f1", "f2", "cells").join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("node", F.explode("cells").alias("cell"))
-    stars = met.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z")
-    stars = written(stars.select("cell", "a"), "cells")
-    pairs = written(met.join(stars, "cell").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # Equal sets are one node, named by the first row that has it.
+    slim = rows.select("uid", "id", "th", "n", "f1", "f2").filter("n > 0")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    nodes = slim.groupBy("f1", "f2").agg(F.min("uid").alias("node"), F.min(order).alias("first"))
+    nodes = written(nodes.select("node", "f1", "f2", F.struct("first.id", "first.th").alias("row")), "nodes")
+    who = written(rows.filter("n > 0").select("uid", "f1", "f2", "pt").join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("uid", "node", "pt"), "who")
+
+    met = rows.select("uid", F.explode("cells").alias("cell"))
+    several = met.groupBy("cell").agg(F.min("uid").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    meets = written(met.join(several, "cell").filter("uid <> a"), "meets")
+    a, b = who.select(F.col("uid").alias("a"), F.col("node").alias("na"), F.col("pt").alias("x")), who.select("uid", F.col("node").alias("nb"), F.col("pt").alias("y"))
+    pairs = meets.select("a", "uid").distinct().join(b, "uid").join(a, "a").filter("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b"), "x", "y")
+    bounded = written(pairs.mapInPandas(_bounded(num, den), "a long, b long, near boolean").distinct(), "bounded")
+    close = bounded.filter("near").select("a", "b")
+    some = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
     sets = _sets(df, key, text, width, nodes.select("node", "row").join(some, "node"))
-
     x, y = sets.select(F.col("node").alias("a"), F.col("h").alias("x")), sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
-    judged = written(pairs.join(y, "b").join(x, "a").mapInPandas(_verify(num, den), "a long, b long, good boolean"), "judged")
-    family = written(components(judged.filter("good").select("a", "b")), "families")
-    member = some.join(family, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    member = written(member, "members")
-    more = _left_over(judged.filter("NOT good").select("a", "b"), member, sets, num, den)
+    good = close.join(y, "b").join(x, "a").mapInPandas(_verify(num, den), "a long, b long, good boolean").filter("good").select("a", "b")
+    good = written(good, "good")
+    family = components(good)
+
+    more = _left_over(df, key, text, width, meets, who, nodes, bounded, family, num, den)
     if more is not None:
-        over = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("over"))
-        member = written(member.join(over, "comp", "left").select("node", F.coalesce("over", "comp").alias("comp")), "members")
+        family = components(good.unionByName(more))
 
     # Each component's first row; nodes that met no other are their own.
-    named = nodes.join(member, "node", "left").select("f1", "f2", "row", F.coalesce("comp", "node").alias("comp"))
+    named = nodes.join(family, "node", "left").select("f1", "f2", "row", F.coalesce("comp", "node").alias("comp"))
     order = F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), F.col("row.th").alias("th"))
     heads = named.groupBy("comp").agg(F.min(order).alias("head"))
     told = named.join(heads, "comp").select("f1", "f2", "head")
-    slim = rows.select("id", "th", "n", "f1", "f2")
-    full = slim.filter("n > 0").join(told, ["f1", "f2"]).select("id", "th", F.col("n").alias("n_shingles"), F.col("head.id").alias("component_id"), F.struct("head.id", "head.th").alias("keeper"))
-    empty = slim.filter("n = 0").select("id", "th", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.struct("id", "th").alias("keeper"))
+    full = slim.join(told, ["f1", "f2"]).select("id", "th", F.col("n").alias("n_shingles"), F.col("head.id").alias("component_id"), F.struct("head.id", "head.th").alias("keeper"))
+    empty = rows.filter("n = 0").select("id", "th", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.struct("id", "th").alias("keeper"))
     return full.unionByName(empty)
 
 
-def _left_over(failed: DataFrame, member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
-    """Links (a, b) between families, among those that met in a cell but whose star does not tie them together."""
-    a = member.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    b = member.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    apart = failed.join(a, "a").join(b, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    apart = written(apart, "apart")
-    if not apart.limit(1).count():
+def _left_over(df: DataFrame, key: str, text: str, width: int, meets: DataFrame, who: DataFrame, nodes: DataFrame, bounded: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame | None:
+    """Links (a, b) between families that met in a cell but are not tied together by its star."""
+    ids = who.select("uid", "node")
+    here = meets.join(ids, "uid").select("cell", "a", "node").distinct()
+    # Cells of the same members are one; of two members, the star has compared all there is.
+    alike = here.groupBy("cell", "a").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2")).filter("n > 1")
+    cells_ = alike.groupBy("a", "n", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell")
+    spots = here.join(cells_, "cell").select("cell", "node").join(family, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
+    spots = written(spots, "spots")
+    mixed = spots.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cell")
+    spots = written(spots.join(mixed, "cell"), "mixed")
+    total = spots.count()
+    if not total:
         return None
-    cluster = components(apart).select(F.col("node").alias("comp"), F.col("comp").alias("cluster"))
-    spots = written(member.join(cluster, "comp"), "clusters")
-    sizes = spots.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
-    largest = largest.select("cluster", F.col("top.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("tbs"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("qbs"))
-    full = spots.join(largest, "cluster").join(sets, "node")
+    sizes = spots.groupBy("cell", "comp").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cell").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    largest = largest.select("cell", F.col("top.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("tbs"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("qbs"))
+    points = who.groupBy("node").agg(F.first("pt").alias("pt"))
+    full = spots.join(largest, "cell").join(points, "node")
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
-    total = spots.count()
-    buckets = max(1, -(-total // BLOCK))
-    bucket = F.pmod(F.xxhash64("cluster", "tb", "qb"), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64("cell", "tb", "qb"), F.lit(max(1, -(-total // BLOCK))))
     q = full.filter("comp <> top").withColumn("qb", block("qbs", 1)).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("tbs") - 1)))
     t = full.withColumn("tb", block("tbs", 2)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
-    cols = [bucket.alias("bucket"), *[F.col(c).alias(c) for c in ("cluster", "tb", "qb", "comp", "h")]]  # new names for either side
+    cols = [bucket.alias("bucket"), *[F.col(c).alias(c) for c in ("cell", "tb", "qb", "node", "comp", "pt")]]  # new names for either side
     found = q.select(*cols).groupBy("bucket").cogroup(t.select(*cols).groupBy("bucket")).applyInPandas(_join_block(num, den), "a long, b long")
-    return written(found, "late")
+    near = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    done = bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = written(near.join(done, ["a", "b"], "left_anti"), "late")
+    some = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    sets = _sets(df, key, text, width, nodes.select("node", "row").join(some, "node"))
+    x, y = sets.select(F.col("node").alias("a"), F.col("h").alias("x")), sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
+    return written(near.join(y, "b").join(x, "a").mapInPandas(_verify(num, den), "a long, b long, good boolean").filter("good").select("a", "b"), "links")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
