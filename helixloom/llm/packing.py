@@ -13,6 +13,7 @@ empty result. Columns of the input other than the key and the text are not carri
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,9 @@ from .common import written
 
 CAPACITY = 4096
 GROUP_TOKENS = 512 * 1024
+CACHE = 400_000
 _LOADED: dict = {}
+_WORDS: dict[str, dict[str, bytes]] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -44,26 +47,42 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
-def encode(texts: list[str], path: str) -> list[list[int]]:
+def _encoded(texts: list[str], path: str) -> list[bytes]:
     t = _tokenizer(path)
     fast = getattr(t, "encode_batch_fast", t.encode_batch)
-    return [e.ids for e in fast(texts, add_special_tokens=False)]
+    return [array("I", e.ids).tobytes() for e in fast(texts, add_special_tokens=False)]
 
 
-def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def encode(texts: list[str], path: str, by_words: bool = True) -> list[bytes]:
+    """Ids of each text, as native 32-bit integers. by_words: each word is encoded once and remembered, up to CACHE words
+    in a worker; right for tokenizers that drop white space, whose ids of a text are those of its words in turn."""
+    if not by_words:
+        return _encoded(texts, path)
+    known = _WORDS.setdefault(path, {})
+    if len(known) > CACHE:
+        known.clear()
+    split = [t.replace("\n", " ").split(" ") for t in texts]
+    new = list(set().union(*split) - known.keys())
+    known.update(zip(new, _encoded(new, path)))
+    return [b"".join(map(known.__getitem__, ws)) for ws in split]
+
+
+def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False, by_words: bool = True) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens[, ids binary]): documents cut into pieces, one row for each."""
     path = path or tokenizer_path()
+    end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 64):
                 part = b.iloc[lo : lo + 64]
                 rows = []
-                for k, ids in zip(part["k"], encode(["" if t is None else t for t in part["t"]], path)):
-                    a = np.asarray([*ids, end_id], dtype="<u4")
-                    for s in range(0, len(a), capacity):
-                        raw = a[s : s + capacity].tobytes()
-                        rows.append((k, s, len(raw) // 4, zlib.crc32(raw), len(a), *([raw] if with_ids else [])))
+                for k, ids in zip(part["k"], encode(["" if t is None else t for t in part["t"]], path, by_words)):
+                    ids += end
+                    n = len(ids) // 4
+                    for s in range(0, n, capacity):
+                        raw = ids[4 * s : 4 * (s + capacity)]
+                        rows.append((k, s, len(raw) // 4, zlib.crc32(raw), n, *([raw] if with_ids else [])))
                 out = pd.DataFrame(rows, columns=["k", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
                 out["k"] = out["k"].astype(b["k"].dtype)
                 yield out
