@@ -270,11 +270,11 @@ def render(html: str) -> str:
     return canvases[0].result()
 
 
-@F.pandas_udf("string")
 def _rendered(html: pd.Series) -> pd.Series:
     return html.map(lambda x: None if x is None else render(x))
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """df with column `out`: the visible text of the page; a column of that name is replaced."""
-    return df.withColumn(out, _rendered(F.col(f"`{html}`").cast("string")))
+    rendered = F.pandas_udf(_rendered, "string")
+    return df.withColumn(out, rendered(F.col(f"`{html}`").cast("string")))
