@@ -36,7 +36,7 @@ from .components import components
 
 BLOCK = 1024
 MANY_GROUPS_BELOW = 16
-DIMS = 64
+LEAST_DIMS, MOST_DIMS = 64, 1 << 16
 LEAF = 16
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -166,16 +166,30 @@ class PointTree:
 
 
 def point(h: np.ndarray) -> np.ndarray:
-    return np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=DIMS)
+    """Counts by the leading bits of the hashes; two to four groups a shingle, so that the bound stays tight for any size."""
+    bits = int(np.clip(4 * len(h), LEAST_DIMS, MOST_DIMS)).bit_length() - 1
+    return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def folded(p: np.ndarray, dims: int) -> np.ndarray:
+    """The point of the same set with fewer groups: each is a run of the old ones."""
+    return p if len(p) == dims else p.reshape(dims, -1).sum(axis=1)
+
+
+def bound(x: np.ndarray, y: np.ndarray) -> int:
+    """Most shingles that two sets can share."""
+    dims = min(len(x), len(y))
+    return int(np.minimum(folded(x, dims), folded(y, dims)).sum())
 
 
 def stored(p: np.ndarray) -> bytes:
-    """A point in as few bytes as its largest coordinate allows."""
-    return p.astype(np.uint8 if p.max(initial=0) < 256 else np.uint32).tobytes()
+    """A point in as few bytes as its largest coordinate allows, after a byte that tells how many."""
+    small = p.max(initial=0) < 256
+    return bytes([1 if small else 4]) + p.astype(np.uint8 if small else np.uint32).tobytes()
 
 
 def loaded(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.uint8 if len(raw) == DIMS else np.uint32).astype(np.int64)
+    return np.frombuffer(raw, dtype=np.uint8 if raw[0] == 1 else np.uint32, offset=1).astype(np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -191,7 +205,7 @@ def _bounded(num: int, den: int):
             near = []
             for x, y in zip(b["x"], b["y"]):
                 x, y = loaded(x), loaded(y)
-                near.append((num + den) * int(np.minimum(x, y).sum()) >= num * int(x.sum() + y.sum()))
+                near.append((num + den) * bound(x, y) >= num * int(x.sum() + y.sum()))
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "near": near})
 
     return run
@@ -206,24 +220,34 @@ def _verify(num: int, den: int):
     return run
 
 
-def _join_block(num: int, den: int):
-    """Pairs of a query and a tree point of another family whose bound allows the threshold, block by block of a bucket."""
+def _join_block(num: int, den: int, most: int):
+    """For each query of a block, tree points of other families whose bound allows the threshold, `most` at once, largest
+    bounds first; `cut` tells that there are more."""
 
     def run(queries: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [], []
+        out: dict[str, list] = {"cell": [], "a": [], "b": [], "cut": []}
         trees = dict(list(tree.groupby(["cell", "tb", "qb"])))
         for k, qs in queries.groupby(["cell", "tb", "qb"]):
             if k not in trees:
                 continue
             ts = trees[k]
-            index, family, node = PointTree(np.stack([loaded(x) for x in ts["pt"]]), num, den), ts["comp"].to_numpy(), ts["node"].to_numpy()
+            points = [loaded(x) for x in ts["pt"]]
+            dims = min(min(len(p) for p in points), min(x[0] and (len(x) - 1) // x[0] for x in qs["pt"]))
+            points = np.stack([folded(p, dims) for p in points])
+            index, family, node = PointTree(points, num, den), ts["comp"].to_numpy(), ts["node"].to_numpy()
             for own, comp, raw in zip(qs["node"], qs["comp"], qs["pt"]):
-                at = index.near(loaded(raw))
+                q = loaded(raw)
+                q = folded(q, dims)
+                at = index.near(q)
                 at = at[family[at] != comp]
-                out_a.append(np.full(len(at), own))
-                out_b.append(node[at])
+                share = np.minimum(points[at], q).sum(axis=1) / (points[at].sum(axis=1) + q.sum())
+                first = at[np.lexsort((node[at], -share))][:most]
+                out["cell"].append(np.full(len(first), k[0]))
+                out["a"].append(np.full(len(first), own))
+                out["b"].append(node[first])
+                out["cut"].append(np.full(len(first), len(at) > most))
         none = [np.empty(0, dtype=np.int64)]
-        return pd.DataFrame({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
+        return pd.DataFrame({c: np.concatenate(v or none) for c, v in out.items()}).astype({"cut": bool})
 
     return run
 
@@ -240,6 +264,14 @@ def _sets(df: DataFrame, key: str, text: str, width: int, wanted: DataFrame) ->
     return written(one.mapInPandas(hashed, "node long, h binary"), "sets")
 
 
+def _judged(df: DataFrame, key: str, text: str, width: int, pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, good): pairs of nodes, verified on their sets."""
+    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(df, key, text, width, nodes.select("node", "row").join(some, "node"))
+    x, y = sets.select(F.col("node").alias("a"), F.col("h").alias("x")), sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
+    return pairs.join(y, "b").join(x, "a").mapInPandas(_verify(num, den), "a long, b long, good boolean")
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, th, n_shingles, component_id, keeper): one row for each row of df; linked where den * |A and B| >= num * |A or B|.
 
@@ -265,14 +297,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
     pairs = meets.select("a", "uid").distinct().join(b, "uid").join(a, "a").filter("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b"), "x", "y")
     bounded = written(pairs.mapInPandas(_bounded(num, den), "a long, b long, near boolean").distinct(), "bounded")
     close = bounded.filter("near").select("a", "b")
-    some = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    sets = _sets(df, key, text, width, nodes.select("node", "row").join(some, "node"))
-    x, y = sets.select(F.col("node").alias("a"), F.col("h").alias("x")), sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
-    good = close.join(y, "b").join(x, "a").mapInPandas(_verify(num, den), "a long, b long, good boolean").filter("good").select("a", "b")
-    good = written(good, "good")
+    good = written(_judged(df, key, text, width, close, nodes, num, den).filter("good").select("a", "b"), "good")
     family = components(good)
 
-    more = _left_over(df, key, text, width, meets, who, nodes, bounded, family, num, den)
+    more = _left_over(df, key, text, width, meets, who, nodes, bounded, good, family, num, den)
     if more is not None:
         family = components(good.unionByName(more))
 
@@ -286,38 +314,50 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
     return full.unionByName(empty)
 
 
-def _left_over(df: DataFrame, key: str, text: str, width: int, meets: DataFrame, who: DataFrame, nodes: DataFrame, bounded: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame | None:
+def _left_over(df: DataFrame, key: str, text: str, width: int, meets: DataFrame, who: DataFrame, nodes: DataFrame, bounded: DataFrame, good: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame | None:
     """Links (a, b) between families that met in a cell but are not tied together by its star."""
     ids = who.select("uid", "node")
     here = meets.join(ids, "uid").select("cell", "a", "node").distinct()
     # Cells of the same members are one; of two members, the star has compared all there is.
     alike = here.groupBy("cell", "a").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2")).filter("n > 1")
     cells_ = alike.groupBy("a", "n", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell")
-    spots = here.join(cells_, "cell").select("cell", "node").join(family, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
-    spots = written(spots, "spots")
-    mixed = spots.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cell")
-    spots = written(spots.join(mixed, "cell"), "mixed")
-    total = spots.count()
-    if not total:
-        return None
+    spots = written(here.join(cells_, "cell").select("cell", "node"), "spots")
+    points = written(who.groupBy("node").agg(F.first("pt").alias("pt")), "nodepoints")
+    done = bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links, most = None, 1
+    while True:
+        now = spots.join(family, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
+        mixed = now.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cell")
+        now = written(now.join(mixed, "cell"), "mixed")
+        if not now.limit(1).count():
+            break
+        found = written(_near_in_blocks(now, points, num, den, most), "found")
+        near = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        near = written(near, "near")
+        new = written(_judged(df, key, text, width, near, nodes, num, den).filter("good").select("a", "b"), "links")
+        links = new if links is None else links.unionByName(new)
+        family = components(good.unionByName(links))
+        # Most queries are linked by now; those that are not, and had more points to try, try more of them.
+        done = done.unionByName(near)
+        if not found.filter("cut").limit(1).count():
+            break
+        spots = spots.join(found.filter("cut").select("cell").distinct(), "cell")
+        most *= 8
+    return links
+
+
+def _near_in_blocks(spots: DataFrame, points: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """(cell, a, b, cut) for spots (cell, node, comp): R-trees over blocks of a cell's members."""
     sizes = spots.groupBy("cell", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cell").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
     largest = largest.select("cell", F.col("top.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("tbs"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("qbs"))
-    points = who.groupBy("node").agg(F.first("pt").alias("pt"))
     full = spots.join(largest, "cell").join(points, "node")
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
-    bucket = F.pmod(F.xxhash64("cell", "tb", "qb"), F.lit(max(1, -(-total // BLOCK))))
+    bucket = F.pmod(F.xxhash64("cell", "tb", "qb"), F.lit(max(1, -(-spots.count() // BLOCK))))
     q = full.filter("comp <> top").withColumn("qb", block("qbs", 1)).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("tbs") - 1)))
     t = full.withColumn("tb", block("tbs", 2)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
     cols = [bucket.alias("bucket"), *[F.col(c).alias(c) for c in ("cell", "tb", "qb", "node", "comp", "pt")]]  # new names for either side
-    found = q.select(*cols).groupBy("bucket").cogroup(t.select(*cols).groupBy("bucket")).applyInPandas(_join_block(num, den), "a long, b long")
-    near = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = written(near.join(done, ["a", "b"], "left_anti"), "late")
-    some = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    sets = _sets(df, key, text, width, nodes.select("node", "row").join(some, "node"))
-    x, y = sets.select(F.col("node").alias("a"), F.col("h").alias("x")), sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
-    return written(near.join(y, "b").join(x, "a").mapInPandas(_verify(num, den), "a long, b long, good boolean").filter("good").select("a", "b"), "links")
+    return q.select(*cols).groupBy("bucket").cogroup(t.select(*cols).groupBy("bucket")).applyInPandas(_join_block(num, den, most), "cell long, a long, b long, cut boolean")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
