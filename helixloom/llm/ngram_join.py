@@ -82,8 +82,11 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 @lru_cache(maxsize=None)
 def size_classes(limit: int = 1 << 40) -> np.ndarray:
-    """First size of each class; sizes double from class to class."""
-    return np.array([1 << k for k in range(limit.bit_length())], dtype=np.int64)
+    """First size of each class; sizes grow by half from class to class."""
+    out = [1]
+    while out[-1] < limit:
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+    return np.array(out, dtype=np.int64)
 
 
 def most_apart(a: int, b: int, num: int, den: int) -> int:
@@ -105,7 +108,7 @@ def cells(h: np.ndarray, num: int, den: int, scale: int = 1) -> tuple[np.ndarray
         if top < MANY_GROUPS_BELOW:
             group, sums = h[:need], h[:need]
         else:
-            groups = int(np.ceil((most_apart(top, top, num, den) * 1.36 + 2 * top**0.5) * scale))
+            groups = int(np.ceil((most_apart(top, top, num, den) * 1.05 + 0.5 * top**0.5 + 3) * scale))
             of = ((h >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
             start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             weak |= len(start) < need and len(start) < n
@@ -166,8 +169,8 @@ class PointTree:
 
 
 def point(h: np.ndarray) -> np.ndarray:
-    """Counts by the leading bits of the hashes; two to four groups a shingle, so that the bound stays tight for any size."""
-    bits = int(np.clip(4 * len(h), LEAST_DIMS, MOST_DIMS)).bit_length() - 1
+    """Counts by the leading bits of the hashes; one shingle in one or two groups, so that the bound stays tight for any size."""
+    bits = int(np.clip(2 * len(h), LEAST_DIMS, MOST_DIMS)).bit_length() - 1
     return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
