@@ -56,16 +56,27 @@ def ploidy(chrom: Column, pos: Column, sex: Column) -> Column:
     return F.when(chrom == "Y", 1).when((chrom == "X") & F.coalesce(sex.startswith("XY"), F.lit(False)), F.when(in_par_x(pos), 2).otherwise(1)).otherwise(2)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def trim_alleles(pos: Column, ref: Column, alt: Column) -> Column:
     """struct(pos, ref, alt): shared suffix cut while both keep a base, then shared prefix cut."""
+
+    def without_suffix(n: Column) -> Column:
+        return F.struct(F.substring(ref, F.lit(1), F.length(ref) - n).alias("ref"), F.substring(alt, F.lit(1), F.length(alt) - n).alias("alt"))
+
+    def without_prefix(p: Column) -> Column:
+        r, a = p["ref"], p["alt"]
+        left = F.sequence(F.lit(0), F.least(F.length(r), F.length(a)))
+        shared = F.array_max(F.filter(left, lambda k: F.substring(r, F.lit(1), k) == F.substring(a, F.lit(1), k)))
+        return _let(shared, lambda n: F.struct((pos + n).cast("int").alias("pos"), F.substring(r, n + 1, F.length(r)).alias("ref"), F.substring(a, n + 1, F.length(a)).alias("alt")))
+
     shorter = F.least(F.length(ref), F.length(alt))
-    steps = F.sequence(F.lit(0), shorter)
     same_end = lambda k: F.substring(ref, F.length(ref) - k + 1, k) == F.substring(alt, F.length(alt) - k + 1, k)
-    suffix = F.array_max(F.filter(steps, lambda k: (k < shorter) & same_end(k)))
-    r, a = F.substring(ref, F.lit(1), F.length(ref) - suffix), F.substring(alt, F.lit(1), F.length(alt) - suffix)
-    left = F.sequence(F.lit(0), F.least(F.length(r), F.length(a)))
-    prefix = F.array_max(F.filter(left, lambda k: F.substring(r, F.lit(1), k) == F.substring(a, F.lit(1), k)))
-    return F.struct((pos + prefix).cast("int").alias("pos"), F.substring(r, prefix + 1, F.length(r)).alias("ref"), F.substring(a, prefix + 1, F.length(a)).alias("alt"))
+    suffix = F.array_max(F.filter(F.sequence(F.lit(0), shorter), lambda k: (k < shorter) & same_end(k)))
+    return _let(suffix, lambda n: _let(without_suffix(n), without_prefix))
 
 
 def complement(allele: Column) -> Column:

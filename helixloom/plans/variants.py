@@ -96,7 +96,8 @@ def _(t):
  UNION ALL SELECT chrom_order, pos, ref, alt, pos + 1, ref[2:], '' FROM fx_variants WHERE length(ref) = 3 AND ref[3] = alt[1]""")
 def _(t):
     x = A.trim_alleles(F.col("pos"), F.col("ref"), F.col("alt"))
-    return t.fx_variants.select("chrom_order", "pos", "ref", "alt", x.alias("x")).select("chrom_order", "pos", "ref", "alt", F.col("x.pos").alias("t_pos"), F.col("x.ref").alias("t_ref"), F.col("x.alt").alias("t_alt"))
+    rows = t.fx_variants.select("chrom_order", "pos", "ref", "alt", F.inline(F.array(x)).alias("t_pos", "t_ref", "t_alt"))
+    return rows
 
 
 @query("allele_classes", f"""SELECT chrom_order, pos, ref, alt, CASE WHEN length(ref) <> length(alt) THEN 'indel' WHEN length(ref) = 1 THEN 'snv' ELSE 'mnv' END AS kind,
