@@ -25,7 +25,7 @@ from .common import written
 
 CAPACITY = 4096
 GROUP_TOKENS = 512 * 1024
-CACHE = 400_000
+CACHE = 1_200_000
 _LOADED: dict = {}
 _WORDS: dict[str, dict[str, bytes]] = {}
 
