@@ -303,9 +303,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
     good = written(_judged(df, key, text, width, close, nodes, num, den).filter("good").select("a", "b"), "good")
     family = components(good)
 
-    more = _left_over(df, key, text, width, meets, who, nodes, bounded, good, family, num, den)
-    if more is not None:
-        family = components(good.unionByName(more))
+    family = _completed(df, key, text, width, meets, who, nodes, bounded, good, family, num, den)
 
     # Each component's first row; nodes that met no other are their own.
     named = nodes.join(family, "node", "left").select("f1", "f2", "row", F.coalesce("comp", "node").alias("comp"))
@@ -317,8 +315,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
     return full.unionByName(empty)
 
 
-def _left_over(df: DataFrame, key: str, text: str, width: int, meets: DataFrame, who: DataFrame, nodes: DataFrame, bounded: DataFrame, good: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame | None:
-    """Links (a, b) between families that met in a cell but are not tied together by its star."""
+def _completed(df: DataFrame, key: str, text: str, width: int, meets: DataFrame, who: DataFrame, nodes: DataFrame, bounded: DataFrame, good: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame:
+    """The families, with links between those that met in a cell but are not tied together by its star."""
     ids = who.select("uid", "node")
     here = meets.join(ids, "uid").select("cell", "a", "node").distinct()
     # Cells of the same members are one; of two members, the star has compared all there is.
@@ -338,15 +336,16 @@ def _left_over(df: DataFrame, key: str, text: str, width: int, meets: DataFrame,
         near = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         near = written(near, "near")
         new = written(_judged(df, key, text, width, near, nodes, num, den).filter("good").select("a", "b"), "links")
-        links = new if links is None else links.unionByName(new)
-        family = components(good.unionByName(links))
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            family = components(good.unionByName(links))
         # Most queries are linked by now; those that are not, and had more points to try, try more of them.
         done = done.unionByName(near)
         if not found.filter("cut").limit(1).count():
             break
         spots = spots.join(found.filter("cut").select("cell").distinct(), "cell")
         most *= 8
-    return links
+    return family
 
 
 def _near_in_blocks(spots: DataFrame, points: DataFrame, num: int, den: int, most: int) -> DataFrame:
