@@ -28,6 +28,9 @@ GROUP_TOKENS = 512 * 1024
 CACHE = 1_200_000
 _LOADED: dict = {}
 _WORDS: dict[str, dict[str, bytes]] = {}
+_ENDS: dict[str, np.ndarray] = {}
+WORD_END = "</w>"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all of ASCII but the apostrophe, which can begin a token of letters
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -53,17 +56,44 @@ def _encoded(texts: list[str], path: str) -> list[bytes]:
     return [array("I", e.ids).tobytes() for e in fast(texts, add_special_tokens=False)]
 
 
+def _encoded_letters(words: list[str], path: str) -> list[bytes]:
+    """Ids of words of letters only, many in one call: each ends with the one id that closes a word. A run of words with
+    another number of such ids is encoded word by word."""
+    if path not in _ENDS:
+        vocabulary = _tokenizer(path).get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        ends[[i for w, i in vocabulary.items() if w.endswith(WORD_END)]] = True
+        _ENDS[path] = ends
+    out: list[bytes] = []
+    runs = [words[k : k + 512] for k in range(0, len(words), 512)]
+    for run, raw in zip(runs, _encoded([" ".join(run) for run in runs], path)):
+        cuts = (4 * np.flatnonzero(_ENDS[path][np.frombuffer(raw, dtype=np.uint32)]) + 4).tolist()
+        out += [raw[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(run) else _encoded(run, path)
+    return out
+
+
+def _encoded_words(words: list[str], path: str) -> list[bytes]:
+    """Ids of each word: those of its letters, then those of the marks after them; other words are encoded as they are."""
+    cores = [w.rstrip(MARKS) for w in words]
+    plain = [c.isalpha() for c in cores]
+    letters = list({c for c, p in zip(cores, plain) if p})
+    rest = list({w[len(c) :] if p else w for w, c, p in zip(words, cores, plain)})
+    of_letters, of_rest = dict(zip(letters, _encoded_letters(letters, path))), dict(zip(rest, _encoded(rest, path)))
+    return [of_letters[c] + of_rest[w[len(c) :]] if p else of_rest[w] for w, c, p in zip(words, cores, plain)]
+
+
 def encode(texts: list[str], path: str, by_words: bool = True) -> list[bytes]:
     """Ids of each text, as native 32-bit integers. by_words: each word is encoded once and remembered, up to CACHE words
-    in a worker; right for tokenizers that drop white space, whose ids of a text are those of its words in turn."""
+    in a worker; right for tokenizers that drop white space and part letters from marks, whose ids of a text are those of its
+    words in turn."""
     if not by_words:
         return _encoded(texts, path)
     known = _WORDS.setdefault(path, {})
     if len(known) > CACHE:
         known.clear()
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*split) - known.keys())
-    known.update(zip(new, _encoded(new, path)))
+    new = [w for w in set().union(*split) if w not in known]
+    known.update(zip(new, _encoded_words(new, path)))
     return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
