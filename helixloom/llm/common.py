@@ -50,6 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def sized(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """df in no more partitions than `rows` of `each` make: small tables don't go through all shuffle partitions."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back."""
     spark = df.sparkSession

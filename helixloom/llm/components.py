@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 
 MAX_ROUNDS = 60
+ROWS_EACH = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,19 +18,24 @@ def components(edges: DataFrame) -> DataFrame:
     to the others is an equi-join that adaptive execution splits where a node has very many links. Rounds follow the
     logarithm of the longest path.
     """
-    links = _tidy(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b"))
+    links = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     before = None
     for _ in range(MAX_ROUNDS):
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFFFFFFFF)))).first()
         if now == before or not now[0]:
             return links.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
         before = now
-        links = _tidy(_star(_star(links, large=True), large=False))
+        links = written(sized(_star(_star(links, large=True), large=False), now[0], ROWS_EACH), "links")
     raise RuntimeError(f"no fixpoint after {MAX_ROUNDS} rounds")
 
 
-def _tidy(links: DataFrame) -> DataFrame:
-    return written(links.distinct(), "links")
+def merged(family: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, comp) with further links (a, b): only the components that they tie are gone through again."""
+    side = lambda end: family.select(F.col("node").alias(end), F.col("comp").alias("comp_" + end))
+    ties = edges.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    told = components(ties)
+    alone = told.select("node", F.col("node").alias("comp")).join(family, "node", "left_anti")
+    return family.unionByName(alone).join(told.select(F.col("node").alias("comp"), F.col("comp").alias("last")), "comp", "left").select("node", F.coalesce("last", "comp").alias("comp"))
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

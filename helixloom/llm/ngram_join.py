@@ -31,10 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
-from .components import components
+from .common import sized, text_of, written
+from .components import components, merged
 
 BLOCK = 1024
+PAIRS_EACH = 512
 MANY_GROUPS_BELOW = 16
 LEAST_DIMS, MOST_DIMS = 64, 1 << 16
 LEAF = 16
@@ -255,7 +256,7 @@ def _join_block(num: int, den: int, most: int):
     return run
 
 
-def _sets(df: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
+def _sets(df: DataFrame, key: str, text: str, width: int, wanted: DataFrame, at_most: int) -> DataFrame:
     """(node, h binary): the sets of the wanted nodes, from the text of one row of each."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,15 +265,16 @@ def _sets(df: DataFrame, key: str, text: str, width: int, wanted: DataFrame) ->
 
     rows = df.select(F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("th")).alias("row"), F.col(f"`{text}`").cast("string").alias("t"))
     one = rows.join(wanted, "row").select("node", "t").dropDuplicates(["node"])
-    return written(one.mapInPandas(hashed, "node long, h binary"), "sets")
+    return written(sized(one, at_most, PAIRS_EACH).mapInPandas(hashed, "node long, h binary"), "sets")
 
 
 def _judged(df: DataFrame, key: str, text: str, width: int, pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, good): pairs of nodes, verified on their sets."""
+    """(a, b, good): pairs of nodes (a written table), verified on their sets."""
+    n = pairs.count()
     some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = _sets(df, key, text, width, nodes.select("node", "row").join(some, "node"))
+    sets = _sets(df, key, text, width, nodes.select("node", "row").join(some, "node"), 2 * n)
     x, y = sets.select(F.col("node").alias("a"), F.col("h").alias("x")), sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
-    return pairs.join(y, "b").join(x, "a").mapInPandas(_verify(num, den), "a long, b long, good boolean")
+    return sized(pairs.join(y, "b").join(x, "a"), n, PAIRS_EACH).mapInPandas(_verify(num, den), "a long, b long, good boolean")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -301,9 +303,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
     bounded = written(pairs.mapInPandas(_bounded(num, den), "a long, b long, near boolean").distinct(), "bounded")
     close = bounded.filter("near").select("a", "b")
     good = written(_judged(df, key, text, width, close, nodes, num, den).filter("good").select("a", "b"), "good")
-    family = components(good)
-
-    family = _completed(df, key, text, width, meets, who, nodes, bounded, good, family, num, den)
+    family = _completed(df, key, text, width, meets, who, nodes, bounded, components(good), num, den)
 
     # Each component's first row; nodes that met no other are their own.
     named = nodes.join(family, "node", "left").select("f1", "f2", "row", F.coalesce("comp", "node").alias("comp"))
@@ -315,7 +315,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
     return full.unionByName(empty)
 
 
-def _completed(df: DataFrame, key: str, text: str, width: int, meets: DataFrame, who: DataFrame, nodes: DataFrame, bounded: DataFrame, good: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame:
+def _completed(df: DataFrame, key: str, text: str, width: int, meets: DataFrame, who: DataFrame, nodes: DataFrame, bounded: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame:
     """The families, with links between those that met in a cell but are not tied together by its star."""
     ids = who.select("uid", "node")
     here = meets.join(ids, "uid").select("cell", "a", "node").distinct()
@@ -325,20 +325,20 @@ def _completed(df: DataFrame, key: str, text: str, width: int, meets: DataFrame,
     spots = written(here.join(cells_, "cell").select("cell", "node"), "spots")
     points = written(who.groupBy("node").agg(F.first("pt").alias("pt")), "nodepoints")
     done = bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links, most = None, 1
+    most = 1
     while True:
         now = spots.join(family, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
         mixed = now.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cell")
         now = written(now.join(mixed, "cell"), "mixed")
-        if not now.limit(1).count():
+        n = now.count()
+        if not n:
             break
-        found = written(_near_in_blocks(now, points, num, den, most), "found")
+        found = written(_near_in_blocks(now, n, points, num, den, most), "found")
         near = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        near = written(near, "near")
+        near = written(sized(near, n * most, PAIRS_EACH), "near")
         new = written(_judged(df, key, text, width, near, nodes, num, den).filter("good").select("a", "b"), "links")
         if new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            family = components(good.unionByName(links))
+            family = written(merged(family, new), "family")
         # Most queries are linked by now; those that are not, and had more points to try, try more of them.
         done = done.unionByName(near)
         if not found.filter("cut").limit(1).count():
@@ -348,18 +348,19 @@ def _completed(df: DataFrame, key: str, text: str, width: int, meets: DataFrame,
     return family
 
 
-def _near_in_blocks(spots: DataFrame, points: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """(cell, a, b, cut) for spots (cell, node, comp): R-trees over blocks of a cell's members."""
+def _near_in_blocks(spots: DataFrame, n: int, points: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """(cell, a, b, cut) for n spots (cell, node, comp): R-trees over blocks of a cell's members."""
     sizes = spots.groupBy("cell", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cell").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
     largest = largest.select("cell", F.col("top.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("tbs"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("qbs"))
     full = spots.join(largest, "cell").join(points, "node")
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
-    bucket = F.pmod(F.xxhash64("cell", "tb", "qb"), F.lit(max(1, -(-spots.count() // BLOCK))))
+    bucket = F.pmod(F.xxhash64("cell", "tb", "qb"), F.lit(max(1, -(-n // BLOCK))))
     q = full.filter("comp <> top").withColumn("qb", block("qbs", 1)).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("tbs") - 1)))
     t = full.withColumn("tb", block("tbs", 2)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
     cols = [bucket.alias("bucket"), *[F.col(c).alias(c) for c in ("cell", "tb", "qb", "node", "comp", "pt")]]  # new names for either side
-    return q.select(*cols).groupBy("bucket").cogroup(t.select(*cols).groupBy("bucket")).applyInPandas(_join_block(num, den, most), "cell long, a long, b long, cut boolean")
+    both = q.select(*cols).groupBy("bucket").cogroup(t.select(*cols).groupBy("bucket"))
+    return sized(both.applyInPandas(_join_block(num, den, most), "cell long, a long, b long, cut boolean"), n, BLOCK)
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
