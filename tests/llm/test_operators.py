@@ -358,3 +358,11 @@ def test_queries_match_sql(spark, name):
 def test_base_digest(spark):
     r = Q.op9_secret_scan(spark, SF).filter("n_hex = 0 AND n_assign = 0 AND n_access = 0").first()
     assert r["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_words_are_encoded_as_in_their_text():
+    texts = ["İstanbul it's don't, ﬁne ΑΣ, ΑΣ x", "éa ö, a b c", "<|endoftext|> a<|startoftext|>, b", "一二 三,四 ǅ ª²½ ß' 's'"]
+    texts += ["1a2b a1, _a_ --a-- a--b", "", "  \n\n ", "한국 ᄒ ᅡ", "ﷺ. " + "lorem, ipsum! " * 600]
+    path = packing.tokenizer_path()
+    assert packing.encode(texts, path) == packing.encode(texts, path, by_words=False)
+    assert packing.encode(texts[::-1], path) == packing.encode(texts[::-1], path, by_words=False)  # now from memory
