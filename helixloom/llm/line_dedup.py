@@ -3,7 +3,9 @@
 A line (split at newlines, of at least `min_chars` code points) is dropped if the same line, or one within one edit of
 it (a character put in, left out or replaced), stands earlier: in a row with a smaller key, or further up in the same
 row. Of exact repeats the first occurrence stays; a line that is within one edit of an earlier line goes wherever it
-stands. Shorter lines are left alone.
+stands. Shorter lines take no part in the near step, as one edit in a very short line means little. With `short_repeats`
+their exact repeats go as well, if they hold a word: what takes the copies of a document away as a whole. Without it,
+shorter lines are left alone.
 
 Every line emits its deletion variants as hashed keys, and equal variants are joined. Three steps keep that linear:
 - equal lines are first collapsed to one (by a 128-bit hash and length) with their earliest place;
@@ -32,16 +34,18 @@ from .common import let, text_of, written
 
 MIN_CHARS = 20
 SEGMENT = 64
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def _row(key: str, text: str) -> Column:
     return F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("th"))
 
 
-def occurrences(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def occurrences(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """(row, line_no, line, n, h1, h2): the lines that take part, with length and hashes."""
     lines = df.select(_row(key, text).alias("row"), F.posexplode(F.split(text_of(F.col(f"`{text}`")), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
+    long = F.col("n") >= min_chars
+    lines = lines.withColumn("n", F.length("line")).filter(long | F.col("line").rlike(WORD) if short_repeats else long)
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line", F.lit(2))})
 
 
@@ -57,9 +61,11 @@ def _halves() -> Column:
     return F.array(*keys)
 
 
-def distinct_lines(occ: DataFrame) -> DataFrame:
-    """(h1, h2, first, times, halves): one row for each distinct line, first being its earliest (row, line_no)."""
-    slim = occ.select("h1", "h2", F.struct("row", "line_no").alias("at"), _halves().alias("halves"))
+def distinct_lines(occ: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(h1, h2, first, times, halves): one row for each distinct line, first being its earliest (row, line_no); lines under
+    `min_chars` have no halves."""
+    halves = F.when(F.col("n") >= min_chars, _halves()).otherwise(F.array().cast("array<bigint>"))
+    slim = occ.select("h1", "h2", F.struct("row", "line_no").alias("at"), halves.alias("halves"))
     return slim.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves"))
 
 
@@ -102,10 +108,10 @@ def near_lines(occ: DataFrame, lines: DataFrame) -> DataFrame:
     return checked.filter(F.levenshtein("x", "y", 1) >= 0).select("h1", "h2", "partner")
 
 
-def dropped(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """(row, line_no, kind, kept): every occurrence to drop; kind is exact or near, kept the place it repeats."""
-    occ = occurrences(df, key, text, min_chars)
-    lines = written(distinct_lines(occ), "distinct")
+    occ = occurrences(df, key, text, min_chars, short_repeats)
+    lines = written(distinct_lines(occ, min_chars), "distinct")
     near = written(near_lines(occ, lines), "near")
     told = lines.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").filter("times > 1 OR partner IS NOT NULL")
     told = written(told, "told")
@@ -114,12 +120,12 @@ def dropped(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: i
     return found.select("row", "line_no", F.when(F.col("partner").isNotNull(), "near").otherwise("exact").alias("kind"), F.coalesce("partner", "first").alias("kept"))
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """df without the dropped lines. A row that had words and has none left goes; all others stay."""
-    gone = dropped(df, key, text, min_chars).distinct().groupBy("row").agg(F.collect_list("line_no").alias("_d_gone"))
+    gone = dropped(df, key, text, min_chars, short_repeats).distinct().groupBy("row").agg(F.collect_list("line_no").alias("_d_gone"))
     rows = df.withColumn("_d_row", _row(key, text)).join(gone, F.col("_d_row") == gone["row"], "left")
     left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_d_gone"))
     joined = let(F.split(text_of(F.col(f"`{text}`")), "\n"), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
     rows = rows.withColumn("_d_text", F.when(F.col("_d_gone").isNull(), F.col(f"`{text}`")).otherwise(joined))
-    rows = rows.filter(F.col("_d_gone").isNull() | F.col("_d_text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.filter(F.col("_d_gone").isNull() | F.col("_d_text").rlike(WORD))
     return rows.select(*[F.col("_d_text").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

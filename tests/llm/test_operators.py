@@ -276,6 +276,15 @@ def test_line_dedup(spark):
             assert left.get(d, "") == "\n".join(keep)
 
 
+def test_line_dedup_takes_exact_repeats_of_short_lines(spark):
+    long = "a line of more than twenty characters"
+    data = [(1, f"Menu\n \n\u4f60\u597d\n{long}"), (2, f"Menu\n \n\u4f60\u597d\n{long}"), (3, f"Menu\nMenus\n \n{long}s"), (4, "Menus\n\nown")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r["row"]["key"], r["line_no"], r["kind"], r["kept"]["row"]["key"], r["kept"]["line_no"]) for r in line_dedup.dropped(df, short_repeats=True).collect()}
+    assert got == {(2, 0, "exact", 1, 0), (2, 2, "exact", 1, 2), (2, 3, "exact", 1, 3), (3, 0, "exact", 1, 0), (3, 3, "near", 1, 3), (4, 0, "exact", 3, 1)}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, short_repeats=True).collect()} == {1: data[0][1], 3: "Menus\n ", 4: "\nown"}
+
+
 def test_secret_scan(docs, rows):
     assign = re.compile("(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
     got = {(r["doc_id"], r["text"]): r["secrets"] for r in secret_scan.scan(docs).collect()}

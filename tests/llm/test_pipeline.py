@@ -44,3 +44,9 @@ def test_run_on_odd_rows(spark, tmp_path):
     (tmp_path / "e").mkdir()
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/e/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_copies_leave_no_short_lines(spark):
+    text = "Home\n" + " ".join(f"w{i}" for i in range(50)) + "\nContact"
+    docs = spark.createDataFrame([(1, text, "en", "a", 9), (2, text, "en", "a", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.lines(spark, docs, SF).collect()] == [1]
