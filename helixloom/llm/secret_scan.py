@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for tokens that no pattern names.
 
-Base kinds are regular expressions. Every other run of token characters is tested: its encoding is inferred from its
+Base kinds are regular expressions. Other runs of 20 token characters or more are tested, but for words in lower
+case or title case: a run's encoding is inferred from its
 characters (hex, base32, base64), then four tests ask whether it looks like random symbols of that alphabet:
 chi-squared of symbol counts against the uniform, a runs test about the alphabet's middle, the serial correlation of
 neighbouring symbols, and the number of equal pairs. The smallest p-value, times four, is the token's p-value: near 0 for words and identifiers,
@@ -105,8 +106,8 @@ def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
     out = []
     for m in TOKEN.finditer(text):
         token = m.group()
-        if token.isalpha() and (token.islower() or token.isupper() or token.istitle()):
-            continue  # a word in one case: its alphabet is not used evenly at any length, and the battery says so
+        if token.isalpha() and (token.islower() or token.istitle()):
+            continue  # a word; letters in upper case can be base32
         enc, symbols, size = encode(token)
         p = p_value(symbols, size)
         out.append((m.start(), m.end(), enc, int(np.log2(len(token))), min(BINS - 1, int(p * BINS))))

@@ -308,6 +308,13 @@ def test_secret_scan_finds_random_tokens(spark):
     assert len(hit & set(range(60))) >= 48 and len(hit & set(range(60, 120))) <= 3
 
 
+def test_secret_scan_judges_upper_case_tokens():
+    rng = random.Random(3)
+    tokens = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24)) for _ in range(20)]
+    assert all([c[:3] for c in secret_scan.candidates(f"see {k}")] == [(4, 28, 1)] for k in tokens)
+    assert not secret_scan.candidates("internationalizationofwords Internationalizationofwords")
+
+
 def test_quality_rules(docs, rows):
     got = {(r["doc_id"], r["text"]): r["ledger"] for r in quality_rules.ledger(docs).collect()}
     for row in rows:
