@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Separators of words: space and the ASCII controls from tab to carriage return.
 WS_RE = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
+#: Keys of a few 64-bit numbers; a broadcast of so many takes about 60 MB.
+BROADCAST_ROWS = 1_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,6 +39,24 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
+def set_aside(df: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with the columns that begin with `prefix`, which an operator uses inside, renamed; and the new name of each column.
+    `put_back` gives the columns their names again."""
+    taken = {c.lower() for c in df.columns}
+    names: dict[str, str] = {}
+    for c in df.columns:
+        new = c
+        while new.lower().startswith(prefix) or (new != c and new.lower() in taken):
+            new = "kept" + new
+        taken.add(new.lower())
+        names[c] = new
+    return df.withColumnsRenamed({c: n for c, n in names.items() if c != n}), names
+
+
+def put_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.withColumnsRenamed({n: c for c, n in names.items() if c != n})
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset
     on a local master."""
@@ -61,3 +81,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables that `written` made, once what was made of them is written itself."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined(df: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """df joined with `keys`, a written table of distinct keys: broadcast if it has at most BROADCAST_ROWS rows, else both
+    sides are shuffled."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
+def narrowed(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of df whose key is in `keys`, as `joined` does it."""
+    return joined(df, keys, on, "left_semi")

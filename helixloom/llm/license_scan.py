@@ -11,8 +11,9 @@ Only DataFrame functions are used. The templates are a bounded parameter (MAX_TE
 the plan; document frequencies of its words are counted over all documents (one row per indexed word). Judging is row by
 row: nothing is shuffled, and one hot source or many copies do not matter.
 
-Defined results: a null or empty text has no words and no labels, null positions and score 0; repeated rows are judged
-one by one; an empty table gives an empty result; other columns stay.
+Defined results: a null or empty text has no words and no labels, null positions and score 0; very long texts are judged
+whole, in time that follows their words; equal coverages are all reported; repeated rows are judged one by one; an empty
+table gives an empty result; other columns stay, whatever their names, and one already named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, put_back, set_aside
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_TEMPLATES = 200
 SLACK = 16
-HIT = "struct<t:int,start:int,tok:string,idf:double>"
+#: Layout of a hit: template, stretch of starts (moved by OFFSET, so that starts before the text count), token.
+TOKEN_BITS, STRETCH_BITS = 14, 30
+TOKENS, STRETCHES, OFFSET = 1 << TOKEN_BITS, 1 << STRETCH_BITS, 1 << 16
+COVER = "struct<t:int,cover:double>"
 
 
 @dataclass(frozen=True)
@@ -81,7 +85,8 @@ def idf_of(df: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "licenses", phrases: dict[str, str] | None = None, templates: list[Template] | None = None, n_rare: int = 12, min_coverage: float = 0.6) -> DataFrame:
-    """df with column `out`: struct(n_words, base_starts array<int>, base_labels array, labels array, coverage map, score)."""
+    """df with column `out`: struct(n_words, base_starts array<int>, base_labels array, labels array, coverage of the templates
+    with a hit, score)."""
     phrases = BASE_PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
     if len(templates) + len(phrases) > MAX_TEMPLATES:
@@ -89,86 +94,93 @@ def scan(df: DataFrame, text: str = "text", out: str = "licenses", phrases: dict
     keys = list(dict.fromkeys([*phrases, *(k for t in templates for k in t.keys)]))
     key_words = [tokens(k) for k in keys]
     bodies = [tokens(t.text) for t in templates]
+    df, named = set_aside(df, "_l_")
+    text, keep = named[text], [c for c in df.columns if c != out]
     idf = idf_of(df, sorted({w for ws in [*key_words, *bodies] for w in ws}), text)
     rarest = lambda ws, n: sorted(set(ws), key=lambda w: (-idf[w], w))[:n]
-    # Postings: key phrases are numbered from 0, templates after them.
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, ws in enumerate([*key_words, *bodies]):
-        chosen = rarest(ws, 1 if t < len(keys) else n_rare)
-        for at, w in enumerate(ws):
-            if w in chosen and (t >= len(keys) or at == ws.index(w)):
-                postings.setdefault(w, []).append((t, at))
-    hit = lambda t, at, w: F.struct(F.lit(t).alias("t"), F.lit(at).alias("at"), F.lit(w).alias("tok"), F.lit(idf[w]).alias("idf"))
-    index = F.create_map(*[x for w, ps in sorted(postings.items()) for x in (F.lit(w), F.array(*[hit(t, at, w) for t, at in ps]))])
-
-    keep = [c for c in df.columns if c != out]
-    work = df.select(*[F.col(f"`{c}`") for c in keep], words(text).alias("_l_words"))
-    w = F.col("_l_words")
-    rare = sorted(postings)
-    found = F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(rare), F.struct(x.alias("w"), i.alias("i")))))
-    work = work.withColumn("_l_found", found)
-    hits = F.flatten(
-        F.transform("_l_found", lambda f: F.transform(F.element_at(index, f["w"]), lambda p: F.struct(p["t"].alias("t"), (f["i"] - p["at"]).alias("start"), p["tok"].alias("tok"), p["idf"].alias("idf"))))
-    )
-    work = work.withColumn("_l_hits", hits.cast(f"array<{HIT}>"))
-    starts = []
+    # Postings of key phrases (t, place of its rarest word) and of templates. A hit of a template is one number: template,
+    # stretch of SLACK words in which the template would start, token. Weights are whole millionths of IDF, so that sums
+    # do not depend on their order.
+    of_keys: dict[str, list[tuple[int, int]]] = {}
     for t, ws in enumerate(key_words):
-        starts.append(F.transform(F.filter("_l_hits", _stands(t, ws, w)), lambda h: h["start"]).alias(f"k{t}"))
-    some = F.size("_l_hits") > 0
-    work = work.withColumn("_l_keys", F.when(some, F.struct(*starts)))
-    key_at = lambda k: F.coalesce(F.col("_l_keys")[f"k{keys.index(k)}"], F.array().cast("array<int>"))
-    covers = []
-    for t, ws in enumerate(bodies, len(keys)):
-        total = sum(idf[x] for x in rarest(ws, n_rare))
-        covers.append(_best_start(F.filter("_l_hits", _of(t))) / F.lit(total))
-    work = work.withColumn("_l_cover", F.when(some, F.array(*covers)).otherwise(F.array(*[F.lit(0.0)] * len(covers)) if covers else F.array().cast("array<double>")))
-    none = F.lit(None).cast("string")
-    base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(key_at(p)) > 0, F.lit(label)).otherwise(none) for p, label in phrases.items()]))))
-    told = [F.when((F.get("_l_cover", F.lit(k)) >= min_coverage) & _all(F.size(key_at(x)) > 0 for x in t.keys), F.lit(t.label)).otherwise(none) for k, t in enumerate(templates)]
+        for w in rarest(ws, 1):
+            of_keys.setdefault(w, []).append((t, ws.index(w)))
+    indexed = [rarest(ws, n_rare) for ws in bodies]
+    rare = sorted({*of_keys, *(w for ws in indexed for w in ws)})
+    weights = [max(1, round(idf[w] * 1_000_000)) for w in rare]
+    totals = [sum(weights[rare.index(w)] for w in ws) or 1 for ws in indexed]
+    of_bodies = [[(t, at) for t, ws in enumerate(bodies) if w in indexed[t] for at, x in enumerate(ws) if x == w] for w in rare]
+    posting = lambda t, at: F.struct(F.lit(t).alias("t"), F.lit(at).alias("at"))
+    postings = lambda ps: F.array(*[posting(t, at) for t, at in ps]).cast("array<struct<t:int,at:int>>")
+    key_index, body_index = (F.array(*[postings(ps) for ps in x]).cast("array<array<struct<t:int,at:int>>>") for x in ([of_keys.get(w, []) for w in rare], of_bodies))
+
+    work = df.select(*[F.col(f"`{c}`") for c in keep], words(text).alias("_l_words"))
+    names = F.array(*[F.lit(x) for x in rare]).cast("array<string>")
+    found = F.transform("_l_words", lambda x, i: F.when(x.isin(rare), F.struct((F.array_position(names, x) - 1).cast("int").alias("tok"), i.alias("i"))))
+    work = work.withColumn("_l_found", F.array_compact(found) if rare else F.array().cast("array<struct<tok:int,i:int>>"))
+
+    starts = lambda f: F.transform(F.get(key_index, f["tok"]), lambda p: F.struct(p["t"].alias("t"), (f["i"] - p["at"]).alias("start")))
+    key_hits = F.filter(F.flatten(F.transform("_l_found", starts)), _stands(key_words, F.col("_l_words"))) if keys else F.array()
+    work = work.withColumn("_l_keys", key_hits.cast("array<struct<t:int,start:int>>"))
+    hit = lambda f, p, less: (p["t"].cast("bigint") * STRETCHES + F.floor((f["i"] - p["at"]) / SLACK) - less + OFFSET) * TOKENS + f["tok"]
+    hits = lambda f: F.flatten(F.transform(F.get(body_index, f["tok"]), lambda p: F.array(hit(f, p, 0), hit(f, p, 1))))
+    work = work.withColumn("_l_hits", F.sort_array(F.array_distinct(F.flatten(F.transform("_l_found", hits)))).cast("array<bigint>"))
+    work = work.withColumn("_l_cover", _covers(F.col("_l_hits"), weights, totals))
+
+    n_base = len(phrases)  # the base phrases come first among the keys
+    base_labels = F.array(*[F.lit(phrases[k]) for k in keys[:n_base]]).cast("array<string>")
+    base = F.array_sort(F.array_distinct(F.transform(F.filter("_l_keys", lambda h: h["t"] < n_base), lambda h: F.get(base_labels, h["t"]))))
     work = work.withColumn("_l_base", base)
-    labels = F.array_sort(F.array_union("_l_base", F.array_compact(F.array(*told)) if told else F.col("_l_base")))
-    score = F.when(F.size("_l_base") > 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.coalesce(F.array_max("_l_cover"), F.lit(0.0))))
-    return work.select(
+    titles = F.array(*[F.lit(t.label) for t in templates]).cast("array<string>")
+    needs = F.array(*[F.array(*[F.lit(keys.index(k)) for k in t.keys]).cast("array<int>") for t in templates]).cast("array<array<int>>")
+    whole = lambda c: (c["cover"] >= min_coverage) & F.forall(F.get(needs, c["t"]), lambda k: F.exists("_l_keys", lambda h: h["t"] == k))
+    told = F.transform(F.filter("_l_cover", whole), lambda c: F.get(titles, c["t"]))
+    labels = F.array_sort(F.array_union("_l_base", told))
+    score = F.when(F.size("_l_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("_l_cover", lambda c: c["cover"])), F.lit(0.0)))
+    done = work.select(
         *[F.col(f"`{c}`") for c in keep],
         F.struct(
             F.size("_l_words").cast("bigint").alias("n_words"),
-            F.array_sort(F.concat(*[key_at(p) for p in phrases])).alias("base_starts"),
+            F.array_sort(F.transform(F.filter("_l_keys", lambda h: h["t"] < n_base), lambda h: h["start"])).alias("base_starts"),
             F.col("_l_base").alias("base_labels"),
             labels.alias("labels"),
-            F.map_from_arrays(F.array(*[F.lit(t.label) for t in templates]), F.col("_l_cover")).alias("coverage"),
+            F.transform("_l_cover", lambda c: F.struct(F.get(titles, c["t"]).alias("label"), c["cover"].alias("cover"))).alias("coverage"),
             score.alias("score"),
         ).alias(out),
     )
+    return put_back(done, named)
 
 
-def _all(conditions) -> Column:
-    out = None
-    for c in conditions:
-        out = c if out is None else out & c
-    return F.lit(True) if out is None else out
-
+def _stands(phrases: list[list[str]], w: Column):
+    """Whether the words of a hit's key phrase stand at the start that the posting of its rarest word points to."""
+    texts = F.array(*[F.array(*[F.lit(x) for x in p]) for p in phrases])
+    sizes = F.array(*[F.lit(len(p)) for p in phrases])
+    return lambda h: (h["start"] >= 0) & (F.slice(w, F.greatest(h["start"], F.lit(0)) + 1, F.get(sizes, h["t"])) == F.get(texts, h["t"]))
 
-def _of(t: int):
-    return lambda h: h["t"] == t
 
+def _covers(hits: Column, weights: list[int], totals: list[int]) -> Column:
+    """array(struct(t, cover)): for each template with a hit, the largest share of its IDF whose distinct tokens agree on a
+    stretch of starts. One fold over the sorted hits; every token was filed under the stretch of its start and the one
+    before, so starts that are SLACK words apart or less share one."""
+    if not totals:
+        return F.array().cast(f"array<{COVER}>")
+    weight, total = F.array(*[F.lit(n).cast("bigint") for n in weights]), F.array(*[F.lit(float(n)) for n in totals])
+    zero = F.lit(0).cast("bigint")
+    none = F.struct(F.lit(-1).cast("bigint").alias("at"), zero.alias("sum"), zero.alias("best"), F.array().cast(f"array<{COVER}>").alias("done"))
 
-def _stands(t: int, phrase: list[str], w: Column):
-    """Whether the words of the phrase stand at the start that a posting of its rarest word points to."""
-    return lambda h: (h["t"] == t) & (h["start"] >= 0) & F.coalesce(_all(F.get(w, h["start"] + k) == x for k, x in enumerate(phrase)), F.lit(False))
-
-
-def _best_start(hits: Column) -> Column:
-    """Largest sum of the IDF of distinct tokens whose starts agree within SLACK words, in one pass over sorted hits."""
-    slot = F.struct
-    two = lambda h: F.array(
-        slot(F.floor(h["start"] / SLACK).cast("int").alias("b"), h["tok"].alias("tok"), h["idf"].alias("idf")),
-        slot((F.floor(h["start"] / SLACK) - 1).cast("int").alias("b"), h["tok"].alias("tok"), h["idf"].alias("idf")),
-    )
-    slots = F.sort_array(F.array_distinct(F.flatten(F.transform(hits, two))))
-    start = F.struct(F.lit(None).cast("int").alias("b"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    def closed(acc: Column) -> Column:
+        t = F.floor(acc["at"] / STRETCHES).cast("int")
+        return F.concat(acc["done"], F.array(F.struct(t.alias("t"), (acc["best"] / F.get(total, t)).alias("cover"))))
 
     def step(acc: Column, x: Column) -> Column:
-        total = F.when(acc["b"] == x["b"], acc["sum"] + x["idf"]).otherwise(x["idf"])
-        return F.struct(x["b"].alias("b"), total.alias("sum"), F.greatest(acc["best"], total).alias("best"))
-
-    return F.aggregate(slots, start, step, lambda acc: acc["best"])
+        at, n = F.shiftright(x, TOKEN_BITS), F.get(weight, x.bitwiseAND(F.lit(TOKENS - 1).cast("bigint")).cast("int"))
+        row = lambda sum_, best, done: F.struct(at.alias("at"), sum_.alias("sum"), best.alias("best"), done.alias("done"))
+        same = F.shiftright(acc["at"], STRETCH_BITS) == F.shiftright(at, STRETCH_BITS)
+        return (
+            F.when(acc["at"] == at, row(acc["sum"] + n, F.greatest(acc["best"], acc["sum"] + n), acc["done"]))
+            .when(same, row(n, F.greatest(acc["best"], n), acc["done"]))
+            .when(acc["at"] < 0, row(n, n, acc["done"]))
+            .otherwise(row(n, n, closed(acc)))
+        )
+
+    return F.when(F.size(hits) > 0, F.aggregate(hits, none, step, closed)).otherwise(F.array().cast(f"array<{COVER}>"))
