@@ -90,6 +90,24 @@ def _segments(texts: DataFrame) -> DataFrame:
     return rows.select("no", k.alias("k"), mid.alias("mid"))
 
 
+def _one_edit(x: Column, y: Column) -> Column:
+    """Whether two lines are one edit apart or equal. Of long lines, only the first stretch that differs is measured; what follows
+    it must be the same."""
+    pieces = lambda t: F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % SEGMENT), F.lit(0))
+    same = F.zip_with(pieces(x), pieces(y), lambda a, b: F.coalesce(a == b, F.lit(False)))
+
+    def at(i: Column) -> Column:
+        a, b = i * SEGMENT + 1, (i + 1) * SEGMENT + 1
+        more = lambda u, v: F.greatest(F.length(u) - F.length(v), F.lit(0))
+        part = lambda u, v: F.substring(u, a, SEGMENT + more(u, v))
+        rest = lambda u, v: F.substring(u, b + more(u, v), F.length(u))
+        return (F.levenshtein(part(x, y), part(y, x), 1) >= 0) & (rest(x, y) == rest(y, x))
+
+    apart = F.abs(F.length(x) - F.length(y)) <= 1
+    long = let(F.array_position(same, False).cast("int") - 1, lambda i: (i < 0) | at(i))
+    return apart & F.when(F.greatest(F.length(x), F.length(y)) > 16 * SEGMENT, long).otherwise(F.levenshtein(x, y, 1) >= 0)
+
+
 def near_lines(occ: DataFrame, lines: DataFrame) -> DataFrame:
     """(h1, h2, partner): distinct lines within one edit of an earlier one, and the place of the earliest such line. `lines`
     is written, as distinct_lines gives it."""
@@ -121,7 +139,7 @@ def near_lines(occ: DataFrame, lines: DataFrame) -> DataFrame:
 
     mine = texts.select("no", "h1", "h2", F.col("line").alias("x"))
     other = texts.select(F.col("no").alias("best"), F.col("first").alias("partner"), F.col("line").alias("y"))
-    checked = best.join(mine, "no").join(other, "best").filter(F.levenshtein("x", "y", 1) >= 0)
+    checked = best.join(mine, "no").join(other, "best").filter(_one_edit(F.col("x"), F.col("y")))
     near = written(checked.select("h1", "h2", "partner"), "near")
     remove(texts, best)
     return near
