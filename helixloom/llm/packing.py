@@ -1,17 +1,20 @@
 """Packing token sequences: first-fit decreasing over a tournament tree, in randomised groups of documents.
 
-Documents are tokenised (in Arrow batches), closed with an end id, and cut into pieces of at most `capacity` ids. Pieces
-are dealt at random into groups of about GROUP_TOKENS ids; each group is packed on its own: pieces by falling length,
+Documents are tokenised (in Arrow batches), closed with an end id, and cut into pieces of at most `capacity` ids. Documents
+are dealt at random, row by row, into groups of about GROUP_TOKENS ids; each group is packed on its own: pieces by falling length,
 each into the first sequence with room, found in a tournament tree that holds the largest room below each node. The
 number of groups follows the input, so a group's size, the memory of a task and the share of padding do not. A row of
 the packing holds lengths and checksums; ids travel along only if asked for.
 
-Defined results: a null or empty text is the end id alone; repeated rows are packed one by one; an empty table gives an
-empty result. Columns of the input other than the key and the text are not carried.
+Defined results: a null or empty text is the end id alone; repeated rows are packed one by one, each with a place of its
+own; pieces of the same length keep no order; a very long text is encoded whole, in one task, and its pieces are one group
+with those of others; an empty table gives an empty result. Columns of the input other than the key and the text are not
+carried, so their names do not matter.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,6 +30,7 @@ CAPACITY = 4096
 GROUP_TOKENS = 512 * 1024
 CACHE = 1_200_000
 _LOADED: dict = {}
+_BY_WORDS: dict[str, bool] = {}
 _WORDS: dict[str, dict[str, bytes]] = {}
 _ENDS: dict[str, np.ndarray] = {}
 WORD_END = "</w>"
@@ -82,11 +86,22 @@ def _encoded_words(words: list[str], path: str) -> list[bytes]:
     return [of_letters[c] + of_rest[w[len(c) :]] if p else of_rest[w] for w, c, p in zip(words, cores, plain)]
 
 
-def encode(texts: list[str], path: str, by_words: bool = True) -> list[bytes]:
+def goes_by_words(path: str) -> bool:
+    """Whether the tokenizer closes each word with a mark of its own and drops white space, so that the ids of a text are those
+    of its words in turn: told from its configuration, and tried on texts with white space of every kind."""
+    if path not in _BY_WORDS:
+        t = _tokenizer(path)
+        suffix = json.loads(t.to_str())["model"].get("end_of_word_suffix")
+        probes = [f"{x}{a}it's{b}, don't,{a}123{b}{a}" for x in ("", "a") for a in (" ", "\n", "  ") for b in (" ", " \n ")]
+        whole, parts = _encoded(probes, path), [b"".join(_encoded(p.replace("\n", " ").split(" "), path)) for p in probes]
+        _BY_WORDS[path] = suffix == WORD_END and whole == parts
+    return _BY_WORDS[path]
+
+
+def encode(texts: list[str], path: str, by_words: bool | None = None) -> list[bytes]:
     """Ids of each text, as native 32-bit integers. by_words: each word is encoded once and remembered, up to CACHE words
-    in a worker; right for tokenizers that drop white space and part letters from marks, whose ids of a text are those of its
-    words in turn."""
-    if not by_words:
+    in a worker; if it is not given, the tokenizer decides."""
+    if not (goes_by_words(path) if by_words is None else by_words):
         return _encoded(texts, path)
     known = _WORDS.setdefault(path, {})
     if len(known) > CACHE:
@@ -97,8 +112,9 @@ def encode(texts: list[str], path: str, by_words: bool = True) -> list[bytes]:
     return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
-def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False, by_words: bool = True) -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens[, ids binary]): documents cut into pieces, one row for each."""
+def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False, by_words: bool | None = None, seed: int = 7) -> DataFrame:
+    """(key, start, length, ids_crc32, doc_tokens, deal[, ids binary]): documents cut into pieces, one row for each; `deal` is
+    a random number that all pieces of a document share."""
     path = path or tokenizer_path()
     end = array("I", [end_id]).tobytes()
 
@@ -107,19 +123,19 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
             for lo in range(0, len(b), 64):
                 part = b.iloc[lo : lo + 64]
                 rows = []
-                for k, ids in zip(part["k"], encode(["" if t is None else t for t in part["t"]], path, by_words)):
+                for k, deal, ids in zip(part["k"], part["deal"], encode(["" if t is None else t for t in part["t"]], path, by_words)):
                     ids += end
                     n = len(ids) // 4
                     for s in range(0, n, capacity):
                         raw = ids[4 * s : 4 * (s + capacity)]
-                        rows.append((k, s, len(raw) // 4, zlib.crc32(raw), n, *([raw] if with_ids else [])))
-                out = pd.DataFrame(rows, columns=["k", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
+                        rows.append((k, s, len(raw) // 4, zlib.crc32(raw), n, deal, *([raw] if with_ids else [])))
+                out = pd.DataFrame(rows, columns=["k", "start", "length", "ids_crc32", "doc_tokens", "deal", *(["ids"] if with_ids else [])])
                 out["k"] = out["k"].astype(b["k"].dtype)
                 yield out
 
     kind = dict(df.dtypes)[key]
-    schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
-    slim = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
+    schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, deal double" + (", ids binary" if with_ids else "")
+    slim = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"), F.rand(seed).alias("deal"))
     return slim.mapInPandas(cut, schema).withColumnRenamed("k", key)
 
 
@@ -158,19 +174,19 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
     return bins, offsets
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, seed: int = 7) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """cut (as `pieces` gives it) with sequence_id and offset: where each piece stands."""
     cut = written(cut, "pieces")
     total = cut.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    dealt = cut.withColumn("group", F.floor(F.rand(seed) * groups).cast("long"))
+    dealt = cut.withColumn("group", F.floor(F.col("deal") * groups).cast("long")).drop("deal")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
         g = int(pdf["group"].iloc[0])
         return pdf.drop(columns="group").assign(sequence_id=g * (1 << 24) + bins, offset=offsets)
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes)
+    fields = ", ".join(f"`{n}` {t}" for n, t in cut.drop("deal").dtypes)
     return dealt.groupBy("group").applyInPandas(one, f"{fields}, sequence_id long, offset long")
 
 
