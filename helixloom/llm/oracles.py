@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from .url_filters import KEYWORD_RULES
+from .url_filters import KEYWORD_RULES, PATTERN_RULES
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _KEYWORDS = "|".join(r.name[1:] for r in KEYWORD_RULES)
+_PATTERNS = " OR ".join(f"regexp_matches(host || path, '{r.pattern}')" for r in PATTERN_RULES)
 OP3 = rf"""WITH a AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
  p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
  r AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/7%' THEN 'example.com/en/7' WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/de/8%' THEN 'example.net/de/8'
   WHEN ('.' || host) LIKE '%.com' AND path LIKE '/en/%' THEN 'com/en/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/de/%' THEN 'net/de/' WHEN ('.' || host) LIKE '%.org' AND path LIKE '/es/%' THEN 'org/es/' END AS rule FROM p)
- SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN regexp_matches(host || path, '(?i)(^|[^a-zA-Z0-9])({_KEYWORDS})($|[^a-zA-Z0-9])') THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN regexp_matches(host || path, '(?i)(^|[^a-zA-Z0-9])({_KEYWORDS})($|[^a-zA-Z0-9])') OR {_PATTERNS} THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
 OP5 = f"""WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('1:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
  s AS (SELECT source, sum(size)::BIGINT AS s, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w FROM d GROUP BY 1),

@@ -33,7 +33,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = url_filters.judge(pages, url_filters.HOST_RULES + url_filters.KEYWORD_RULES)
+    judged = url_filters.judge(pages, url_filters.HOST_RULES + url_filters.KEYWORD_RULES + url_filters.PATTERN_RULES)
     host_rule = F.when(~F.col("judged.rule").startswith("~"), F.col("judged.rule"))
     return judged.select("page_id", "judged.host", "judged.path", host_rule.alias("rule"), "judged.verdict")
 

@@ -2,11 +2,13 @@
 
 A rule is a regular expression over ``host || path`` with literal tokens that every matching URL must hold. Tokens of
 all URLs are counted once; each rule is filed under the token that the fewest URLs hold. A URL's tokens fetch its
-candidate rules from that index, and only those run their regular expressions. The index is a constant of the plan,
-as large as the list of rules (at most MAX_RULES), so nothing is shuffled but the token counts.
+candidate rules from that index, and only those run their regular expressions. Up to LITERAL_RULES rules, the index is a
+constant of the plan and nothing is shuffled but the token counts; a longer list is a table that the tokens of the URLs are
+joined to, and the best rule of each URL is an aggregation.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path, no rule, and the default verdict;
-repeated rows are judged one by one; an empty table gives an empty result; other columns stay.
+Defined results: of rules that fit, the largest (rank, name) wins; a null URL, or one without ``://``, has an empty host and path, no rule, and the default verdict;
+repeated rows are judged one by one; very long URLs are judged whole; an empty table gives an empty result; other columns
+stay, whatever their names, and one already named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, text_of
+from .common import UPPER, put_back, set_aside, text_of, written
 
-MAX_RULES = 20_000
+LITERAL_RULES = 2_000
 BUCKETS = 64
 TOKEN_RE = "[^a-z0-9]+"
 
@@ -27,7 +29,7 @@ TOKEN_RE = "[^a-z0-9]+"
 @dataclass(frozen=True)
 class Rule:
     """name: what is reported; verdict: allow or block; pattern: Java regular expression over host || path;
-    tokens: lower-case literals, one at least of which is a whole token of any URL that matches; rank: larger wins."""
+    tokens: lower-case literals, each of them a whole token of any URL that matches; rank: larger wins."""
 
     name: str
     verdict: str
@@ -62,6 +64,20 @@ KEYWORD_RULES = [
     keyword_rule("block", w, rf"(?:^|[^a-zA-Z0-9])(?i:{w})(?:$|[^a-zA-Z0-9])")
     for w in ("spam", "casino", "porn", "xxx", "viagra", "adserver", "doubleclick", "tracker", "popup", "clickbait", "login", "signin", "logout", "cart", "checkout", "torrent", "warez", "phishing", "malware")
 ]
+#: Patterns of several words, as (name, tokens, pattern).
+PATTERN_RULES = [
+    Rule(f"~{name}", "block", rf"(?i)(?:^|[^a-zA-Z0-9]){pattern}(?:$|[^a-zA-Z0-9])", tokens, 100 + len(pattern))
+    for name, tokens, pattern in (
+        ("ad-banner", ("ad", "banner"), "ad[^a-zA-Z0-9].*banner"),
+        ("affiliate-link", ("affiliate", "id"), "affiliate[/_-]+id"),
+        ("free-download", ("free", "download", "crack"), "free[/_-]+download.*crack"),
+        ("online-poker", ("online", "poker"), "online[/_-]+poker"),
+        ("payday-loan", ("payday", "loan"), "payday[/_-]+loan"),
+        ("print-view", ("print", "view"), "(?:print[/_-]+view|view[/_-]+print)"),
+        ("user-register", ("user", "register"), "user/(?:[^/]*/)?register"),
+        ("wp-admin", ("wp", "admin"), "wp-admin"),
+    )
+]
 DEFAULT_VERDICT = "allow"
 
 
@@ -116,22 +132,37 @@ def _literal_index(index: dict[str, list[Rule]]) -> Column:
 
 def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = DEFAULT_VERDICT, out: str = "judged") -> DataFrame:
     """df with column `out`: struct(host, path, rule, verdict, n_candidates); `rule` is the name of the rule that won."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index is made for {MAX_RULES} at most")
-    keep = [c for c in df.columns if c != out]
-    index = _literal_index(rule_index(rules, token_counts(df, rules, url)))
+    df, named = set_aside(df, "_u_")
+    url, keep = named[url], [c for c in df.columns if c != out]
+    found = rule_index(rules, token_counts(df, rules, url))
     work = _parts(df.select(*[F.col(f"`{c}`") for c in keep]), url)
-    fetch = lambda t: F.coalesce(F.try_element_at(F.get(index, F.pmod(F.crc32(t.cast("binary")), F.lit(BUCKETS)).cast("int")), t), F.array().cast("array<struct<rank:int,name:string,verdict:string,pattern:string>>"))
-    work = work.withColumn("_u_cand", F.flatten(F.transform("_u_tokens", fetch)))
-    best = F.array_max(F.transform(F.filter("_u_cand", lambda r: F.regexp(F.col("_u_key"), r["pattern"])), lambda r: F.struct(r["rank"], r["name"], r["verdict"])))
-    work = work.withColumn("_u_best", best)
-    return work.select(
+    if len(rules) > LITERAL_RULES:
+        work = _joined(work, found)
+    else:
+        index = _literal_index(found)
+        fetch = lambda t: F.coalesce(F.try_element_at(F.get(index, F.pmod(F.crc32(t.cast("binary")), F.lit(BUCKETS)).cast("int")), t), F.array().cast("array<struct<rank:int,name:string,verdict:string,pattern:string>>"))
+        work = work.withColumn("_u_cand", F.flatten(F.transform("_u_tokens", fetch)))
+        best = F.array_max(F.transform(F.filter("_u_cand", lambda r: F.regexp(F.col("_u_key"), r["pattern"])), lambda r: F.struct(r["rank"], r["name"], r["verdict"])))
+        work = work.withColumn("_u_best", best).withColumn("_u_n", F.size("_u_cand"))
+    done = work.select(
         *[F.col(f"`{c}`") for c in keep],
         F.struct(
             F.col("_u_host").alias("host"),
             F.col("_u_path").alias("path"),
             F.col("_u_best.name").alias("rule"),
             F.coalesce("_u_best.verdict", F.lit(default)).alias("verdict"),
-            F.size("_u_cand").alias("n_candidates"),
+            F.col("_u_n").alias("n_candidates"),
         ).alias(out),
     )
+    return put_back(done, named)
+
+
+def _joined(work: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
+    """work with _u_best and _u_n, from a table of (token, rule): rows are numbered, and only their tokens travel."""
+    rows = [(t, r.rank, r.name, r.verdict, r.pattern) for t, rs in index.items() for r in rs]
+    table = work.sparkSession.createDataFrame(rows, "_u_token string, rank int, name string, verdict string, pattern string")
+    work = written(work.withColumn("_u_no", F.monotonically_increasing_id()), "urls")
+    fetched = work.select("_u_no", "_u_key", F.explode("_u_tokens").alias("_u_token")).join(table, "_u_token")
+    fits = F.when(F.regexp(F.col("_u_key"), F.col("pattern")), F.struct("rank", "name", "verdict"))
+    best = fetched.groupBy("_u_no").agg(F.max(fits).alias("_u_best"), F.count("*").cast("int").alias("_u_n"))
+    return work.join(best, "_u_no", "left").withColumn("_u_n", F.coalesce("_u_n", F.lit(0)))
