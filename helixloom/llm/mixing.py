@@ -6,26 +6,31 @@ capacity from patterns to the quotas of the sources; every further repetition of
 whole passes over all of them, and for the rest a seeded choice, exact to the word: documents in the order of a seeded
 hash, the last one in part.
 
-Scale: the flow's network has one node for each pattern and source (at most MAX_PATTERNS, checked), never one per
-document. The seeded choice needs no sort of a source: sums by hash prefix (16**3 prefixes, twice) find the prefix in
-which the choice ends, and only that prefix's documents are ordered. Hot sources therefore stay spread over all tasks.
+Scale: the network has one node for each pattern and source, never one per document. Where no document has two sources,
+the network falls into single edges, whose flow is the quota itself; sources and their quotas then stay a table of Spark,
+however many there are, and only sums come to the driver: the common share is found by a few aggregations. Where sources
+overlap, the driver solves the network, which may have MOST_PATTERNS patterns (checked). The seeded choice needs no sort
+of a source: sums by hash prefix (16**3 prefixes, twice) find the prefix in which the choice ends, and only that prefix's
+documents are ordered. Hot sources therefore stay spread over all tasks.
 
 Defined results: a null text or a text without words has size 0 and takes 0; a null source is a source of its own and
 comes last; repeated rows (same id and text) are taken alike, each of them in part where the choice ends among them, so
-up to as many words as there are such rows can be missing from a target; an empty table gives an empty result; other
-columns stay, and a column already named like the output is replaced.
+up to as many words as there are such rows can be missing from a target; very long texts count whole and are taken in part
+where the choice ends in them; an empty table gives an empty result; other columns stay, whatever their names, and a
+column already named like the output is replaced.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, words_of, written
+from .common import joined, put_back, set_aside, text_of, words_of, written
 
-MAX_PATTERNS = 10_000
+MOST_PATTERNS = 100_000
 MAX_REPEATS = 3
 
 
@@ -53,51 +58,71 @@ def targets(sizes: list[int], weights: list[int], total: int, most: int = MAX_RE
 
 
 def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], most: int = MAX_REPEATS) -> list[int]:
-    """Words to take from each pattern so that quotas are met as far as the patterns allow, at least cost, when the k-th
-    pass over a pattern costs 2**k a word. Successive shortest augmenting paths over patterns and sources."""
+    """Words to take from each pattern so that quotas are met as far as the patterns allow, at least cost, when every further
+    pass over a pattern costs more a word. Successive shortest augmenting paths over patterns and sources, in bulk."""
     n, m = len(capacity), len(quota)
     s, t = n + m, n + m + 1
-    edges: list[list[int]] = []  # to, capacity, cost; edge i ^ 1 is the reverse of edge i
+    to: list[int] = []  # arc i ^ 1 is the reverse of arc i
+    room: list[int] = []
     out: list[list[int]] = [[] for _ in range(n + m + 2)]
 
-    def arc(a: int, b: int, cap: int, cost: int) -> None:
-        out[a].append(len(edges))
-        edges.append([b, cap, cost])
-        out[b].append(len(edges))
-        edges.append([a, 0, -cost])
+    def arc(a: int, b: int, cap: int) -> None:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((cap, 0))
 
-    big = sum(quota) + 1
     for p in range(n):
-        for k in range(most):
-            arc(s, p, capacity[p], 2**k)
+        arc(s, p, 0)
+    for p in range(n):
         for q in members[p]:
-            arc(p, n + q, big, 0)
+            arc(p, n + q, sum(quota) + 1)
     for q in range(m):
-        arc(n + q, t, quota[q], 0)
+        arc(n + q, t, quota[q])
+    for _ in range(most):  # a path's cost is that of its first arc, so the passes are opened one by one
+        for p in range(n):
+            room[2 * p] += capacity[p]
+        while _augmented(s, t, out, to, room):
+            pass
+    return [room[2 * p + 1] for p in range(n)]
+
+
+def _augmented(s: int, t: int, out: list[list[int]], to: list[int], room: list[int]) -> bool:
+    """One phase of Dinic's algorithm: flow along shortest paths until they are blocked; False if there is no path."""
+    level = {s: 0}
+    queue = deque([s])
+    while queue:
+        a = queue.popleft()
+        for e in out[a]:
+            if room[e] and to[e] not in level:
+                level[to[e]] = level[a] + 1
+                queue.append(to[e])
+    if t not in level:
+        return False
+    tried = dict.fromkeys(level, 0)
+    path: list[int] = []
+    at = s
     while True:
-        dist, via = {s: 0}, {}
-        queue, waiting = deque([s]), {s}
-        while queue:
-            a = queue.popleft()
-            waiting.discard(a)
-            for e in out[a]:
-                b, cap, cost = edges[e]
-                if cap and dist[a] + cost < dist.get(b, big * 2**most):
-                    dist[b], via[b] = dist[a] + cost, e
-                    if b not in waiting:
-                        queue.append(b)
-                        waiting.add(b)
-        if t not in via:
-            break
-        path, b = [], t
-        while b != s:
-            path.append(via[b])
-            b = edges[via[b] ^ 1][0]
-        flow = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= flow
-            edges[e ^ 1][1] += flow
-    return [sum(edges[e ^ 1][1] for e in out[s] if edges[e][0] == p) for p in range(n)]
+        if at == t:
+            flow = min(room[e] for e in path)
+            for e in path:
+                room[e] -= flow
+                room[e ^ 1] += flow
+            full = next(k for k, e in enumerate(path) if not room[e])
+            at = to[path[full] ^ 1]
+            del path[full:]
+        elif tried[at] == len(out[at]):
+            if not path:
+                return True
+            at = to[path.pop() ^ 1]
+            tried[at] += 1
+        else:
+            e = out[at][tried[at]]
+            if room[e] and level.get(to[e], -1) == level[at] + 1:
+                path.append(e)
+                at = to[e]
+            else:
+                tried[at] += 1
 
 
 def mix(df: DataFrame, sources: Column, text: str = "text", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), seed: int = 1, most: int = MAX_REPEATS, out: str = "mix") -> DataFrame:
@@ -106,40 +131,81 @@ def mix(df: DataFrame, sources: Column, text: str = "text", key: str = "doc_id",
     sources: array<string> of the sources of a row (null entries are allowed). source_size and target are those of the
     row's first source; sources weigh as `weights`, repeated in the order of the sources.
     """
-    keep = [c for c in df.columns if c != out]
+    df, named = set_aside(df, "_m_")
+    key, text, keep = named[key], named[text], [c for c in df.columns if c != out]
     ordered = F.concat(F.array_sort(F.array_distinct(F.filter(sources, lambda x: x.isNotNull()))), F.filter(F.array_distinct(sources), lambda x: x.isNull()))
     order_key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))))
     work = df.select(*[F.col(f"`{c}`") for c in keep], ordered.alias("_m_pattern"), order_key.alias("_m_key"), size_of(F.col(f"`{text}`")).alias("_m_size"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("_m_tie"))
     slim = written(work.select("_m_pattern", "_m_key", "_m_size", "_m_tie"), "mix")
-    first = slim.groupBy("_m_pattern", F.substring("_m_key", 1, 3).alias("h")).agg(F.sum("_m_size").alias("size"))
-    patterns = first.groupBy("_m_pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    names = sorted({x for r in patterns for x in r["_m_pattern"]}, key=lambda x: (x is None, x or ""))
-    sizes = [sum(r["size"] for r in patterns if x in r["_m_pattern"]) for x in names]
-    total = sum(r["size"] for r in patterns)
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], total, most)
-    members = [[names.index(x) for x in r["_m_pattern"]] for r in patterns]
-    flow = min_cost_flow([r["size"] for r in patterns], members, [int(g + 0.5) for g in goal], most)
-
+    first = written(slim.groupBy("_m_pattern", F.substring("_m_key", 1, 3).alias("h")).agg(F.sum("_m_size").alias("size")), "prefixes")
+    patterns = written(first.groupBy("_m_pattern").agg(F.sum("size").alias("size")), "patterns")
+    apart = patterns.filter(F.size("_m_pattern") != 1).limit(1).count() == 0
+    flows = _single_flows(patterns, weights, most) if apart else _network_flows(patterns, weights, most)
     # One row for each pattern: passes, words left over, and where the seeded choice of those ends.
-    rows = [(r["_m_pattern"], r["size"], f // r["size"] if r["size"] else 0, f % r["size"] if r["size"] else 0, sizes[m[0]] if m else 0, goal[m[0]] if m else 0.0) for r, f, m in zip(patterns, flow, members)]
-    spark = df.sparkSession
-    plan = spark.createDataFrame(rows, "_m_pattern array<string>, _m_psize long, _m_passes long, _m_rest long, _m_ssize long, _m_target double")
+    some = F.col("size") > 0
+    plan = flows.select("_m_pattern", F.when(some, F.floor(F.col("flow") / F.col("size"))).otherwise(0).alias("_m_passes"), F.when(some, F.col("flow") % F.col("size")).otherwise(0).alias("_m_rest"), F.col("source_size").alias("_m_ssize"), F.col("target").alias("_m_target"))
+    plan = written(plan, "plan")
     cut = _cut(slim, first, plan)
-    plan = plan.join(cut, "_m_pattern", "left")
-    done = work.join(F.broadcast(plan), work["_m_pattern"] == plan["_m_pattern"], "left")
-    at = F.struct(work["_m_key"], work["_m_tie"], work["_m_size"])
-    extra = F.when(F.coalesce(F.col("_m_rest"), F.lit(0)) == 0, 0).when(at < F.col("_m_at"), work["_m_size"]).when(at == F.col("_m_at"), F.col("_m_part")).otherwise(0)
-    return done.select(
-        *[work[f"`{c}`"] for c in keep],
+    plan = written(plan.join(cut, "_m_pattern", "left"), "plan")
+    done = joined(work, plan, ["_m_pattern"], "left")
+    at = F.struct("_m_key", "_m_tie", "_m_size")
+    extra = F.when(F.coalesce(F.col("_m_rest"), F.lit(0)) == 0, 0).when(at < F.col("_m_at"), F.col("_m_size")).when(at == F.col("_m_at"), F.col("_m_part")).otherwise(0)
+    told = done.select(
+        *[F.col(f"`{c}`") for c in keep],
         F.struct(
-            work["_m_size"].alias("size"),
+            F.col("_m_size").alias("size"),
             F.coalesce("_m_ssize", F.lit(0)).cast("bigint").alias("source_size"),
             F.coalesce("_m_target", F.lit(0.0)).alias("target"),
-            (F.coalesce("_m_passes", F.lit(0)) * work["_m_size"] + extra).cast("bigint").alias("taken"),
+            (F.coalesce("_m_passes", F.lit(0)) * F.col("_m_size") + extra).cast("bigint").alias("taken"),
         ).alias(out),
     )
+    return put_back(told, named)
+
+
+def _single_flows(patterns: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(_m_pattern, size, source_size, target, flow) where each pattern is one source: the flow is the target, rounded.
+
+    Sources at `most` times their size leave the rest of the words to the others; the set of such sources only grows, so a few
+    sums over the table of sources settle the common share."""
+    source = patterns.withColumn("source", F.get("_m_pattern", F.lit(0)))
+    # The place of each source in code point order: places in its range of sources, after those of the ranges before.
+    ranged = source.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = written(ranged.withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))), "sources")
+    ends = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
+    before = dict(zip(sorted(ends), accumulate((ends[p] for p in sorted(ends)), initial=0)))
+    first = F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n))]) if before else F.create_map(F.lit(0), F.lit(0))
+    weight = F.get(F.array(*[F.lit(w).cast("bigint") for w in weights]), ((F.element_at(first, F.col("part")) + F.col("row") - 1) % len(weights)).cast("int"))
+    told = written(ranged.select("_m_pattern", "size", weight.alias("w")), "sources")
+    total = told.agg(F.sum("size")).first()[0] or 0
+    rest, weight = total, told.agg(F.sum("w")).first()[0] or 1
+    while True:
+        share = F.lit(rest).cast("bigint") * F.col("w") / F.lit(weight).cast("bigint")
+        full = share > most * F.col("size")
+        capped = told.agg(F.sum(F.when(full, most * F.col("size"))).alias("words"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        now = (total - (capped["words"] or 0), capped["w"] or 0)
+        if not now[1] or now == (rest, weight):
+            break
+        rest, weight = now
+    target = F.when(full, (most * F.col("size")).cast("double")).otherwise(share)
+    return told.select("_m_pattern", "size", F.col("size").alias("source_size"), target.alias("target"), F.floor(target + 0.5).alias("flow"))
+
+
+def _network_flows(patterns: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """The same where patterns share sources, by the network; of a pattern's first source the size and target."""
+    rows = patterns.limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of overlapping sources")
+    names = sorted({x for r in rows for x in r["_m_pattern"]}, key=lambda x: (x is None, x or ""))
+    number = {x: i for i, x in enumerate(names)}
+    members = [[number[x] for x in r["_m_pattern"]] for r in rows]
+    sizes = [0] * len(names)
+    for r, m in zip(rows, members):
+        for q in m:
+            sizes[q] += r["size"]
+    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], sum(r["size"] for r in rows), most)
+    flow = min_cost_flow([r["size"] for r in rows], members, [int(g + 0.5) for g in goal], most)
+    told = [(r["_m_pattern"], r["size"], sizes[m[0]] if m else 0, goal[m[0]] if m else 0.0, f) for r, f, m in zip(rows, flow, members)]
+    return patterns.sparkSession.createDataFrame(told, "_m_pattern array<string>, size long, source_size long, target double, flow long")
 
 
 def _cut(slim: DataFrame, first: DataFrame, plan: DataFrame) -> DataFrame:
@@ -148,16 +214,17 @@ def _cut(slim: DataFrame, first: DataFrame, plan: DataFrame) -> DataFrame:
 
     def ends(sums: DataFrame, by: str, left: DataFrame) -> DataFrame:
         """Of each pattern, the prefix in which its words end, and how many of them are left there."""
-        both = sums.join(F.broadcast(left), "_m_pattern")
+        both = joined(sums, left, ["_m_pattern"])
         total = F.sum("size").over(_upto("_m_pattern", by))
         both = both.withColumn("upto", total).filter("upto >= rest AND upto - size < rest")
         return both.select("_m_pattern", by, (F.col("rest") - F.col("upto") + F.col("size")).alias("rest"))
 
-    one = ends(first, "h", wanted)
-    deeper = slim.withColumn("h", F.substring("_m_key", 1, 3)).join(F.broadcast(one), ["_m_pattern", "h"]).withColumn("h2", F.substring("_m_key", 4, 3))
-    second = deeper.groupBy("_m_pattern", "h", "h2").agg(F.sum("_m_size").alias("size"))
-    two = ends(second.select("_m_pattern", "h2", "size"), "h2", one.select("_m_pattern", "rest"))
-    last = deeper.drop("rest").join(F.broadcast(two), ["_m_pattern", "h2"])
+    wanted = written(wanted, "wanted")
+    one = written(ends(first, "h", wanted), "ends")
+    deeper = joined(slim.withColumn("h", F.substring("_m_key", 1, 3)), one.drop("rest"), ["_m_pattern", "h"]).withColumn("h2", F.substring("_m_key", 4, 3))
+    second = deeper.groupBy("_m_pattern", "h2").agg(F.sum("_m_size").alias("size"))
+    two = written(ends(second, "h2", one.select("_m_pattern", "rest")), "ends")
+    last = joined(deeper, two, ["_m_pattern", "h2"])
     ties = last.groupBy("_m_pattern", "rest", F.struct("_m_key", "_m_tie", "_m_size").alias("_m_at")).agg(F.sum("_m_size").alias("size"), F.count("*").alias("n"))
     total = F.sum("size").over(_upto("_m_pattern", "_m_at"))
     end = ties.withColumn("upto", total).filter("upto >= rest AND upto - size < rest")
@@ -165,8 +232,6 @@ def _cut(slim: DataFrame, first: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _upto(part: str, order: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
