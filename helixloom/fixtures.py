@@ -47,8 +47,8 @@ FROM {events}""",
     "fx_reads": """
 SELECT event_id AS read_id, CAST(user_id % 25 AS INT) AS chrom_order,
   CAST((event_id * 37) % 200000 AS INT) AS start_pos,
-  CAST((event_id % 2) * 16 + CASE WHEN event_id % 17 = 0 THEN 1024 ELSE 0 END AS INT) AS flag,
-  CAST(event_id % 61 AS INT) AS mapq, '100M' AS cigar,
+  CAST((event_id % 2) * 16 + CASE WHEN event_id % 17 = 0 THEN 1024 WHEN event_id % 19 = 0 THEN 4 WHEN event_id % 23 = 0 THEN 256 WHEN event_id % 29 = 0 THEN 512 WHEN event_id % 31 = 0 THEN 2048 ELSE 0 END AS INT) AS flag,
+  CAST(event_id % 61 AS INT) AS mapq, CASE event_id % 5 WHEN 0 THEN '50M4D46M4S' WHEN 1 THEN '48M2I2D50M' ELSE '100M' END AS cigar,
   substr(repeat('ACGT', 30), CAST(1 + event_id % 4 AS INT), 100) AS seq,
   repeat(substr('!5?I', CAST(1 + event_id % 4 AS INT), 1), 100) AS qual
 FROM {events}""",
@@ -67,6 +67,7 @@ SELECT chrom_order, pos, ref, alt, CAST(pos AS BIGINT) AS variation_id,
   CASE WHEN gq % 3 = 0 THEN NULL ELSE CAST(pos % 1000 AS DOUBLE) / 1000 END AS af_1kg,
   CASE WHEN gq % 4 = 0 THEN -1.0E0 ELSE CAST(pos % 997 AS DOUBLE) / 9970 END AS popmax_raw,
   CASE WHEN dp % 11 = 0 THEN '1' ELSE '.' END AS flag_raw,
+  CASE WHEN pos % 9 <> 4 THEN NULL WHEN pos % 2 = 0 THEN 'Likely_pathogenic(2)|Benign(' || CAST(1 + pos % 5 AS STRING) || ')' ELSE 'Uncertain_significance(3)|Likely_benign (1)' END AS conflicts,
   'G' || CAST(pos % 500 AS STRING) AS gene
 FROM {fx_variants} WHERE (pos + chrom_order) % 3 = 0""",
     "fx_provider": """
@@ -76,11 +77,17 @@ SELECT 'rs' || CAST(pos AS STRING) AS rsid, chrom_order, pos,
 FROM {fx_variants} WHERE length(ref) = 1 AND length(alt) = 1 AND chrom_order % 2 = 0""",
     "fx_csq": """
 SELECT v.chrom_order, v.pos, v.ref, v.alt, t.t AS tx_no,
-  CASE (v.pos + t.t) % 6 WHEN 0 THEN 'missense' WHEN 1 THEN 'synonymous' WHEN 2 THEN 'stop_gained&splice_region'
-    WHEN 3 THEN 'intron' WHEN 4 THEN 'frameshift' ELSE 'non_coding' END AS csq,
+  CASE (v.pos + t.t) % 23 WHEN 0 THEN 'missense' WHEN 1 THEN 'synonymous' WHEN 2 THEN 'stop_gained&splice_region' WHEN 3 THEN 'intron'
+    WHEN 4 THEN 'frameshift' WHEN 5 THEN 'non_coding' WHEN 6 THEN 'splice_acceptor' WHEN 7 THEN 'splice_donor'
+    WHEN 8 THEN 'start_lost' WHEN 9 THEN 'stop_lost' WHEN 10 THEN 'inframe_deletion' WHEN 11 THEN
+    'inframe_insertion' WHEN 12 THEN 'inframe_altering' WHEN 13 THEN 'splice_region' WHEN 14 THEN 'stop_retained'
+    WHEN 15 THEN 'start_retained' WHEN 16 THEN 'coding_sequence' WHEN 17 THEN 'feature_elongation' WHEN 18 THEN
+    '5_prime_utr' WHEN 19 THEN '3_prime_utr' WHEN 20 THEN 'intron&non_coding' WHEN 21 THEN 'missense&start_lost' ELSE 'unheard_of' END AS csq,
   'G' || CAST((v.pos + t.t) % 500 AS STRING) AS gene,
   CASE WHEN t.t = 1 AND v.dp % 2 = 0 THEN 'MANE Select' ELSE NULL END AS mane,
-  CASE WHEN (v.pos + t.t) % 4 = 0 THEN NULL ELSE CAST(v.pos % 900 AS STRING) || 'R>' || CAST(v.pos % 900 AS STRING) || 'Q' END AS aa_change
+  CASE WHEN (v.pos + t.t) % 4 = 0 THEN NULL ELSE CASE v.pos % 9 WHEN 0 THEN '1M>1V'
+    WHEN 1 THEN CAST(2 + v.pos % 900 AS STRING) || 'A' ELSE CAST(2 + v.pos % 900 AS STRING) || CASE v.pos % 9 WHEN 2 THEN 'R' WHEN 3 THEN 'R' WHEN 4 THEN '*' WHEN 5 THEN 'RKL' WHEN 6 THEN 'RK' WHEN 7 THEN 'RKLT' ELSE 'RK' END
+    || '>' || CAST(2 + v.pos % 900 AS STRING) || CASE v.pos % 9 WHEN 2 THEN 'Q' WHEN 3 THEN '*' WHEN 4 THEN 'W' WHEN 5 THEN 'RL' WHEN 6 THEN 'RQW' WHEN 7 THEN 'RQS*' ELSE 'RKGH' END END END AS aa_change
 FROM {fx_variants} v CROSS JOIN (VALUES (1), (2), (3)) AS t(t)
 WHERE v.gt IN ('0/1', '1/1') AND v.chrom_order < 10""",
     "fx_weights": """
@@ -88,7 +95,7 @@ SELECT 'S' || CAST(p_partkey % 8 AS STRING) AS score_id, CAST(s.s AS INT) AS chr
   CAST(p_partkey * 100 + (1 + p_partkey % 5) * 7 AS INT) AS pos,
   substr('ACGT', CAST(1 + p_partkey % 4 AS INT), 1) AS effect_allele,
   substr('ACGT', CAST(1 + (p_partkey + 1) % 4 AS INT), 1) AS other_allele,
-  CAST(p_size - 25 AS INT) AS weight
+  CAST(p_size - 25 AS INT) AS weight, CAST(p_partkey % 100 AS INT) AS af_pct
 FROM {part} CROSS JOIN (VALUES (0), (5), (10), (15), (20)) AS s(s)""",
     "fx_scores": """
 SELECT 'PGS' || CAST(o_orderkey AS STRING) AS pgs_id, 'T' || CAST(o_custkey % 200 AS STRING) AS trait_group,
@@ -103,7 +110,7 @@ SELECT o_orderkey AS site_id, CAST(o_custkey % 25 AS INT) AS chrom_order, CAST(o
   CASE WHEN o_orderkey % 4 = 0 THEN 'indel' ELSE 'snv' END AS kind,
   CAST(o_orderkey % 31 AS INT) AS ref_reads, CAST((o_orderkey * 7) % 29 AS INT) AS alt_reads,
   CAST(o_orderkey % 16 AS INT) AS ref_fwd_cap, CAST((o_orderkey * 7) % 15 AS INT) AS alt_fwd_cap,
-  CAST(o_orderkey % 13 AS INT) AS low_mapq, CAST(o_orderkey % 3 AS INT) AS expected, CAST((o_orderkey * 5) % 3 AS INT) AS truth,
+  CAST(o_orderkey % 13 AS INT) AS low_mapq, CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE CAST(o_orderkey % 3 AS INT) END AS expected, CAST((o_orderkey * 5) % 3 AS INT) AS truth,
   CASE o_orderstatus WHEN 'F' THEN 'tp' WHEN 'O' THEN 'tp_base' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'fp' ELSE 'fn' END END AS label,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'repeat' WHEN '2-HIGH' THEN 'segdup' ELSE NULL END AS reason
 FROM {orders}""",
@@ -118,6 +125,12 @@ SELECT 'c' || CAST(c_custkey AS STRING) AS claim_id, c_mktsegment AS section, 'G
   CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(c_custkey % 5 AS INT) END AS stars,
   CASE WHEN c_custkey % 19 = 0 THEN 'Reworded ' || c_name ELSE 'About ' || c_name END AS statement
 FROM {customer} WHERE c_custkey % 10 <> 1""",
+    "fx_cohort": """
+SELECT p.p_partkey AS site_id, CAST(p.p_partkey % 25 AS INT) AS chrom_order, CAST(p.p_partkey * 100 AS INT) AS pos, CAST(s.s AS INT) AS sample,
+  CASE WHEN (p.p_partkey * 31 + s.s * 17) % (10 + p.p_partkey % 40) = 0 THEN NULL
+    ELSE CAST(CASE WHEN (p.p_partkey * 7 + s.s * 13 + s.s * s.s) % 10 < p.p_partkey % 7 THEN 1 ELSE 0 END
+      + CASE WHEN (p.p_partkey * 11 + s.s * 5 + s.s * s.s * 3) % 10 < p.p_partkey % 7 THEN 1 ELSE 0 END AS INT) END AS dosage
+FROM {part} p CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19)) AS s(s)""",
     "fx_exons": """
 SELECT 'G' || CAST(p_partkey % 60 AS STRING) AS gene, CAST(p_partkey AS INT) AS exon, CAST(p_partkey * 100 AS INT) AS start_pos,
   CAST(p_partkey * 100 + 80 AS INT) AS end_pos, CAST(20 + p_size AS INT) AS gc_pct,

@@ -18,7 +18,12 @@ VALIDITY_RANK = {"Definitive": 5, "Strong": 4, "Moderate": 3, "Limited": 2, "Dis
 SIG_PREFIXES = [("conflicting", "conflicting"), ("pathogenic", "pathogenic"), ("likely_pathogenic", "likely_pathogenic"), ("uncertain", "uncertain"), ("vus", "uncertain"), ("benign", "benign"), ("likely_benign", "likely_benign")]
 SIG_WORDS = {"drug_response": "drug_response", "risk_factor": "risk_factor", "likely_risk_allele": "risk_factor", "established_risk_allele": "risk_factor", "protective": "protective", "association": "association", "affects": "association", "confers_sensitivity": "association"}
 #: Severity of consequence terms; terms that are not listed have rank 0.
-CSQ_RANK = {"frameshift": 8, "stop_gained": 9, "missense": 6, "splice_region": 4, "synonymous": 3, "non_coding": 1, "intron": 1}
+CSQ_RANK = {
+    "frameshift": 9, "stop_gained": 9, "splice_acceptor": 9, "splice_donor": 9, "start_lost": 8, "stop_lost": 8,
+    "missense": 6, "inframe_deletion": 6, "inframe_insertion": 6, "inframe_altering": 6,
+    "splice_region": 4, "synonymous": 3, "stop_retained": 3, "start_retained": 3, "coding_sequence": 3, "feature_elongation": 3,
+    "5_prime_utr": 2, "3_prime_utr": 2, "non_coding": 1, "intron": 1,
+}
 
 
 def word(level: Column, names: tuple[str, ...]) -> Column:

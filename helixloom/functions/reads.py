@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Error rate of a read, thresholds of the verdict.
@@ -31,8 +31,18 @@ def lod(alt: Column, n: Column, ploidy: Column) -> Column:
     return F.get(ls, F.lit(1))["worse"] - F.get(ls, F.lit(0))["worse"]
 
 
+#: Lanczos coefficients (g = 7) of the gamma function.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
 def log_factorial(n: Column) -> Column:
-    return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, x: a + F.ln(x.cast("double")))
+    """ln(n!) in constant time, by Lanczos' approximation."""
+    x = n.cast("double")
+    total = F.lit(LANCZOS[0])
+    for k, c in enumerate(LANCZOS[1:], 1):
+        total = total + F.lit(c) / (x + k)
+    t = x + 7.5
+    return F.lit(0.9189385332046727) + (x + 0.5) * F.ln(t) - t + F.ln(total)
 
 
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -41,8 +51,51 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     choose = lambda m, k: log_factorial(m) - log_factorial(k) - log_factorial(m - k)
     logp = lambda x: choose(r1, x) + choose(n - r1, c1 - x) - choose(n, c1)
     lo, hi = F.greatest(F.lit(0), c1 - (n - r1)), F.least(r1, c1)
+    p = F.transform(F.sequence(lo.cast("int"), hi.cast("int")), logp)
     here = logp(a)
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(lo.cast("int"), hi.cast("int")), F.lit(0.0), lambda s, x: s + F.when(logp(x) <= here + 1e-9, F.exp(logp(x))).otherwise(0.0)))
+    return F.least(F.lit(1.0), F.aggregate(p, F.lit(0.0), lambda s, x: s + F.when(x <= here + 1e-9, F.exp(x)).otherwise(0.0)))
+
+
+#: Flag bits of reads that are left out (unmapped, secondary, failed, duplicate, supplementary).
+SKIP_FLAGS = 0x4 | 0x100 | 0x200 | 0x400 | 0x800
+
+
+def query_offset(cigar: Column, offset: Column) -> Column:
+    """Where in the read the base stands that is aligned `offset` bases after the read's start on the reference (both from 0);
+    null if the alignment has a gap there."""
+    ops = F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1))
+    zero = F.lit(0)
+    start = F.struct(zero.alias("ref"), zero.alias("query"), F.lit(None).cast("int").alias("hit"))
+
+    def step(acc: Column, op: Column) -> Column:
+        n, kind = F.regexp_extract(op, "^([0-9]+)", 1).cast("int"), F.right(op, F.lit(1))
+        both, here = kind.isin("M", "=", "X"), (offset >= acc["ref"]) & (offset < acc["ref"] + n)
+        return F.struct(
+            (acc["ref"] + F.when(both | kind.isin("D", "N"), n).otherwise(0)).alias("ref"),
+            (acc["query"] + F.when(both | kind.isin("I", "S"), n).otherwise(0)).alias("query"),
+            F.when(both & here, acc["query"] + offset.cast("int") - acc["ref"]).otherwise(acc["hit"]).alias("hit"),
+        )
+
+    return F.aggregate(ops, start, step, lambda acc: acc["hit"])
+
+
+#: Statuses that judge a gene, worst first.
+JUDGED = ("disagrees", "unclear", "weak", "confirmed")
+
+
+def gene_verdicts(sites: DataFrame) -> DataFrame:
+    """(gene, status, positions, problems, uncalled): the worst status of a gene's judged positions, those that are not
+    confirmed, and those without a call. A gene has a bounded number of positions."""
+    order = F.array_position(F.array(*[F.lit(x) for x in JUDGED]), F.col("status"))
+    judged = F.col("status").isin(*JUDGED)
+    named = F.concat(F.col("site_id").cast("string"), F.lit(" ("), "status", F.lit(")"))
+    by = sites.groupBy("gene").agg(
+        F.min_by("status", F.when(judged, order)).alias("status"),
+        F.count(F.when(judged, 1)).alias("positions"),
+        F.array_sort(F.collect_list(F.when(judged & (F.col("status") != "confirmed"), named))).alias("problems"),
+        F.array_sort(F.collect_list(F.when(F.col("status") == "not_called", F.col("site_id")))).alias("uncalled"),
+    )
+    return by.filter("positions > 0")
 
 
 def verdict(ref: Column, alt: Column, expected: Column, ploidy: Column) -> Column:

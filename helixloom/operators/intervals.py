@@ -12,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.reads import SKIP_FLAGS, query_offset
+
 WIDTH = 2048
+#: Least mapping and base quality of a read that counts.
+MIN_MAPQ, MIN_BASEQ = 20, 20
 
 
 def _touched(lo: Column, hi: Column, width: int) -> Column:
@@ -78,3 +82,26 @@ def nearest_other(points: DataFrame, others: DataFrame, keys: list[str], pos: st
     gap = F.abs(F.col("_o") - F.col(pos))
     found = near.groupBy(*keys, pos).agg(F.min(F.when(gap > 0, gap)).alias("nearest"), F.max(F.when(gap == 0, 1).otherwise(0)).alias("at_point"))
     return points.select(*keys, pos).distinct().join(found, [*keys, pos], "left").withColumn("at_point", F.coalesce("at_point", F.lit(0)))
+
+
+def snv_counts(sites: DataFrame, reads: DataFrame) -> DataFrame:
+    """Reads by the letter that they show at single-letter sites (chrom_order, pos, ref, alt). Reads of low mapping quality are
+    counted apart, then those with a poor base at the site; a gap in the alignment counts as another letter."""
+    r = reads.filter(F.col("flag").bitwiseAND(SKIP_FLAGS) == 0).select("chrom_order", "flag", "mapq", "cigar", "seq", "qual", "start_pos", "end_pos")
+    j = points_in(sites, r, ["chrom_order"], "pos", "start_pos", "end_pos")
+    j = j.withColumn("at", query_offset(F.col("cigar"), F.col("pos") - F.col("start_pos") - 1))
+    j = j.withColumns({"base": F.substring("seq", F.col("at") + 1, F.lit(1)), "q": F.ascii(F.substring("qual", F.col("at") + 1, F.lit(1))) - 33})
+    n = lambda c: F.count(F.when(c, 1))
+    sure = F.col("mapq") >= MIN_MAPQ
+    gap, poor = F.col("at").isNull(), F.coalesce(F.col("q") < MIN_BASEQ, F.lit(False))
+    shows = lambda c: sure & ~gap & ~poor & (F.col("base") == F.col(c))
+    forward = F.col("flag").bitwiseAND(16) == 0
+    return j.groupBy("chrom_order", "pos", "ref", "alt").agg(
+        n(~sure).alias("low_mapq"),
+        n(sure & ~gap & poor).alias("low_baseq"),
+        n(shows("ref")).alias("ref_reads"),
+        n(shows("alt")).alias("alt_reads"),
+        n(sure & (gap | (~poor & (F.col("base") != F.col("ref")) & (F.col("base") != F.col("alt"))))).alias("other"),
+        n(shows("ref") & forward).alias("ref_fwd"),
+        n(shows("alt") & forward).alias("alt_fwd"),
+    )

@@ -33,28 +33,21 @@ def _n(condition) -> F.Column:
 def qc(v: DataFrame) -> DataFrame:
     """One row of metrics over passing, called alleles."""
     called = v.filter((F.col("filter") == "PASS") & F.col("zygosity").isin(*CALLED))
-    snv, het = F.col("vtype") == "SNV", F.col("zygosity") == "het"
-    auto = ~F.col("chrom").isin("X", "Y", "MT")
-    swap = F.concat("ref", "alt").isin("AG", "GA", "CT", "TC")
-    vaf = F.when(snv & het & auto, F.col("vaf"))
-    x = (F.col("chrom") == "X") & snv & ~A.in_par_x(F.col("pos"))
-    m = called.agg(
-        _n(snv).alias("snv"),
-        _n(F.col("vtype") == "INS").alias("ins"),
-        _n(F.col("vtype") == "DEL").alias("del"),
-        _n(F.col("vtype") == "MNV").alias("mnv"),
-        _n(snv & het).alias("snv_het"),
-        _n(snv & (F.col("zygosity") == "hom")).alias("snv_hom"),
-        _n(snv & swap).alias("ts"),
-        F.median(vaf).alias("vaf_median"),
-        F.percentile(vaf, F.lit(0.25)).alias("vaf_q1"),
-        F.percentile(vaf, F.lit(0.75)).alias("vaf_q3"),
-        F.median("dp").alias("dp_median"),
-        F.median("gq").alias("gq_median"),
-        _n(x & het).alias("x_het"),
-        _n(x & F.col("zygosity").isin("hom", "hemi")).alias("x_hom"),
-        _n((F.col("chrom") == "Y") & snv).alias("y_snv"),
-    )
+    snv, zyg = F.col("vtype") == "SNV", F.col("zygosity")
+    on_x = snv & (F.col("chrom") == "X") & ~A.in_par_x(F.col("pos"))
+    kinds = {k.lower(): F.col("vtype") == k for k in ("SNV", "INS", "DEL", "MNV")}
+    counted = kinds | {
+        "snv_het": snv & (zyg == "het"),
+        "snv_hom": snv & (zyg == "hom"),
+        "ts": snv & F.concat("ref", "alt").isin("AG", "GA", "CT", "TC"),
+        "x_het": on_x & (zyg == "het"),
+        "x_hom": on_x & (zyg != "het"),
+        "y_snv": snv & (F.col("chrom") == "Y"),
+    }
+    share = F.when(snv & (zyg == "het") & ~F.col("chrom").isin("X", "Y", "MT"), F.col("vaf"))
+    levels = {"vaf_median": (share, 0.5), "vaf_q1": (share, 0.25), "vaf_q3": (share, 0.75), "dp_median": (F.col("dp"), 0.5), "gq_median": (F.col("gq"), 0.5)}
+    m = called.agg(*[_n(c).alias(k) for k, c in counted.items()], *[F.percentile(c, F.lit(q)).alias(k) for k, (c, q) in levels.items()])
+    m = m.withColumns({"snv_count": F.col("snv"), "indel_count": F.col("ins") + F.col("del")})
     return m.withColumns(
         {
             "titv": F.col("ts").cast("double") / F.greatest(F.col("snv") - F.col("ts"), F.lit(1)),

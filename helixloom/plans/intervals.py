@@ -158,21 +158,14 @@ def _(t):
     return j.select("gene", "exon", F.coalesce("u", F.lit(0)).cast("bigint").alias("bases_unique"), F.coalesce("a", F.lit(0)).cast("bigint").alias("bases_all"))
 
 
-@query("snv_counts", """SELECT v.chrom_order, v.pos, v.ref, v.alt, count(*) FILTER (r.mapq < 20) AS low_mapq, count(*) FILTER (r.mapq >= 20 AND r.seq[v.pos - r.start_pos] = v.ref) AS ref_reads, count(*) FILTER (r.mapq >= 20 AND r.seq[v.pos - r.start_pos] = v.alt) AS alt_reads,
- count(*) FILTER (r.mapq >= 20 AND r.seq[v.pos - r.start_pos] NOT IN (v.ref, v.alt)) AS other, count(*) FILTER (r.mapq >= 20 AND r.seq[v.pos - r.start_pos] = v.alt AND (r.flag & 16) = 0) AS alt_fwd
- FROM fx_variants v JOIN fx_reads r ON v.chrom_order = r.chrom_order AND v.pos > r.start_pos AND v.pos <= r.start_pos + 100 AND r.flag < 1024 AND r.qual[1] >= '5' WHERE length(v.ref) = 1 AND length(v.alt) = 1 GROUP BY 1, 2, 3, 4""")
+@query("snv_counts", """WITH h AS (SELECT v.chrom_order, v.pos, v.ref, v.alt, r.mapq, r.flag, r.seq, r.qual, CASE r.cigar WHEN '100M' THEN o WHEN '50M4D46M4S' THEN CASE WHEN o < 50 THEN o WHEN o >= 54 THEN o - 4 END ELSE CASE WHEN o < 48 OR o >= 50 THEN o END END AS q
+ FROM fx_variants v JOIN (SELECT *, unnest(range(0, 100)) AS o FROM fx_reads WHERE flag % 8 < 4 AND (flag // 256) % 16 = 0) r ON v.chrom_order = r.chrom_order AND v.pos = r.start_pos + 1 + r.o WHERE length(v.ref) = 1 AND length(v.alt) = 1),
+ b AS (SELECT *, mapq < 20 AS low, CASE WHEN q IS NULL THEN 'gap' WHEN ascii(qual[q + 1]) - 33 < 20 THEN 'poor' ELSE seq[q + 1] END AS base FROM h)
+ SELECT chrom_order, pos, ref, alt, count(*) FILTER (low) AS low_mapq, count(*) FILTER (NOT low AND base = 'poor') AS low_baseq, count(*) FILTER (NOT low AND base = ref) AS ref_reads, count(*) FILTER (NOT low AND base = alt) AS alt_reads,
+ count(*) FILTER (NOT low AND base NOT IN ('poor', ref, alt)) AS other, count(*) FILTER (NOT low AND base = ref AND (flag & 16) = 0) AS ref_fwd, count(*) FILTER (NOT low AND base = alt AND (flag & 16) = 0) AS alt_fwd FROM b GROUP BY 1, 2, 3, 4""")
 def _(t):
     v = t.fx_variants.filter("length(ref) = 1 AND length(alt) = 1").select("chrom_order", "pos", "ref", "alt")
-    r = t.fx_reads.filter("flag < 1024").select("chrom_order", "flag", "mapq", "seq", "qual", "start_pos", (F.col("start_pos") + 100).alias("end_pos"))
-    j = I.points_in(v, r, ["chrom_order"], "pos", "start_pos", "end_pos")
-    at = F.col("pos") - F.col("start_pos")
-    j = j.withColumns({"base": F.substring("seq", at, F.lit(1)), "q": F.ascii(F.substring("qual", at, F.lit(1))) - 33}).filter("q >= 20")
-    n = lambda c: F.count(F.when(c, 1))
-    ok, base = F.col("mapq") >= 20, F.col("base")
-    return j.groupBy("chrom_order", "pos", "ref", "alt").agg(
-        n(~ok).alias("low_mapq"), n(ok & (base == F.col("ref"))).alias("ref_reads"), n(ok & (base == F.col("alt"))).alias("alt_reads"),
-        n(ok & (base != F.col("ref")) & (base != F.col("alt"))).alias("other"), n(ok & (base == F.col("alt")) & (F.col("flag").bitwiseAND(16) == 0)).alias("alt_fwd"),
-    )
+    return I.snv_counts(v, t.fx_reads.withColumn("end_pos", F.col("start_pos") + 100))
 
 
 @query("read_qc", """SELECT i::INT AS cycle, count(*) AS n, sum(ascii(qual[i]) - 33)::BIGINT AS q_sum, count(*) FILTER (ascii(qual[i]) - 33 >= 30) AS q30, count(*) FILTER (seq[i] IN ('G', 'C')) AS gc, count(*) FILTER (seq[i] = 'N') AS n_bases FROM fx_reads, range(1, 101) t(i) GROUP BY 1""")

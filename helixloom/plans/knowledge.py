@@ -12,16 +12,17 @@ from .variants import STORE
 
 SIG = """CASE WHEN significance IS NULL THEN 'other' WHEN lower(significance) LIKE 'conflicting%' THEN 'conflicting' WHEN lower(significance) LIKE 'pathogenic%' THEN 'pathogenic' WHEN lower(significance) LIKE 'likely\\_pathogenic%' ESCAPE '\\' THEN 'likely_pathogenic'
  WHEN lower(significance) LIKE 'uncertain%' THEN 'uncertain' WHEN lower(significance) LIKE 'benign%' THEN 'benign' WHEN lower(significance) = 'drug_response' THEN 'drug_response' WHEN lower(significance) = 'risk_factor' THEN 'risk_factor' WHEN lower(significance) = 'association' THEN 'association' ELSE 'other' END"""
-KNOWN = f"k AS (SELECT chrom_order, pos, ref, alt, variation_id, significance, stars, af_1kg, {SIG} AS cls, CASE WHEN popmax_raw >= 0 THEN popmax_raw END AS popmax, flag_raw = '1' AS flagged FROM fx_known)"
+KNOWN = f"k AS (SELECT chrom_order, pos, ref, alt, variation_id, significance, conflicts, stars, af_1kg, {SIG} AS cls, CASE WHEN popmax_raw >= 0 THEN popmax_raw END AS popmax, flag_raw = '1' AS flagged FROM fx_known)"
 AF = "greatest(CASE WHEN flagged THEN NULL ELSE popmax END, af_1kg)"
 LEVEL = f"""CASE WHEN cls IN ('pathogenic', 'likely_pathogenic') THEN CASE WHEN {AF} >= 0.05 THEN 0 WHEN {AF} >= 0.01 THEN greatest(CASE WHEN stars >= 3 THEN 2 WHEN stars = 2 THEN 1 ELSE 0 END - 1, 0) ELSE CASE WHEN stars >= 3 THEN 2 WHEN stars = 2 THEN 1 ELSE 0 END END
  WHEN cls = 'conflicting' THEN 0 WHEN cls = 'drug_response' THEN CASE WHEN stars >= 2 THEN 1 ELSE 0 END ELSE CASE WHEN stars >= 3 THEN 2 WHEN stars = 2 THEN 1 ELSE 0 END END"""
-RANK = "list_max(list_transform(string_split(csq, '&'), lambda x: CASE x WHEN 'stop_gained' THEN 9 WHEN 'frameshift' THEN 8 WHEN 'missense' THEN 6 WHEN 'splice_region' THEN 4 WHEN 'synonymous' THEN 3 WHEN 'non_coding' THEN 1 WHEN 'intron' THEN 1 ELSE 0 END))"
+RANK = """list_max(list_transform(string_split(csq, '&'), lambda x: CASE WHEN x IN ('frameshift', 'stop_gained', 'splice_acceptor', 'splice_donor') THEN 9 WHEN x IN ('start_lost', 'stop_lost') THEN 8 WHEN x IN ('missense', 'inframe_deletion', 'inframe_insertion', 'inframe_altering') THEN 6
+ WHEN x = 'splice_region' THEN 4 WHEN x IN ('synonymous', 'stop_retained', 'start_retained', 'coding_sequence', 'feature_elongation') THEN 3 WHEN x IN ('5_prime_utr', '3_prime_utr') THEN 2 WHEN x IN ('non_coding', 'intron') THEN 1 ELSE 0 END))"""
 PICK = f"""sc AS (SELECT *, {RANK} AS r FROM fx_csq), sd AS (SELECT *, {{'s': CASE WHEN mane = 'MANE Select' THEN 2000 ELSE 0 END + r * 10, 't': -tx_no}} AS o FROM sc),
  pk AS (SELECT chrom_order, pos, ref, alt, arg_max(csq, o) AS consequence, arg_max(gene, o) AS gene, arg_max(aa_change, o) AS aa_change, arg_max(mane, o) AS basis, arg_max(r, o) AS r, list_sort(list(DISTINCT gene)) AS genes FROM sd GROUP BY 1, 2, 3, 4)"""
 IMPACT = "CASE WHEN r >= 8 THEN 'HIGH' WHEN r >= 6 THEN 'MODERATE' WHEN r >= 3 THEN 'LOW' ELSE 'MODIFIER' END"
 ANN = f"""{STORE}, {KNOWN}, {PICK}, nm AS (SELECT chrom_order, pos, min(rsid) AS rsid, min(genotype) AS provider_genotype FROM fx_provider GROUP BY 1, 2),
- ann AS (SELECT s.*, coalesce(pk.consequence, 'intergenic') AS consequence, pk.gene, pk.aa_change, coalesce({IMPACT.replace('r >=', 'pk.r >=')}, 'MODIFIER') AS impact, k.significance, k.stars, k.af_1kg, coalesce(k.cls, 'other') AS cls, k.popmax, k.flagged, nm.rsid, nm.provider_genotype
+ ann AS (SELECT s.*, coalesce(pk.consequence, 'intergenic') AS consequence, pk.gene, pk.aa_change, coalesce({IMPACT.replace('r >=', 'pk.r >=')}, 'MODIFIER') AS impact, k.significance, k.conflicts, k.stars, k.af_1kg, coalesce(k.cls, 'other') AS cls, k.popmax, k.flagged, nm.rsid, nm.provider_genotype
  FROM store s LEFT JOIN pk USING (chrom_order, pos, ref, alt) LEFT JOIN k USING (chrom_order, pos, ref, alt) LEFT JOIN nm USING (chrom_order, pos) WHERE s.zygosity IN ('het', 'hom', 'hemi'))"""
 CALLS = """CASE WHEN filter IS NOT NULL AND filter NOT IN ('PASS', '.') THEN 1 WHEN provider = 'disagree' THEN 1 ELSE CASE WHEN (zygosity = 'het' AND NOT vaf BETWEEN 0.2 AND 0.8) OR (zygosity = 'hom' AND vaf < 0.8)
  THEN greatest(CASE WHEN gq >= 30 AND dp >= 15 THEN 3 WHEN gq >= 20 AND dp >= 10 THEN 2 ELSE 1 END - 1, 1) ELSE CASE WHEN gq >= 30 AND dp >= 15 THEN 3 WHEN gq >= 20 AND dp >= 10 THEN 2 ELSE 1 END END END"""
@@ -31,7 +32,7 @@ GRADED = f"""{ANN}, gp AS (SELECT *, CASE WHEN provider_genotype IS NULL THEN NU
  cls, gene, zygosity, ['Limited', 'Moderate', 'Strong'][evidence + 1] AS evidence_level, ['Not callable', 'Low', 'Medium', 'High'][call + 1] AS call_confidence, ['Not callable', 'Limited', 'Moderate', 'Strong'][least(evidence + 1, call) + 1] AS overall,
  list_filter(['stars_' || coalesce(stars, 0), CASE WHEN cls = 'drug_response' AND stars >= 3 THEN 'drug_response_capped' END, CASE WHEN cls = 'conflicting' THEN 'labs_disagree' END, CASE WHEN cls IN ('pathogenic', 'likely_pathogenic') AND {AF} >= 0.05 THEN 'ba1_common' END,
   CASE WHEN cls IN ('pathogenic', 'likely_pathogenic') AND {AF} >= 0.01 AND {AF} < 0.05 THEN 'bs1_common' END, CASE WHEN cls IN ('pathogenic', 'likely_pathogenic') AND coalesce(flagged, false) THEN 'frequency_flagged' END], lambda x: x IS NOT NULL) AS reasons
- FROM gl WHERE cls IN ('pathogenic', 'likely_pathogenic', 'drug_response', 'risk_factor', 'protective', 'association'))"""
+ FROM gl WHERE cls IN ('pathogenic', 'likely_pathogenic', 'drug_response', 'risk_factor', 'protective', 'association') OR (cls = 'conflicting' AND conflicts ILIKE '%pathogenic%'))"""
 
 
 def _annotated(t):

@@ -11,7 +11,7 @@ from ..functions.alleles import complement
 from .registry import query
 
 COMP = "translate({}, 'ACGT', 'TGCA')"
-MATCH = """m AS (SELECT w.score_id, w.chrom_order, w.pos, w.effect_allele, w.other_allele, w.weight, v.alt, v.gt, CASE WHEN w.effect_allele = v.alt AND w.other_allele = v.ref THEN 'direct' WHEN w.effect_allele = v.ref AND w.other_allele = v.alt THEN 'swapped'
+MATCH = """m AS (SELECT w.score_id, w.chrom_order, w.pos, w.effect_allele, w.other_allele, w.weight, w.af_pct, v.alt, v.gt, CASE WHEN w.effect_allele = v.alt AND w.other_allele = v.ref THEN 'direct' WHEN w.effect_allele = v.ref AND w.other_allele = v.alt THEN 'swapped'
  WHEN translate(w.effect_allele, 'ACGT', 'TGCA') = v.alt AND translate(w.other_allele, 'ACGT', 'TGCA') = v.ref THEN 'flipped' WHEN translate(w.effect_allele, 'ACGT', 'TGCA') = v.ref AND translate(w.other_allele, 'ACGT', 'TGCA') = v.alt THEN 'flipped_swapped' END AS kind
  FROM fx_weights w JOIN fx_variants v ON w.chrom_order = v.chrom_order AND w.pos = v.pos)"""
 
@@ -32,12 +32,46 @@ def _(t):
 DOSAGE = "CASE gt WHEN '1/1' THEN 2 WHEN '0/1' THEN 1 WHEN '0/0' THEN 0 END"
 
 
-@query("score_samples", f"""WITH {MATCH}, d AS (SELECT *, CASE WHEN kind IN ('direct', 'flipped') THEN {DOSAGE} ELSE 2 - ({DOSAGE}) END AS dosage FROM m WHERE kind IS NOT NULL) SELECT score_id, sum(weight * coalesce(dosage, 1))::BIGINT AS score, count(*) AS n, count(*) FILTER (dosage IS NULL) AS missing FROM d GROUP BY 1""")
+@query("score_samples", f"""WITH {MATCH}, d AS (SELECT *, CASE WHEN kind IN ('direct', 'flipped') THEN {DOSAGE} ELSE 2 - ({DOSAGE}) END AS dosage FROM m WHERE kind IS NOT NULL) SELECT score_id, sum(CASE WHEN dosage IS NULL THEN weight * 2 * af_pct ELSE weight * dosage * 100 END)::BIGINT / 100 AS score, count(*) AS n, count(*) FILTER (dosage IS NULL) AS missing FROM d GROUP BY 1""")
 def _(t):
     m = match_weights(t.fx_weights, t.fx_variants)
     copies = F.when(F.col("gt") == "1/1", 2).when(F.col("gt") == "0/1", 1).when(F.col("gt") == "0/0", 0)
     m = m.withColumn("dosage", F.when(F.col("kind").isin("direct", "flipped"), copies).otherwise(2 - copies))
-    return m.groupBy("score_id").agg(F.sum(F.col("weight") * F.coalesce("dosage", F.lit(1))).alias("score"), F.count("*").alias("n"), F.count(F.when(F.col("dosage").isNull(), 1)).alias("missing"))
+    return score_samples(m, ["score_id"], "af_pct")
+
+
+def score_samples(matched, by, af_pct):
+    """Sums of weight times copies; a missing genotype counts as twice the effect allele's frequency (in hundredths, so that
+    sums are of whole numbers)."""
+    share = F.coalesce(100 * F.col("dosage"), 2 * F.col(af_pct)).cast("bigint")
+    return matched.groupBy(*by).agg((F.sum(F.col("weight") * share) / 100).alias("score"), F.count("*").alias("n"), F.count(F.when(F.col("dosage").isNull(), 1)).alias("missing"))
+
+
+COHORT = "c AS (SELECT w.score_id, w.weight, w.af_pct, c.sample, c.dosage FROM fx_weights w JOIN (SELECT DISTINCT site_id * 100 AS at, sample, dosage FROM fx_cohort) c ON w.pos - (1 + (w.pos // 100) % 5) * 7 = c.at)"
+
+
+@query("score_cohort", f"""WITH {COHORT} SELECT score_id, sample, sum(CASE WHEN dosage IS NULL THEN weight * 2 * af_pct ELSE weight * dosage * 100 END)::BIGINT / 100 AS score, count(*) AS n, count(*) FILTER (dosage IS NULL) AS missing FROM c GROUP BY 1, 2""")
+def _(t):
+    site = F.expr("pos div 100")
+    w = t.fx_weights.withColumn("site_id", site.cast("bigint"))
+    return score_samples(w.join(t.fx_cohort.select("site_id", "sample", "dosage"), "site_id"), ["score_id", "sample"], "af_pct")
+
+
+@query("variant_filter", """WITH g AS (SELECT site_id, chrom_order, count(*) AS people, count(*) FILTER (dosage IS NULL) AS missing, count(*) FILTER (dosage = 0) AS n0, count(*) FILTER (dosage = 1) AS n1, count(*) FILTER (dosage = 2) AS n2 FROM fx_cohort GROUP BY 1, 2),
+ f AS (SELECT *, n0 + n1 + n2 AS n, (n1 + 2 * n2) / nullif(2.0 * (n0 + n1 + n2), 0) AS af FROM g),
+ h AS (SELECT *, CASE WHEN af > 0 AND af < 1 THEN pow(n0 - n * (1 - af) * (1 - af), 2) / (n * (1 - af) * (1 - af)) + pow(n1 - 2 * n * af * (1 - af), 2) / (2 * n * af * (1 - af)) + pow(n2 - n * af * af, 2) / (n * af * af) END AS chi2 FROM f)
+ SELECT site_id, n0, n1, n2, missing, af, chi2, chrom_order < 22 AND least(af, 1 - af) >= 0.05 AND missing <= 0.1 * people AND coalesce(chi2, 0) < 15.136705226623606 AS kept FROM h""")
+def _(t):
+    from ..operators.cohort import variant_filter
+
+    return variant_filter(t.fx_cohort)
+
+
+@query("sample_missingness", "SELECT sample, count(*) AS sites, count(*) FILTER (dosage IS NULL) AS missing, count(*) FILTER (dosage IS NULL) <= 0.1 * count(*) AS kept FROM fx_cohort GROUP BY 1")
+def _(t):
+    from ..operators.cohort import sample_missingness
+
+    return sample_missingness(t.fx_cohort)
 
 
 OK = "ok AS (SELECT * FROM fx_scores WHERE passed AND percentile IS NOT NULL AND z IS NOT NULL)"
@@ -95,7 +129,7 @@ def _(t):
 
 LL = """ll AS (SELECT *, ref_reads + alt_reads AS n, alt_reads * log10(0.02) + ref_reads * log10(0.98) AS l0, alt_reads * log10(0.5) + ref_reads * log10(0.5) AS l1, alt_reads * log10(0.98) + ref_reads * log10(0.02) AS l2 FROM fx_sites),
  be AS (SELECT *, CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS best, greatest(l0, l1, l2) - (l0 + l1 + l2 - greatest(l0, l1, l2) - least(l0, l1, l2)) AS lod FROM ll),
- ve AS (SELECT *, CASE WHEN n = 0 THEN 'not_checkable' WHEN best = expected THEN CASE WHEN lod >= 2 AND n >= 8 THEN 'confirmed' ELSE 'weak' END ELSE CASE WHEN lod >= 2 AND n >= 8 THEN 'disagrees' ELSE 'unclear' END END AS status FROM be)"""
+ ve AS (SELECT *, CASE WHEN n = 0 THEN 'not_checkable' WHEN expected IS NULL THEN 'not_called' WHEN best = expected THEN CASE WHEN lod >= 2 AND n >= 8 THEN 'confirmed' ELSE 'weak' END ELSE CASE WHEN lod >= 2 AND n >= 8 THEN 'disagrees' ELSE 'unclear' END END AS status FROM be)"""
 
 
 def _sites(t):
@@ -135,11 +169,11 @@ def _(t):
     return c.withColumn("f1", F.try_divide(2 * F.col("precision_") * F.col("recall_"), F.col("precision_") + F.col("recall_")))
 
 
-@query("gene_verdicts", f"""WITH {LL}, r AS (SELECT *, CASE status WHEN 'disagrees' THEN 0 WHEN 'unclear' THEN 1 WHEN 'weak' THEN 2 WHEN 'not_checkable' THEN 3 ELSE 4 END AS rank FROM ve)
- SELECT chrom_order, arg_min(status, rank) AS status, count(*) AS positions, coalesce(list_sort(list(site_id) FILTER (status IN ('disagrees', 'unclear'))), []) AS problems FROM r GROUP BY 1""")
+@query("gene_verdicts", f"""WITH {LL}, r AS (SELECT *, 'G' || CAST(site_id // 200 AS VARCHAR) AS gene FROM ve), j AS (SELECT gene, count(*) AS positions, CASE WHEN bool_or(status = 'disagrees') THEN 'disagrees' WHEN bool_or(status = 'unclear') THEN 'unclear' WHEN bool_or(status = 'weak') THEN 'weak' ELSE 'confirmed' END AS status,
+ list_sort(list(site_id || ' (' || status || ')') FILTER (status <> 'confirmed')) AS problems FROM r WHERE status IN ('disagrees', 'unclear', 'weak', 'confirmed') GROUP BY 1), u AS (SELECT gene, list_sort(list(site_id)) AS uncalled FROM r WHERE status = 'not_called' GROUP BY 1)
+ SELECT gene, status, positions, coalesce(problems, []) AS problems, coalesce(uncalled, []) AS uncalled FROM j LEFT JOIN u USING (gene)""")
 def _(t):
-    order = F.array_position(F.array(*[F.lit(x) for x in ("disagrees", "unclear", "weak", "not_checkable", "confirmed")]), F.col("status"))
-    return _sites(t).groupBy("chrom_order").agg(F.min_by("status", order).alias("status"), F.count("*").alias("positions"), F.array_sort(F.collect_list(F.when(F.col("status").isin("disagrees", "unclear"), F.col("site_id")))).alias("problems"))
+    return R.gene_verdicts(_sites(t).withColumn("gene", F.concat(F.lit("G"), F.expr("site_id div 200").cast("string"))))
 
 
 @query("genotype_calibration", """WITH b AS (SELECT k.af_1kg, v.gt, CASE WHEN length(v.ref) = length(v.alt) THEN 'snp' ELSE 'indel' END AS kind, CASE WHEN k.af_1kg < 0.01 THEN 0 WHEN k.af_1kg < 0.05 THEN 1 WHEN k.af_1kg < 0.2 THEN 2 WHEN k.af_1kg < 0.5 THEN 3 WHEN k.af_1kg < 0.9 THEN 4 ELSE 5 END AS band FROM fx_known k JOIN fx_variants v USING (chrom_order, pos, ref, alt) WHERE k.af_1kg IS NOT NULL)
@@ -153,8 +187,17 @@ def _(t):
     return j.groupBy(F.when(F.length("ref") == F.length("alt"), "snp").otherwise("indel").alias("kind"), band.alias("band")).agg(F.count("*").alias("n"), share("0/0").alias("hom_ref"), share("0/1").alias("het"), share("1/1").alias("hom_alt"), share("./.").alias("missing"))
 
 
-@query("strand_test", None)
+def _lf(x):
+    return f"lgamma(1.0 + ({x}))"
+
+
+_LOGP = f"{_lf('r1')} - {_lf('x')} - {_lf('r1 - x')} + {_lf('n - r1')} - {_lf('c1 - x')} - {_lf('n - r1 - c1 + x')} - {_lf('n')} + {_lf('c1')} + {_lf('n - c1')}"
+
+
+@query("strand_test", f"""WITH s AS (SELECT site_id, least(ref_reads, ref_fwd_cap) AS a, ref_reads - least(ref_reads, ref_fwd_cap) AS b, least(alt_reads, alt_fwd_cap) AS c, alt_reads - least(alt_reads, alt_fwd_cap) AS d FROM fx_sites WHERE alt_reads >= 6 AND ref_reads >= 6),
+ m AS (SELECT *, a + b + c + d AS n, a + b AS r1, a + c AS c1 FROM s), e AS (SELECT *, unnest(range(greatest(0, c1 - (n - r1)), least(r1, c1) + 1)) AS x FROM m), l AS (SELECT site_id, a, x, {_LOGP} AS lp FROM e),
+ h AS (SELECT site_id, lp AS here FROM l WHERE x = a) SELECT site_id, round(least(1.0, sum(exp(lp)) FILTER (lp <= here + 1e-9)), 6) AS p FROM l JOIN h USING (site_id) GROUP BY 1""")
 def _(t):
     c = F.col
     s = t.fx_sites.filter("alt_reads >= 6 AND ref_reads >= 6").withColumns({"rf": F.least("ref_reads", "ref_fwd_cap"), "af": F.least("alt_reads", "alt_fwd_cap")})
-    return s.select("site_id", R.fisher_exact(c("rf"), c("ref_reads") - c("rf"), c("af"), c("alt_reads") - c("af")).alias("p"))
+    return s.select("site_id", R.fisher_exact(c("rf"), c("ref_reads") - c("rf"), c("af"), c("alt_reads") - c("af")).alias("p")).withColumn("p", F.round("p", 6))
