@@ -157,6 +157,22 @@ class Tables:
         return made
 
 
+def columns_of(name: str) -> list[str]:
+    """Column names of a projection, from the last names in its outer list."""
+    depth, part, parts = 0, "", []
+    head = SQL[name].strip()[len("SELECT") :]
+    for c in re.split(r"([(),]|\bFROM\b)", head):
+        depth += (c == "(") - (c == ")")
+        if depth == 0 and c in (",", "FROM"):
+            parts.append(part)
+            part = ""
+            if c == "FROM":
+                break
+        else:
+            part += c
+    return [p.split()[-1].split(".")[-1] for p in parts]
+
+
 def with_projections(query: str) -> str:
     """DuckDB text of a query over projections: those it names are put before it."""
     order: list[str] = []

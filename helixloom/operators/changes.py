@@ -31,9 +31,11 @@ def graded_diff(diff: DataFrame) -> DataFrame:
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """(n_rows, digest): the same for the same rows in any order; sums of a hash kept within 53 bits a row."""
-    h = F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])).bitwiseAND(F.lit((1 << 40) - 1))
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).alias("digest"))
+    """(n_rows, digest): the same for the same rows in any order. A row is the texts of its columns in the order of their names,
+    nulls told from texts by a mark; forty bits of its md5 are summed, so that rows may repeat and sums stay exact."""
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.chr(F.lit(30))) for c in sorted(df.columns)]
+    row = F.conv(F.substring(F.md5(F.concat_ws(chr(31), *texts)), 1, 10), 16, 10).cast("bigint")
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(row), F.lit(0)).alias("digest"))
 
 
 def run_checks(tables: dict[str, DataFrame], rules: dict[str, tuple[tuple[str, ...], str]], spark) -> DataFrame:

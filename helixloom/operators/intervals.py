@@ -43,28 +43,49 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str
     return left.join(right, on, how).drop("_bin", "_r_bin", *[f"_r_{k}" for k in keys])
 
 
-def merge(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Overlapping and touching intervals become one."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = df.withColumn("_new", F.when(F.col(start) <= before, 0).otherwise(1))
-    islands = islands.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
-
-
-def depth_runs(df: DataFrame, keys: list[str], start: str, end: str, bounds: tuple[int, ...]) -> DataFrame:
-    """Maximal runs of one depth class (number of bounds reached), from a sweep over starts and ends."""
+def _before(df: DataFrame, keys: list[str], by: str, value: Column, fold) -> DataFrame:
+    """df with `carry`: fold of `value` over all bins of the same keys before the row's bin (column `by`). One row for each bin
+    goes through the window, never the rows themselves."""
+    bins = df.groupBy(*keys, by).agg(value.alias("_v"))
+    ahead = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(bins.withColumn("carry", fold("_v").over(ahead)).drop("_v"), [*keys, by])
+
+
+def merge(df: DataFrame, keys: list[str], start: str, end: str, width: int = 64 * WIDTH) -> DataFrame:
+    """Overlapping and touching intervals become one. Inside bins of starts, the furthest end so far tells where an island
+    begins; what reaches into a bin from those before it is carried in by a table of bins."""
+    rows = df.select(*keys, start, end).withColumn("_bin", F.floor(F.col(start) / width))
+    rows = _before(rows, keys, "_bin", F.max(end), F.max)
+    order = Window.partitionBy(*keys, "_bin").orderBy(start, end)
+    reach = F.greatest(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry"))
+    rows = rows.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1)).drop("carry")
+    rows = _before(rows, keys, "_bin", F.sum("_new"), F.sum)
+    island = F.coalesce("carry", F.lit(0)) + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
+def depth_runs(df: DataFrame, keys: list[str], start: str, end: str, bounds: tuple[int, ...], width: int = 64 * WIDTH) -> DataFrame:
+    """Maximal runs of one depth class (number of bounds reached), from a sweep over starts and ends. Sweeps run inside
+    bins; the depth at a bin's edge, and the class of the step before it, are carried in by a table of bins."""
     steps = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    steps = steps.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    depth = steps.withColumn("depth", F.sum("d").over(order)).withColumn("to", F.lead("at").over(order)).filter("to IS NOT NULL")
+    steps = steps.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).withColumn("_bin", F.floor(F.col("at") / width))
+    order = Window.partitionBy(*keys, "_bin").orderBy("at")
+    depth = _before(steps, keys, "_bin", F.sum("d"), F.sum)
+    depth = depth.withColumn("depth", F.coalesce("carry", F.lit(0)) + F.sum("d").over(order)).drop("carry")
     cls = F.lit(0)
     for b in bounds:
         cls = cls + F.when(F.col("depth") >= b, 1).otherwise(0)
     depth = depth.withColumn("cls", cls)
-    depth = depth.withColumn("_new", F.when(F.lag("cls").over(order) == F.col("cls"), 0).otherwise(1))
-    depth = depth.withColumn("_run", F.sum("_new").over(order))
-    return depth.groupBy(*keys, "_run", "cls").agg(F.min("at").alias("start_pos"), F.max("to").alias("end_pos")).drop("_run")
+    # Across bins: where the next bin's first step stands, and the class of the last step before a bin.
+    edges = depth.groupBy(*keys, "_bin").agg(F.min("at").alias("first"), F.max_by("cls", "at").alias("last"))
+    along = Window.partitionBy(*keys).orderBy("_bin")
+    edges = edges.select(*keys, "_bin", F.lead("first").over(along).alias("next_at"), F.lag("last").over(along).alias("was"))
+    depth = depth.join(edges, [*keys, "_bin"])
+    depth = depth.withColumns({"to": F.coalesce(F.lead("at").over(order), F.col("next_at")), "_was": F.coalesce(F.lag("cls").over(order), F.col("was"))}).filter("to IS NOT NULL")
+    depth = depth.withColumn("_new", F.when(F.col("_was") == F.col("cls"), 0).otherwise(1))
+    depth = _before(depth.select(*keys, "_bin", "at", "to", "cls", "_new"), keys, "_bin", F.sum("_new"), F.sum)
+    run = F.coalesce("carry", F.lit(0)) + F.sum("_new").over(order)
+    return depth.withColumn("_run", run).groupBy(*keys, "_run", "cls").agg(F.min("at").alias("start_pos"), F.max("to").alias("end_pos")).drop("_run")
 
 
 def window_depth(df: DataFrame, keys: list[str], start: str, end: str, width: int = 1000) -> DataFrame:

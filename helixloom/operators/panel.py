@@ -3,10 +3,14 @@ the group's sum, so leaving each person out costs one join with the table of cen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = 10
+#: Neighbours that vote, the share of mistaken votes that makes two populations alike, numbers of axes to try.
+NEIGHBOURS, CONFUSED, AXES_TRIED = 10, 0.2, (4, 6, 8, 10)
+#: Most people of a panel: neighbours compare all with all, so larger panels are refused. Queries take a table's groups of people.
+MOST_PEOPLE = 100_000
 
 
 def people(embeddings: DataFrame) -> DataFrame:
@@ -35,3 +39,91 @@ def nearest_centre(axes: DataFrame) -> DataFrame:
     mean = F.when(F.col("grp") == F.col("other"), (F.col("s") - F.col("x")) / (F.col("n") - 1)).otherwise(F.col("s") / F.col("n"))
     d = axes.join(c, "axis").groupBy("vec_id", F.col("grp").alias("own"), "other").agg(F.sum((F.col("x") - mean) * (F.col("x") - mean)).alias("d"))
     return d.groupBy("vec_id", "own").agg(F.min_by("other", F.struct("d", "other")).alias("called"))
+
+
+def population_axes(axes: DataFrame) -> DataFrame:
+    """(grp, label, axis, n, s, q): counts, sums and sums of squares of each population."""
+    return axes.groupBy("grp", "label", "axis").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+
+
+def axis_spread(axes: DataFrame) -> DataFrame:
+    """(grp, axis, within, between, ratio, rank): squared distances of people from their population's mean, and of the means
+    from the group's, on each axis; rank 1 and 2 are the axes that part the populations best."""
+    p = population_axes(axes)
+    g = p.groupBy("grp", "axis").agg(F.sum("n").alias("gn"), F.sum("s").alias("gs"))
+    p = p.join(g, ["grp", "axis"])
+    gap = F.col("s") / F.col("n") - F.col("gs") / F.col("gn")
+    out = p.groupBy("grp", "axis").agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("within"), F.sum(F.col("n") * gap * gap).alias("between"))
+    out = out.withColumn("ratio", F.col("between") / F.when(F.col("within") == 0, 1.0).otherwise(F.col("within")))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("ratio"), "axis")))
+
+
+def scaled(p: DataFrame) -> DataFrame:
+    """People with components divided by their group's standard deviation on each axis."""
+    axes = long_axes(p)
+    sd = axes.groupBy("grp", "axis").agg(F.stddev_pop("x").alias("sd"))
+    x = axes.join(sd, ["grp", "axis"]).withColumn("x", F.col("x") / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")))
+    rows = x.groupBy("vec_id", "label", "grp").agg(F.array_sort(F.collect_list(F.struct("axis", "x"))).alias("xs"))
+    return rows.select("vec_id", "label", "grp", F.transform("xs", lambda a: a["x"]).alias("pc"))
+
+
+def neighbour_votes(people_: DataFrame, k: int = NEIGHBOURS, axes: int = AXES, block: int = 512) -> DataFrame:
+    """(vec_id, own, called): the population that most of a person's k nearest others of the group have, ties by name.
+
+    People are dealt into blocks; a block of a group meets every block of it, each pair hands on its k nearest, and those are
+    ranked again, so no group and no list of all pairs meets in one task."""
+    n = people_.count()
+    if n > MOST_PEOPLE:
+        raise ValueError(f"{n} people; a panel has {MOST_PEOPLE} at most")
+    blocks = max(1, -(-n // block))
+    side = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(blocks)).cast("int")
+    cut = F.slice("pc", 1, axes)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = people_.select("grp", F.col("vec_id").alias("a"), F.col("label").alias("own"), cut.alias("x"), side(1).alias("ba")).withColumn("bb", every)
+    b = people_.select("grp", F.col("vec_id").alias("b"), F.col("label").alias("other"), cut.alias("y"), side(2).alias("bb")).withColumn("ba", every)
+    pairs = a.join(b, ["grp", "ba", "bb"]).filter("a <> b")
+    d = F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
+    near = pairs.select("a", "own", "other", "b", d.alias("d"))
+    k_th = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    near = near.withColumn("k", k_th).filter(F.col("k") <= k)
+    votes = near.groupBy("a", "own", "other").agg(F.count("*").alias("n"))
+    return votes.groupBy("a", "own").agg(F.min_by("other", F.struct(-F.col("n"), "other")).alias("called")).select(F.col("a").alias("vec_id"), "own", "called")
+
+
+def confusion(votes: DataFrame) -> DataFrame:
+    """(own, called, n, share): how often people of a population are called each population, themselves left out."""
+    c = votes.groupBy("own", "called").agg(F.count("*").alias("n"))
+    total = votes.groupBy("own").agg(F.count("*").alias("total"))
+    return c.join(total, "own").select("own", "called", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def confusable(conf: DataFrame, threshold: float = CONFUSED) -> DataFrame:
+    """(population, grp_of): the smallest population that each can be mistaken for, directly or through others. The graph has
+    one node for each population; rounds end when nothing changes."""
+    pops = conf.select(F.col("own").alias("population")).union(conf.select("called")).distinct()
+    links = conf.filter((F.col("share") >= threshold) & (F.col("own") != F.col("called"))).select(F.col("own").alias("a"), F.col("called").alias("b"))
+    spark = conf.sparkSession
+    links = spark.createDataFrame(links.union(links.select("b", "a")).distinct().collect(), "a long, b long")  # populations x populations
+    of = spark.createDataFrame([(r["population"], r["population"]) for r in pops.collect()], "population long, grp_of long")
+    while True:
+        near = links.join(of.withColumnRenamed("population", "b"), "b").groupBy(F.col("a").alias("population")).agg(F.min("grp_of").alias("m"))
+        rows = of.join(near, "population", "left").select("population", F.least("grp_of", F.coalesce("m", "grp_of")).alias("grp_of"), F.col("grp_of").alias("was")).collect()
+        of = spark.createDataFrame([(r["population"], r["grp_of"]) for r in rows], "population long, grp_of long")
+        if all(r["grp_of"] == r["was"] for r in rows):
+            return of
+
+
+def percentile_below(p: DataFrame, by: str, value: str) -> DataFrame:
+    """p with share_below: the share of the other people of `by` with a smaller value. Values are counted, cut into ranges of
+    value, and ranked inside a range on top of the count of the ranges before, so a group is spread over tasks."""
+    counts = p.groupBy(by, value).agg(F.count("*").alias("_n"))
+    ranged = counts.repartitionByRange(F.col(by), F.col(value)).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part", by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.withColumn("_own", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    parts = ranged.groupBy(by, "_part").agg(F.sum("_n").alias("_pn"))
+    ahead = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_pn").over(ahead), F.lit(0)))
+    total = counts.groupBy(by).agg(F.sum("_n").alias("_total"))
+    ranks = ranged.join(parts, [by, "_part"]).join(total, by)
+    share = F.when(F.col("_total") > 1, (F.col("_before") + F.col("_own")) / (F.col("_total") - 1)).otherwise(0.0)
+    return p.join(ranks.select(by, value, share.alias("share_below")), [by, value])

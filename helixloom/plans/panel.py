@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
@@ -11,10 +10,41 @@ from .registry import query
 LONG = "p AS (SELECT vec_id, label, label % 3 AS grp, [x::DOUBLE FOR x IN embedding[1:10]] AS pc FROM embeddings), l AS (SELECT vec_id, label, grp, unnest(range(1, 11)) AS axis, unnest(pc) AS x FROM p)"
 
 
-@query("axis_spread", f"WITH {LONG}, g AS (SELECT axis, grp, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM l GROUP BY 1, 2), a AS (SELECT axis, sum(n) AS n FROM g GROUP BY 1) SELECT axis::INT AS axis, count(*) AS groups, sum(g.n)::BIGINT AS people FROM g GROUP BY 1")
+@query("axis_spread", f"""WITH {LONG}, m AS (SELECT *, avg(x) OVER (PARTITION BY grp, label, axis) AS mean_pop, avg(x) OVER (PARTITION BY grp, axis) AS mean_grp FROM l),
+ v AS (SELECT grp, axis, sum((x - mean_pop) * (x - mean_pop)) AS within, sum((mean_pop - mean_grp) * (mean_pop - mean_grp)) AS between FROM m GROUP BY 1, 2), r AS (SELECT *, between / CASE WHEN within = 0 THEN 1 ELSE within END AS ratio FROM v)
+ SELECT grp, axis::INT AS axis, round(within, 6) AS within, round(between, 6) AS between, round(ratio, 6) AS ratio, row_number() OVER (PARTITION BY grp ORDER BY ratio DESC, axis)::INT AS rank FROM r""")
 def _(t):
-    l = P.long_axes(P.people(t.embeddings))
-    return l.groupBy("axis", "grp").agg(F.count("*").alias("n")).groupBy("axis").agg(F.count("*").alias("groups"), F.sum("n").alias("people"))
+    spread = P.axis_spread(P.long_axes(P.people(t.embeddings)))
+    return spread.select("grp", "axis", *[F.round(c, 6).alias(c) for c in ("within", "between", "ratio")], "rank")
+
+
+def _knn(axes):
+    cut = f"[1:{axes}]"
+    return f"""sd AS (SELECT grp, axis, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM l GROUP BY 1, 2), z AS (SELECT vec_id, label, grp, list(x / sd ORDER BY axis){cut} AS pc FROM l JOIN sd USING (grp, axis) GROUP BY 1, 2, 3),
+ nn AS (SELECT a.vec_id, a.label AS own, b.label AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.pc, b.pc), b.vec_id) AS k FROM z a JOIN z b ON a.grp = b.grp AND a.vec_id <> b.vec_id),
+ vo AS (SELECT vec_id, own, other, count(*) AS n FROM nn WHERE k <= 10 GROUP BY 1, 2, 3), ca AS (SELECT vec_id, own, other AS called FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, other) AS k FROM vo) WHERE k = 1)"""
+
+
+@query("neighbour_confusion", f"WITH {LONG}, {_knn(10)} SELECT own, called, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY own) AS share FROM ca GROUP BY 1, 2")
+def _(t):
+    return P.confusion(P.neighbour_votes(P.scaled(P.people(t.embeddings))))
+
+
+@query("best_axes", "WITH " + LONG + ", " + ", ".join(f"b{k} AS (WITH {_knn(k)} SELECT {k} AS axes, avg((own = called)::INT) AS accuracy FROM ca)" for k in P.AXES_TRIED) + ", a AS (" + " UNION ALL ".join(f"SELECT * FROM b{k}" for k in P.AXES_TRIED) + ") SELECT axes, accuracy, row_number() OVER (ORDER BY accuracy DESC, axes) = 1 AS best FROM a")
+def _(t):
+    z = P.scaled(P.people(t.embeddings))
+    rows = None
+    for k in P.AXES_TRIED:
+        one = P.neighbour_votes(z, axes=k).agg(F.avg((F.col("own") == F.col("called")).cast("int")).alias("accuracy")).select(F.lit(k).alias("axes"), "accuracy")
+        rows = one if rows is None else rows.union(one)
+    top = rows.agg(F.max_by("axes", F.struct("accuracy", -F.col("axes"))).alias("top"))
+    return rows.join(top).select("axes", "accuracy", (F.col("axes") == F.col("top")).alias("best"))
+
+
+@query("confusable_groups", f"""WITH RECURSIVE {LONG}, {_knn(10)}, cf AS (SELECT own, called, count(*) / sum(count(*)) OVER (PARTITION BY own) AS share FROM ca GROUP BY 1, 2), li AS (SELECT own AS a, called AS b FROM cf WHERE share >= 0.2 UNION SELECT called, own FROM cf WHERE share >= 0.2 UNION SELECT label, label FROM p),
+ re(a, b) AS (SELECT a, b FROM li UNION SELECT re.a, li.b FROM re JOIN li ON re.b = li.a) SELECT a AS population, min(b) AS grp_of FROM re GROUP BY 1""")
+def _(t):
+    return P.confusable(P.confusion(P.neighbour_votes(P.scaled(P.people(t.embeddings)))))
 
 
 @query("group_centres", f"WITH {LONG} SELECT grp, axis::INT AS axis, count(*) AS n, avg(x) AS centre FROM l GROUP BY 1, 2")
@@ -29,8 +59,8 @@ def _(t):
 
 @query("group_percentile", f"WITH {LONG} SELECT vec_id, grp, percent_rank() OVER (PARTITION BY grp ORDER BY pc[1]) AS share_below FROM p")
 def _(t):
-    p = P.people(t.embeddings)
-    return p.select("vec_id", "grp", F.percent_rank().over(Window.partitionBy("grp").orderBy(F.get("pc", F.lit(0)))).alias("share_below"))
+    p = P.people(t.embeddings).select("vec_id", "grp", F.get("pc", F.lit(0)).alias("x"))
+    return P.percentile_below(p, "grp", "x").select("vec_id", "grp", "share_below")
 
 
 @query("nearest_centre_confusion", f"""WITH {LONG}, c AS (SELECT grp, axis, count(*) AS n, sum(x) AS s FROM l GROUP BY 1, 2), d AS (SELECT l.vec_id, l.grp AS own, c.grp, sum((l.x - CASE WHEN l.grp = c.grp THEN (c.s - l.x) / (c.n - 1) ELSE c.s / c.n END) * (l.x - CASE WHEN l.grp = c.grp THEN (c.s - l.x) / (c.n - 1) ELSE c.s / c.n END)) AS dd FROM l JOIN c USING (axis) GROUP BY 1, 2, 3),
