@@ -139,6 +139,67 @@ FROM {part}""",
 }
 
 
+def _pick(by: str, values: list) -> str:
+    """CASE over `by` modulo the number of values; None is null."""
+    told = ["NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in values]
+    return f"CASE ({by}) % {len(told)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(told)) + " END"
+
+
+#: Cases for the column rules: texts and numbers picked by the part's key, so that every branch is met.
+CASES = {
+    "mode_text": _pick("p_partkey", ["Autosomal dominant inheritance", "autosomal recessive", "AR", "X-linked recessive", "x-linked dominant form", "X-linked", "Y-linked inheritance", "Mitochondrial", "Multifactorial", "Digenic", "Semi-dominant", "Sporadic", "Unknown", None]),
+    "conditions": _pick("p_partkey", ["Autosomal dominant deafness 1|not provided", "SEE CASES|X-linked recessive ichthyosis", "beta thing|Alpha thing|beta thing", "X-linked disorder", "Not Specified", "", None, "DIABETES|Autosomal recessive kidneys"]),
+    "pen_code": _pick("p_partkey", ["3A", "2 B", "1N", "0", "4A", "", None, " 2D"]),
+    "rule": _pick("p_partkey", ["All P and LP", "Only C282Y homozygous", "Biallelic P and LP", "Truncating variants only", None]),
+    "copies": "CAST(1 + p_size % 2 AS INT)",
+    "zyg": _pick("p_size", ["het", "hom"]),
+    "csq": _pick("p_partkey", ["missense", "stop_gained&splice_region", "intron", "frameshift", "missense&splice_region", "start_lost", "synonymous", None]),
+    "change": _pick("p_partkey", ["282C>282Y", "7A>7V", None]),
+    "am": "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(p_partkey * 37 % 100 AS DOUBLE) / 100 END",
+    "revel": "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_partkey * 53 % 1000 AS DOUBLE) / 1000 END",
+    "loeuf": "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey % 17 AS DOUBLE) / 10 END",
+    "popmax": "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_partkey % 20 AS DOUBLE) / 10000 END",
+    "af": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_partkey % 11 AS DOUBLE) / 10 * CAST(p_partkey % 13 AS DOUBLE) / 13 * CAST(p_partkey % 3 AS DOUBLE) / 2 END",
+    "flagged": _pick("p_partkey", ["true", "false", "none"]),
+    "size": "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_partkey % 30 AS DOUBLE) / 10 END",
+    "note": _pick("p_partkey", ["[0.1-0.2] unit increase", "[NR] cm Decrease", "[1.1-1.3]", None]),
+    "conflicts": _pick("p_partkey", ["Pathogenic(2)|Benign_(4)", "likely_pathogenic (1)", "odd_text", "", None]),
+    "recommendation": _pick("p_partkey", ["Use less", "", None, "Use another"]),
+    "classification": _pick("p_partkey", ["Strong", "No Recommendation", "Moderate ", None, "Optional"]),
+    "phenotype": _pick("p_partkey", ["Poor Metabolizer", "Ultrarapid Metabolizer", "Rapid Metabolizer", "Normal Function", "Increased risk of something", "HLA positive", "negative", "Deficient", "", None, "Strange", "possible intermediate"]),
+    "source": _pick("p_partkey", ["CPIC", "DPWG", "FDA label", "FDA table"]),
+    "total": "CAST(p_partkey % 6 AS INT)",
+    "missing": "CAST(least(p_partkey % 6, p_partkey % 4) AS INT)",
+    "observed": "CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE CAST(p_partkey % 3 AS INT) END",
+    "non_o": "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_partkey % 3 AS INT) END",
+    "b_copies": "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_size % 3 AS INT) END",
+    "ratio": "CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_partkey % 200 AS DOUBLE) / 100 END",
+    "ratio_all": "CAST((p_partkey + p_size) % 200 AS DOUBLE) / 100",
+    "z": "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_partkey % 11 - 5 AS DOUBLE) END",
+    "gc": "CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 50 END",
+    "genotype": _pick("p_partkey", ["AG", "DI", "II", "--", "A", "GG", None]),
+    "ref": _pick("p_partkey", ["A", "-", "C"]),
+    "alt": _pick("p_size", ["G", "-", "AT"]),
+    "seq": "repeat('CAG', CAST(p_size % 7 AS INT)) || 'T' || repeat('cag', CAST(p_partkey % 5 AS INT)) || 'A'",
+    "count_1": "CAST(p_partkey % 60 AS INT)",
+    "count_2": "CAST(p_size AS INT)",
+    "upper_1": "CAST(p_partkey % 60 + p_partkey % 9 AS INT)",
+    "ref_count": "CAST(15 + p_partkey % 5 AS INT)",
+    "pure": "CAST(p_partkey % 20 AS INT)",
+    "benign_max": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 26 END",
+    "intermediate_min": "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 30 END",
+    "pathogenic_min": "CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 31 = 0 THEN 20 ELSE 36 END",
+    "age": "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_size AS INT) END",
+    "kind": _pick("p_size", ["DEL", "DUP"]),
+    "exons": "CAST(p_partkey % 8 AS INT)",
+    "level": "CAST(p_partkey % 4 AS INT)",
+    "status": _pick("p_partkey", ["confirmed", "weak", "unclear", "disagrees", "not_checkable"]),
+    "estimate": _pick("p_partkey", ["0.63 [0.62,0.64]", "1.5", ".7 (0.6-0.8)", "", None, "n = 12, 3"]),
+    "quote": _pick("p_partkey", ["a risk of 12.5%", "1 in 8 people", "1,250 per 10,000", "125 in 1,000", "none said", None]),
+}
+SQL["fx_cases"] = "SELECT p_partkey AS case_id, p_size % 3 = 0 AS yes_3, p_partkey % 2 = 0 AS yes_2, p_partkey % 5 = 0 AS yes_5, " + ", ".join(f"{x} AS {c}" for c, x in CASES.items()) + " FROM {part}"
+
+
 class Tables:
     """The tables of one folder and the projections over them, as DataFrames by name."""
 

@@ -147,4 +147,4 @@ def pgs_level(publications: Column, people: Column) -> Column:
 
 
 def match_call(rate: Column) -> Column:
-    return F.when(rate >= 0.9, 3).when(rate >= 0.75, 2).otherwise(1).cast("int")
+    return F.when(rate >= 0.9, 3).when(rate >= 0.75, 2).otherwise(0).cast("int")

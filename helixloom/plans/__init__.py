@@ -1,6 +1,6 @@
 """Registered queries over the given tables; importing the modules fills the registry."""
 
-from . import changes, genotype, intervals, knowledge, panel, scores, variants  # noqa: F401
+from . import changes, genotype, intervals, knowledge, panel, rules, scores, variants  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
