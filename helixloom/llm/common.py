@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Separators of words: space and the ASCII controls from tab to carriage return.
 WS_RE = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
-#: Keys of a few 64-bit numbers; a broadcast of so many takes about 60 MB.
-BROADCAST_ROWS = 1_000_000
+#: Keys of a few 64-bit numbers; a broadcast of so many takes about 30 MB.
+BROADCAST_ROWS = 500_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import remove, sized, written
 
-MAX_ROUNDS = 60
 ROWS_EACH = 100_000
 
 
@@ -20,13 +19,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFFFFFFFF)))).first()
         if now == before or not now[0]:
             return links.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
         before = now
-        links = written(sized(_star(_star(links, large=True), large=False), now[0], ROWS_EACH), "links")
-    raise RuntimeError(f"no fixpoint after {MAX_ROUNDS} rounds")
+        last, links = links, written(sized(_star(_star(links, large=True), large=False), now[0], ROWS_EACH), "links")
+        remove(last)
 
 
 def merged(family: DataFrame, edges: DataFrame) -> DataFrame:

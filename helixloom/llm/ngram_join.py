@@ -18,7 +18,8 @@ Hashes of shingles have 64 bits and fingerprints of sets 128; equal hashes count
 
 Defined results: a text of fewer words than a shingle counts as one shingle; an empty or null text has size 0 and is
 alone; a null id never is a component's id while the component has another; repeated rows and equal sets are linked;
-an empty table gives an empty result. Sizes from MANY_GROUPS_BELOW shingles down have one group for each shingle.
+an empty table gives an empty result; very long texts take
+memory in proportion to their length in one task. Sizes from MANY_GROUPS_BELOW shingles down have one group for each shingle.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, text_of, written
+from .common import joined, narrowed, put_back, remove, set_aside, sized, text_of, written
 from .components import components, merged
 
-BLOCK = 1024
+BLOCK, BLOCK_SIZE = 1024, 1024
 PAIRS_EACH = 512
 MANY_GROUPS_BELOW = 16
 LEAST_DIMS, MOST_DIMS = 64, 1 << 16
@@ -149,7 +150,7 @@ class PointTree:
         self.num, self.den = num, den
         sizes = points.sum(axis=1, dtype=np.int64)
         self.order = np.lexsort((*points.T[:4], sizes))
-        self.levels = [(points[self.order].astype(np.int32), sizes[self.order])]
+        self.levels = [(points[self.order].astype(np.int32, copy=False), sizes[self.order])]
         while len(self.levels[-1][1]) > LEAF:
             p, s = self.levels[-1]
             at = np.arange(0, len(s), LEAF)
@@ -237,7 +238,7 @@ def _join_block(num: int, den: int, most: int):
             ts = trees[k]
             points = [loaded(x) for x in ts["pt"]]
             dims = min(min(len(p) for p in points), min(x[0] and (len(x) - 1) // x[0] for x in qs["pt"]))
-            points = np.stack([folded(p, dims) for p in points])
+            points = np.stack([folded(p, dims).astype(np.int32) for p in points])
             index, family, node = PointTree(points, num, den), ts["comp"].to_numpy(), ts["node"].to_numpy()
             for own, comp, raw in zip(qs["node"], qs["comp"], qs["pt"]):
                 q = loaded(raw)
@@ -256,25 +257,24 @@ def _join_block(num: int, den: int, most: int):
     return run
 
 
-def _sets(df: DataFrame, key: str, text: str, width: int, wanted: DataFrame, at_most: int) -> DataFrame:
-    """(node, h binary): the sets of the wanted nodes, from the text of one row of each."""
+def _sets(df: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(node, h binary): the sets of the wanted nodes (node, row), a written table, from the text of one row of each."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"node": b["node"], "h": [shingle_set(t, width).tobytes() for t in b["t"]]})
 
     rows = df.select(F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("th")).alias("row"), F.col(f"`{text}`").cast("string").alias("t"))
-    one = rows.join(wanted, "row").select("node", "t").dropDuplicates(["node"])
-    return written(sized(one, at_most, PAIRS_EACH).mapInPandas(hashed, "node long, h binary"), "sets")
+    one = joined(rows, wanted, ["row"]).select("node", "t").dropDuplicates(["node"])
+    return written(sized(one, wanted.count(), PAIRS_EACH).mapInPandas(hashed, "node long, h binary"), "sets")
 
 
-def _judged(df: DataFrame, key: str, text: str, width: int, pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, good): pairs of nodes (a written table), verified on their sets."""
+def _judged(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): those of a written table of pairs of nodes whose sets are linked."""
     n = pairs.count()
-    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = _sets(df, key, text, width, nodes.select("node", "row").join(some, "node"), 2 * n)
     x, y = sets.select(F.col("node").alias("a"), F.col("h").alias("x")), sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
-    return sized(pairs.join(y, "b").join(x, "a"), n, PAIRS_EACH).mapInPandas(_verify(num, den), "a long, b long, good boolean")
+    judged = sized(pairs.select("a", "b").join(y, "b").join(x, "a"), n, PAIRS_EACH).mapInPandas(_verify(num, den), "a long, b long, good boolean")
+    return judged.filter("good").select("a", "b")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -287,23 +287,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
         rows = written(_points(df, key, text, width, num, den, scale).withColumn("uid", F.monotonically_increasing_id()), "points")
         if not rows.filter("weak").limit(1).count():
             break
+        remove(rows)
         scale *= 2  # some set fills too few groups for the cells to be sure: deal all into more
-    # Equal sets are one node, named by the first row that has it.
+    # Equal sets are one node, named by a row that has it: from here on, copies take no part.
     slim = rows.select("uid", "id", "th", "n", "f1", "f2").filter("n > 0")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     nodes = slim.groupBy("f1", "f2").agg(F.min("uid").alias("node"), F.min(order).alias("first"))
     nodes = written(nodes.select("node", "f1", "f2", F.struct("first.id", "first.th").alias("row")), "nodes")
-    who = written(rows.filter("n > 0").select("uid", "f1", "f2", "pt").join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("uid", "node", "pt"), "who")
-
-    met = rows.select("uid", F.explode("cells").alias("cell"))
-    several = met.groupBy("cell").agg(F.min("uid").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    meets = written(met.join(several, "cell").filter("uid <> a"), "meets")
-    a, b = who.select(F.col("uid").alias("a"), F.col("node").alias("na"), F.col("pt").alias("x")), who.select("uid", F.col("node").alias("nb"), F.col("pt").alias("y"))
-    pairs = meets.select("a", "uid").distinct().join(b, "uid").join(a, "a").filter("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b"), "x", "y")
-    bounded = written(pairs.mapInPandas(_bounded(num, den), "a long, b long, near boolean").distinct(), "bounded")
-    close = bounded.filter("near").select("a", "b")
-    good = written(_judged(df, key, text, width, close, nodes, num, den).filter("good").select("a", "b"), "good")
-    family = _completed(df, key, text, width, meets, who, nodes, bounded, components(good), num, den)
+    family = _families(df, key, text, width, rows.select(F.col("uid").alias("node"), "n", "cells", "pt"), nodes, num, den)
 
     # Each component's first row; nodes that met no other are their own.
     named = nodes.join(family, "node", "left").select("f1", "f2", "row", F.coalesce("comp", "node").alias("comp"))
@@ -315,57 +306,88 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
     return full.unionByName(empty)
 
 
-def _completed(df: DataFrame, key: str, text: str, width: int, meets: DataFrame, who: DataFrame, nodes: DataFrame, bounded: DataFrame, family: DataFrame, num: int, den: int) -> DataFrame:
-    """The families, with links between those that met in a cell but are not tied together by its star."""
-    ids = who.select("uid", "node")
-    here = meets.join(ids, "uid").select("cell", "a", "node").distinct()
-    # Cells of the same members are one; of two members, the star has compared all there is.
-    alike = here.groupBy("cell", "a").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2")).filter("n > 1")
-    cells_ = alike.groupBy("a", "n", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell")
-    spots = written(here.join(cells_, "cell").select("cell", "node"), "spots")
-    points = written(who.groupBy("node").agg(F.first("pt").alias("pt")), "nodepoints")
-    done = bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    most = 1
+def _families(df: DataFrame, key: str, text: str, width: int, rows: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, comp), written: the nodes that are linked with others. rows are (node, n, cells, pt), of all rows."""
+    met = narrowed(rows.select("node", "cells"), nodes.select("node"), ["node"]).select("node", F.explode("cells").alias("cell"))
+    several = written(met.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell"), "several")
+    here = written(narrowed(met, several, ["cell"]), "here")
+    # Cells of the same members are one.
+    alike = here.groupBy("cell").agg(F.min("node").alias("a"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2"))
+    chosen = written(alike.groupBy("a", "n", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell", "a", "n"), "cells")
+    spots = written(joined(here, chosen, ["cell"]), "spots")
+    remove(several, here, chosen)
+    wanted = written(nodes.select("node", "row").join(spots.select("node").distinct(), "node", "left_semi"), "wanted")
+    sets = _sets(df, key, text, width, wanted)
+
+    pairs = written(spots.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    x, y = rows.select(F.col("node").alias("a"), F.col("pt").alias("x")), rows.select(F.col("node").alias("b"), F.col("pt").alias("y"))
+    both = sized(pairs.join(y, "b").join(x, "a"), pairs.count(), PAIRS_EACH)
+    bounded = written(both.mapInPandas(_bounded(num, den), "a long, b long, near boolean"), "bounded")
+    close = written(bounded.filter("near").select("a", "b"), "close")
+    good = written(_judged(close, sets, num, den), "good")
+    family = written(components(good), "family")
+    done = [bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))]
+    remove(pairs, close, good)
+
+    # Links between those that met in a cell but are not tied together by its star; of two members, the star has compared
+    # all there is.
+    used, spots_left, most = [spots, wanted, sets, bounded], spots.filter("n > 2").select("cell", "node"), 1
     while True:
-        now = spots.join(family, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = now.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cell")
-        now = written(now.join(mixed, "cell"), "mixed")
+        now = spots_left.join(family, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
+        mixed = written(now.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cell"), "mixed")
+        now = written(narrowed(now, mixed, ["cell"]), "now")
         n = now.count()
         if not n:
+            remove(mixed, now)
             break
-        found = written(_near_in_blocks(now, n, points, num, den, most), "found")
-        near = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        found = written(_near_in_blocks(now, rows, num, den, most), "found")
+        near = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for d in done:
+            near = near.join(d, ["a", "b"], "left_anti")
         near = written(sized(near, n * most, PAIRS_EACH), "near")
-        new = written(_judged(df, key, text, width, near, nodes, num, den).filter("good").select("a", "b"), "links")
+        new = written(_judged(near, sets, num, den), "links")
         if new.limit(1).count():
-            family = written(merged(family, new), "family")
+            last, family = family, written(merged(family, new), "family")
+            remove(last)
         # Most queries are linked by now; those that are not, and had more points to try, try more of them.
-        done = done.unionByName(near)
-        if not found.filter("cut").limit(1).count():
+        done.append(near)
+        used.append(near)
+        again = written(found.filter("cut").select("cell").distinct(), "again")
+        used.append(again)
+        remove(mixed, now, found, new)
+        if not again.limit(1).count():
             break
-        spots = spots.join(found.filter("cut").select("cell").distinct(), "cell")
+        spots_left = narrowed(spots_left, again, ["cell"])
         most *= 8
+    remove(*used)
     return family
 
 
-def _near_in_blocks(spots: DataFrame, n: int, points: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """(cell, a, b, cut) for n spots (cell, node, comp): R-trees over blocks of a cell's members."""
-    sizes = spots.groupBy("cell", "comp").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("cell").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
-    largest = largest.select("cell", F.col("top.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("tbs"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("qbs"))
-    full = spots.join(largest, "cell").join(points, "node")
+def _near_in_blocks(spots: DataFrame, points: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """(cell, a, b, cut) for spots (cell, node, comp), a written table: R-trees over blocks of a cell's members. A cell's pairs of
+    blocks are dealt out one by one, so that what a task holds does not grow with the cell."""
+    # The points of a block take about BLOCK * BLOCK_SIZE numbers, fewer members for long texts.
+    heavy = F.greatest(F.lit(1.0), F.col("size") / BLOCK_SIZE)
+    sizes = spots.join(points.select("node", F.col("n").alias("size")), "node").groupBy("cell", "comp").agg(F.count("*").alias("n"), F.sum(heavy).alias("load"))
+    largest = sizes.groupBy("cell").agg(F.max(F.struct("n", "comp", "load")).alias("top"), F.sum("n").alias("all"), F.sum("load").alias("load"))
+    blocks = lambda x: F.ceil(x / BLOCK).cast("int")
+    largest = largest.select("cell", F.col("top.comp").alias("top"), "all", (F.col("all") - F.col("top.n")).alias("qs"), blocks(F.col("load")).alias("tbs"), blocks(F.greatest(F.lit(1.0), F.col("load") - F.col("top.load"))).alias("qbs"))
+    largest = written(largest, "blocks")
+    moved = largest.agg(F.sum(F.col("all") * F.col("qbs") + F.col("qs") * F.col("tbs"))).first()[0]
+    full = joined(spots, largest.drop("all", "qs"), ["cell"])
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
-    bucket = F.pmod(F.xxhash64("cell", "tb", "qb"), F.lit(max(1, -(-n // BLOCK))))
+    bucket = F.pmod(F.xxhash64("cell", "tb", "qb"), F.lit(max(1, -(-moved // BLOCK))))
     q = full.filter("comp <> top").withColumn("qb", block("qbs", 1)).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("tbs") - 1)))
     t = full.withColumn("tb", block("tbs", 2)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
     cols = [bucket.alias("bucket"), *[F.col(c).alias(c) for c in ("cell", "tb", "qb", "node", "comp", "pt")]]  # new names for either side
-    both = q.select(*cols).groupBy("bucket").cogroup(t.select(*cols).groupBy("bucket"))
-    return sized(both.applyInPandas(_join_block(num, den, most), "cell long, a long, b long, cut boolean"), n, BLOCK)
+    side = lambda x: x.join(points.select("node", "pt"), "node").select(*cols).groupBy("bucket")
+    return sized(side(q).cogroup(side(t)).applyInPandas(_join_block(num, den, most), "cell long, a long, b long, cut boolean"), moved, BLOCK)
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """df with one row of each component: that with the smallest id (rows with the same id and text are one)."""
-    joined = join(df, key, text, **how)
-    first = joined.select("keeper").distinct()
+    df, named = set_aside(df, "_n_")
+    key, text = named[key], named[text]
+    first = join(df, key, text, **how).select(F.col("keeper").alias("_n_row")).distinct()
     own = F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("th"))
-    return df.withColumn("keeper", own).join(first, "keeper").dropDuplicates(["keeper"]).drop("keeper")
+    return put_back(df.withColumn("_n_row", own).join(first, "_n_row").dropDuplicates(["_n_row"]).drop("_n_row"), named)
