@@ -310,7 +310,7 @@ def _families(df: DataFrame, key: str, text: str, width: int, rows: DataFrame, n
     """(node, comp), written: the nodes that are linked with others. rows are (node, n, cells, pt), of all rows."""
     met = narrowed(rows.select("node", "cells"), nodes.select("node"), ["node"]).select("node", F.explode("cells").alias("cell"))
     several = written(met.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell"), "several")
-    here = written(narrowed(met, several, ["cell"]), "here")
+    here = written(met.join(several.hint("merge"), "cell", "left_semi"), "here")  # in proportion to the table: never broadcast
     # Cells of the same members are one.
     alike = here.groupBy("cell").agg(F.min("node").alias("a"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2"))
     chosen = written(alike.groupBy("a", "n", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell", "a", "n"), "cells")
