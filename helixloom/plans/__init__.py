@@ -1,6 +1,6 @@
 """Registered queries over the given tables; importing the modules fills the registry."""
 
-from . import changes, copies, findings, genotype, ingest, intervals, knowledge, matching, panel, rules, scores, variants  # noqa: F401
+from . import changes, copies, findings, genotype, ingest, ingest_more, intervals, knowledge, matching, panel, positions, rules, scores, variants  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

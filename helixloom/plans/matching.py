@@ -33,7 +33,8 @@ def read(t, sql, **more):
     from ..fixtures import SQL as FX
 
     used = [n for n in (*BASE, *FX) if re.search(rf"\b{n}\b", sql)]
-    text = re.sub(r"\b(" + "|".join(used) + r")\b", lambda m: "{" + m[1] + "}", sql) if used else sql
+    plain = sql.replace("{", "{{").replace("}", "}}")  # braces of the text itself
+    text = re.sub(r"\b(" + "|".join(used) + r")\b", lambda m: "{" + m[1] + "}", plain) if used else sql
     return t.spark.sql(text, **{n: getattr(t, n) for n in used}, **more)
 
 

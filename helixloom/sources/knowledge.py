@@ -145,3 +145,104 @@ def gene_ratings(sheets: dict[str, DataFrame]) -> DataFrame:
 def expect_rows(df: DataFrame, least: int, name: str) -> DataFrame:
     """(name, n_rows, whole): whether a table has as many rows as a whole file has at least."""
     return df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", (F.col("n_rows") >= least).alias("whole"))
+
+
+def standard_transcripts(lines: DataFrame) -> DataFrame:
+    """(gene, transcript, status, refseq) of a list of standard transcripts; version numbers of transcripts go."""
+    x = fields(lines, ["gene", "transcript", "status", "refseq"])
+    return x.select("gene", F.split_part("transcript", F.lit("."), F.lit(1)).alias("transcript"), "status", told("refseq", ("-", "")).alias("refseq"))
+
+
+def panel_exons(exons: DataFrame, standard: DataFrame) -> DataFrame:
+    """Exons (gene, transcript, start_pos, end_pos) of one transcript for each gene: the standard one, then that with the most
+    exons, then the first by name."""
+    n = exons.groupBy("gene", "transcript").agg(F.count("*").alias("n"))
+    mark = standard.select("gene", "transcript", F.lit(1).alias("std")).distinct()
+    order = F.struct((-F.coalesce("std", F.lit(0))).alias("a"), (-F.col("n")).alias("b"), "transcript")
+    chosen = n.join(mark, ["gene", "transcript"], "left").groupBy("gene").agg(F.min_by("transcript", order).alias("transcript"))
+    return exons.join(chosen, ["gene", "transcript"], "left_semi")
+
+
+def immune_types(lines: DataFrame) -> DataFrame:
+    """(gene, alleles, qualities) of a typing table: gene n allele_1 quality_1 allele_2 quality_2. Names keep two fields; a single
+    allele is carried twice."""
+    x = fields(lines, ["gene", "n", "a1", "q1", "a2", "q2"]).filter("gene LIKE 'HLA-%'")
+    short = lambda a: F.concat(F.lit("*"), F.array_join(F.slice(F.split(F.split_part(a, F.lit("*"), F.lit(2)), ":"), 1, 2), ":"))
+    pair = lambda a, q: F.when(told(a).isNotNull(), F.struct(short(F.col(a)).alias("a"), F.floor(F.col(q).try_cast("double")).cast("int").alias("q")))
+    found = F.array_compact(F.array(pair("a1", "q1"), pair("a2", "q2")))
+    x = x.withColumn("f", F.when((F.col("n") == "1") & (F.size(found) > 0), F.concat(found, found)).otherwise(found))
+    return x.select("gene", F.transform("f", lambda s: s["a"]).alias("alleles"), F.transform("f", lambda s: s["q"]).alias("qualities"))
+
+
+REPORT = "struct<drugs:array<struct<name:string,guidelines:array<struct<source:string,annotations:array<struct<recommendation:string,genotypes:array<struct<gene:string,phenotype:string>>>>>>>>>"
+
+
+def guideline_report(lines: DataFrame) -> DataFrame:
+    """(drug, source, recommendation, genes): one row for each annotation of a nested report, a document a line; guidelines
+    without annotations keep a row."""
+    drugs = lines.select(F.explode(F.from_json("value", REPORT)["drugs"]).alias("d"))
+    by_source = drugs.select(F.col("d.name").alias("drug"), F.explode_outer("d.guidelines").alias("g"))
+    rows = by_source.select("drug", F.col("g.source").alias("source"), F.explode_outer("g.annotations").alias("a"))
+    return rows.select("drug", "source", F.col("a.recommendation").alias("recommendation"), F.array_sort(F.array_distinct(F.transform("a.genotypes", lambda x: x["gene"]))).alias("genes"))
+
+
+def call_labels(**labelled: DataFrame) -> DataFrame:
+    """Call sets (chrom, pos, ref, alt, gt) by label in one table, with copies of the row's allele."""
+    out = None
+    for label, df in labelled.items():
+        copies = F.size(F.filter(F.split("gt", r"[/|]"), lambda x: x == "1"))
+        x = df.select("chrom", "pos", "ref", "alt", copies.alias("copies"), F.lit(label).alias("label"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def actionable_genes(lines: DataFrame) -> DataFrame:
+    """(gene, category, rule, conditions): a list of genes with a condition a line, gathered for each gene (a few)."""
+    x = fields(lines, ["gene", "category", "condition", "rule"], ",").filter("gene <> 'gene'")
+    return x.groupBy("gene").agg(F.min("category").alias("category"), F.min("rule").alias("rule"), F.array_sort(F.collect_set("condition")).alias("conditions"))
+
+
+def panel_samples(panels: dict[str, DataFrame], groups: dict[str, str], unrelated: DataFrame) -> DataFrame:
+    """Samples (sample population region) of several panels with their continental group; related unless listed."""
+    out = None
+    for panel, lines in panels.items():
+        x = fields(lines, ["sample", "population", "region"]).withColumn("panel", F.lit(panel))
+        out = x if out is None else out.unionByName(x)
+    listed = unrelated.select("sample", F.lit(False).alias("rel")).distinct()
+    return out.join(listed, "sample", "left").select("panel", "sample", "population", _looked_up(F.col("region"), groups, "other").alias("grp"), F.coalesce("rel", F.lit(True)).alias("related"))
+
+
+def difficult_regions(regions: dict[str, DataFrame]) -> DataFrame:
+    """Regions (chrom_order, start_pos, end_pos) of several files, merged within each, with their reason."""
+    from ..operators.intervals import merge
+
+    out = None
+    for reason, df in regions.items():
+        x = merge(df, ["chrom_order"], "start_pos", "end_pos").withColumn("reason", F.lit(reason))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def defining_positions(lines: DataFrame) -> DataFrame:
+    """(gene, chrom, pos, rsid, ref, alts) of a site file: chrom pos id ref alt qual filter info, the gene in PX of the info."""
+    x = fields(lines, ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"])
+    info = F.str_to_map("info", F.lit(";"), F.lit("="))
+    return x.select(F.try_element_at(info, F.lit("PX")).alias("gene"), canon_chrom(F.col("chrom")).alias("chrom"), F.col("pos").try_cast("int").alias("pos"), told("id").alias("rsid"), "ref", F.split("alt", ",").alias("alts"))
+
+
+def score_weights(files: list[DataFrame]) -> DataFrame:
+    """Weight files with differing columns (score_id chrom pos effect_allele and maybe other_allele) in one table: autosomes only."""
+    out = None
+    for df in files:
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out.filter(F.col("chrom").try_cast("int").between(1, 22))
+
+
+def json_records(lines: DataFrame, schema: str) -> DataFrame:
+    """A document a line as columns; documents that do not parse are left out."""
+    x = lines.select(F.from_json("value", schema).alias("x")).filter("x IS NOT NULL")
+    return x.select("x.*")
+
+
+def catalogue_genes(alleles: DataFrame) -> DataFrame:
+    return alleles.select("allele", F.split_part("allele", F.lit("*"), F.lit(1)).alias("gene"))
