@@ -248,3 +248,41 @@ def risk_stated(value: Column, quote: Column) -> Column:
     ns = F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
     near = lambda x, y, tol: F.abs(x - y) <= tol * F.greatest(F.abs(x), F.abs(y))
     return F.exists(ns, lambda n: near(n, value * 100, 1e-6) | near(n, value * 1000, 1e-6) | near(n, value * 100_000, 1e-6) | ((n > 1) & near(1 / n, value, 0.02)))
+
+
+#: Covariates that only control for ancestry or the laboratory.
+TECHNICAL = set("pc pcs principal component components ancestry genetic genotyping genotype array arrays chip platform batch study studies centre center site assessment cohort of and the first top to for pca ancestral population structure one two three four five six seven eight nine ten twenty".split())
+#: Words that do not change which disease is meant.
+OUTCOME_FILLER = set("incident prevalent primary personal history risk total any overall the of onset diagnosed diagnosis all and".split())
+
+
+def technical_only(covariates: Column) -> Column:
+    words = F.regexp_extract_all(F.coalesce(F.lower(covariates), F.lit("")), F.lit("([a-z]+)"), F.lit(1))
+    return F.size(F.array_except(words, F.array(*[F.lit(w) for w in sorted(TECHNICAL)]))) == 0
+
+
+def same_outcome(evaluated: Column, traits: Column) -> Column:
+    """Whether all words of the evaluated trait stand in one of the score's traits (array)."""
+    words = lambda t: F.array_except(F.regexp_extract_all(F.replace(F.coalesce(F.lower(t), F.lit("")), F.lit("coeliac"), F.lit("celiac")), F.lit("([a-z0-9]+)"), F.lit(1)), F.array(*[F.lit(w) for w in sorted(OUTCOME_FILLER)]))
+    w = words(evaluated)
+    return (F.size(w) > 0) & F.exists(F.array_compact(traits), lambda t: F.size(F.array_except(w, words(t))) == 0)
+
+
+def survival_gene_status(copies: Column, silent: Column) -> Column:
+    """Status of a gene of which a lost copy shows in read depth only: undetermined is never typical."""
+    return F.when(copies.isNull(), "not_determined").when(copies == 0, "affected").when(copies == 1, "carrier").when((copies == 2) & silent, "possible_silent_carrier").otherwise("typical")
+
+
+def statement(cls: Column, gene: Column, copies: Column, role: Column) -> Column:
+    """One sentence about a finding."""
+    has = F.when(copies == 2, "two copies").otherwise("one copy")
+    head = F.concat(F.lit("You carry "), has, F.lit(" of a variant in "), F.coalesce(gene, F.lit("no known gene")))
+    tail = (
+        F.when(cls == "drug_response", " that changes how a medicine works")
+        .when(cls.isin("risk_factor", "association"), " that is linked to a trait")
+        .when(cls == "protective", " that is linked to protection")
+        .when(cls == "conflicting", " about which labs disagree")
+        .otherwise(F.concat(F.lit(" listed as "), F.replace(cls, F.lit("_"), F.lit(" "))))
+    )
+    more = F.when(role == "carrier", "; on its own it is not expected to cause disease").when(role == "affected", "; it can cause disease").otherwise("")
+    return F.concat(head, tail, more, F.lit("."))

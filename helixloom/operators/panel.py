@@ -127,3 +127,74 @@ def percentile_below(p: DataFrame, by: str, value: str) -> DataFrame:
     ranks = ranged.join(parts, [by, "_part"]).join(total, by)
     share = F.when(F.col("_total") > 1, (F.col("_before") + F.col("_own")) / (F.col("_total") - 1)).otherwise(0.0)
     return p.join(ranks.select(by, value, share.alias("share_below")), [by, value])
+
+
+def simplex_mix(centres: list[list[float]], people_: DataFrame) -> DataFrame:
+    """people (vec_id, pc) with `shares`: weights of the centres, none negative, that sum to 1 and come nearest to the person.
+
+    With a handful of centres every support is tried: on each the weights follow from a small linear system, and the nearest
+    point with no negative weight wins. Exact, and the same for all rows of a batch at once."""
+    from collections.abc import Iterator
+    from itertools import combinations
+
+    import numpy as np
+    import pandas as pd
+
+    c = np.asarray(centres, dtype=float)
+    supports = [list(s) for k in range(1, len(c) + 1) for s in combinations(range(len(c)), k)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.stack(b["pc"].to_numpy()).astype(float) if len(b) else np.zeros((0, c.shape[1]))
+            best, shares = np.full(len(x), np.inf), np.zeros((len(x), len(c)))
+            for s in supports:
+                base, edges = c[s[0]], c[s[1:]] - c[s[0]]
+                w = (x - base) @ np.linalg.pinv(edges) if len(s) > 1 else np.zeros((len(x), 0))
+                w = np.column_stack([1 - w.sum(axis=1), w])
+                gap = ((w @ c[s] - x) ** 2).sum(axis=1)
+                better = (w >= -1e-12).all(axis=1) & (gap < best - 1e-12)
+                best[better] = gap[better]
+                shares[better] = 0
+                shares[np.ix_(better, s)] = np.maximum(w[better], 0)
+            yield pd.DataFrame({"vec_id": b["vec_id"], "shares": list(shares)})
+
+    return people_.select("vec_id", "pc").mapInPandas(run, "vec_id long, shares array<double>")
+
+
+def ancestry_shares(p: DataFrame, groups: int = 3) -> DataFrame:
+    """(vec_id, grp, shares) of people over the centres of their panel's groups. A centre without the person is a hair's breadth
+    from the group's for panels of any size, and floors are taken over other groups' people, who do not move it."""
+    rows = centres(long_axes(p)).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("axis", (F.col("s") / F.col("n")).alias("m")))).alias("c")).orderBy("grp").collect()  # groups x axes
+    mixed = simplex_mix([[x["m"] for x in r["c"]] for r in rows], p)
+    return p.select("vec_id", "grp").join(mixed, "vec_id")
+
+
+def noise_floors(shares: DataFrame, groups: int = 3, quantile: float = 0.95) -> DataFrame:
+    """(grp, floor, own): the share of a group that its non-members reach by chance, and what its members have on average."""
+    out = None
+    for g in range(groups):
+        s = F.get("shares", F.lit(g))
+        one = shares.agg(F.percentile(F.when(F.col("grp") != g, s), F.lit(quantile)).alias("floor"), F.avg(F.when(F.col("grp") == g, s)).alias("own")).select(F.lit(g).cast("long").alias("grp"), "floor", "own")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def grade_shares(share, floor, call):
+    """(evidence, overall): Strong from half on, Moderate above the noise floor, else Limited; overall is the weaker grade."""
+    evidence = F.when(share <= floor, 0).when(share >= 0.5, 2).otherwise(1)
+    return evidence, F.least(evidence + 1, call)
+
+
+def twin_check(conf: DataFrame, twins: DataFrame, threshold: float = CONFUSED) -> DataFrame:
+    """(a, b, told_apart): populations that two panels both sampled (a, b) must be mistaken for each other."""
+    share = conf.select(F.col("own"), F.col("called"), "share")
+    j = twins.join(share, (F.col("own") == F.col("a")) & (F.col("called") == F.col("b")), "left").select("a", "b", F.coalesce("share", F.lit(0.0)).alias("ab"))
+    j = j.join(share, (F.col("own") == F.col("b")) & (F.col("called") == F.col("a")), "left").select("a", "b", "ab", F.coalesce("share", F.lit(0.0)).alias("ba"))
+    return j.select("a", "b", (F.greatest("ab", "ba") < threshold).alias("told_apart"))
+
+
+def score_in_group(scores: DataFrame, reference: DataFrame) -> DataFrame:
+    """scores (vec_id, grp, score) against reference people of their group: z and the percentile of those below."""
+    r = reference.groupBy("grp").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), F.count("*").alias("n"))
+    ranked = percentile_below(reference.select("vec_id", "grp", "score"), "grp", "score").select("vec_id", "share_below")
+    return scores.join(r, "grp").join(ranked, "vec_id").select("vec_id", "grp", ((F.col("score") - F.col("mean")) / F.col("sd")).alias("z"), (100 * F.col("share_below")).alias("percentile"))

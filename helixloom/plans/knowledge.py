@@ -117,3 +117,14 @@ def _(t):
 def _(t):
     copies = F.when(F.col("gt") == "0/1", 1).when(F.col("gt") == "1/1", 2).when(F.col("gt") == "0/0", 0)
     return t.fx_variants.groupBy("chrom_order", "pos", "ref", "alt", copies.alias("copies")).agg(F.count("*").alias("people"))
+
+
+ATTRIBUTES = "SELECT gene, max(loeuf) AS loeuf, max(validity) AS validity, bool_or(listed) AS listed FROM (SELECT 'G' || CAST(case_id % 500 AS STRING) AS gene, loeuf, classification AS validity, yes_3 AS listed FROM fx_cases) x GROUP BY gene"
+
+
+@query("gene_attributes", f"WITH {PICK}, a AS ({ATTRIBUTES}), l AS (SELECT DISTINCT symbol FROM fx_genes WHERE biotype = 'protein_coding') SELECT chrom_order, pos, ref, alt, pk.gene, loeuf, validity, coalesce(listed, false) AS listed, l.symbol IS NOT NULL AS coding FROM pk LEFT JOIN a ON a.gene = pk.gene LEFT JOIN l ON l.symbol = pk.gene")
+def _(t):
+    from .matching import read
+
+    coding = t.fx_genes.filter("biotype = 'protein_coding'").select(F.col("symbol").alias("gene"), F.lit(True).alias("coding")).distinct()
+    return K.with_gene_attributes(K.pick_consequence(t.fx_csq).select(*K.ALLELE, "gene"), read(t, ATTRIBUTES), coding)

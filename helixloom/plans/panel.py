@@ -67,3 +67,35 @@ def _(t):
  b AS (SELECT vec_id, own, arg_min(grp, dd) AS called FROM d GROUP BY 1, 2) SELECT own, called, count(*) AS n FROM b GROUP BY 1, 2""")
 def _(t):
     return P.nearest_centre(P.long_axes(P.people(t.embeddings))).groupBy("own", "called").agg(F.count("*").alias("n"))
+
+
+@query("ancestry_shares", None)
+def _(t):
+    s = P.ancestry_shares(P.people(t.embeddings))
+    return s.select("vec_id", "grp", F.transform("shares", lambda x: F.round(x, 9)).alias("shares"))
+
+
+@query("noise_floors", None)
+def _(t):
+    f = P.noise_floors(P.ancestry_shares(P.people(t.embeddings)))
+    return f.select("grp", F.round("floor", 9).alias("floor"), F.round("own", 9).alias("own"))
+
+
+@query("share_grades", "SELECT case_id, ['Limited', 'Moderate', 'Strong'][e + 1] AS evidence, ['Not callable', 'Limited', 'Moderate', 'Strong'][least(e + 1, level) + 1] AS overall FROM (SELECT case_id, level, CASE WHEN ratio_all / 2 <= gc THEN 0 WHEN ratio_all / 2 >= 0.5 THEN 2 ELSE 1 END AS e FROM fx_cases WHERE gc IS NOT NULL)")
+def _(t):
+    from ..functions import evidence as E
+
+    e, o = P.grade_shares(F.col("ratio_all") / 2, F.col("gc"), F.col("level"))
+    return t.fx_cases.filter("gc IS NOT NULL").select("case_id", E.word(e, E.EVIDENCE).alias("evidence"), E.word(o, E.OVERALL).alias("overall"))
+
+
+@query("twin_check", f"WITH {LONG}, {_knn(10)}, cf AS (SELECT own, called, count(*) / sum(count(*)) OVER (PARTITION BY own) AS share FROM ca GROUP BY 1, 2) SELECT a, b, greatest(coalesce((SELECT share FROM cf WHERE own = a AND called = b), 0), coalesce((SELECT share FROM cf WHERE own = b AND called = a), 0)) < 0.2 AS told_apart FROM (SELECT DISTINCT label AS a, label + 3 AS b FROM embeddings WHERE label < 7)")
+def _(t):
+    twins = t.embeddings.filter("label < 7").select(F.col("label").alias("a"), (F.col("label") + 3).alias("b")).distinct()
+    return P.twin_check(P.confusion(P.neighbour_votes(P.scaled(P.people(t.embeddings)))), twins)
+
+
+@query("score_in_group", f"WITH {LONG} SELECT vec_id, grp, (pc[2] - avg(pc[2]) OVER w) / stddev_samp(pc[2]) OVER w AS z, 100 * percent_rank() OVER (PARTITION BY grp ORDER BY pc[2]) AS percentile FROM p WINDOW w AS (PARTITION BY grp)")
+def _(t):
+    s = P.people(t.embeddings).select("vec_id", "grp", F.get("pc", F.lit(1)).alias("score"))
+    return P.score_in_group(s, s)

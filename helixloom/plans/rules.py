@@ -132,3 +132,43 @@ def _(t):
 def _(t):
     e = C.estimate(c("estimate"))
     return t.fx_cases.select("case_id", e["value"].alias("value"), e["low"].alias("low"), e["high"].alias("high"), C.risk_stated(F.lit(0.125), c("quote")).alias("stated"))
+
+
+@query("score_gates", """WITH x AS (SELECT case_id, ['age, sex, PCs', '10 PCs; array', 'PC(1-10), genotyping batch', NULL, 'BMI'][case_id % 5 + 1] AS cov, ['Incident coeliac disease', 'Type 2 diabetes', 'Any stroke', '', NULL][case_id % 5 + 1] AS ev FROM fx_cases)
+ SELECT case_id, case_id % 5 IN (1, 2, 3) AS technical, case_id % 5 IN (0, 2) AND (case_id % 5 = 0 OR case_id % 2 = 0) AS same FROM x""")
+def _(t):
+    k = c("case_id") % 5
+    cov = F.when(k == 0, "age, sex, PCs").when(k == 1, "10 PCs; array").when(k == 2, "PC(1-10), genotyping batch").when(k == 4, "BMI")
+    ev = F.when(k == 0, "Incident coeliac disease").when(k == 1, "Type 2 diabetes").when(k == 2, "Any stroke").when(k == 3, "")
+    traits = F.array(F.lit("Celiac disease"), F.lit("diabetes mellitus type 1"), F.when(c("case_id") % 2 == 0, "ischaemic stroke"), F.lit(None).cast("string"))
+    return t.fx_cases.select("case_id", C.technical_only(cov).alias("technical"), C.same_outcome(ev, traits).alias("same"))
+
+
+@query("lost_copy_status", "SELECT case_id, CASE observed WHEN 0 THEN 'affected' WHEN 1 THEN 'carrier' WHEN 2 THEN CASE WHEN yes_3 THEN 'possible_silent_carrier' ELSE 'typical' END ELSE 'not_determined' END AS status FROM fx_cases")
+def _(t):
+    return t.fx_cases.select("case_id", C.survival_gene_status(c("observed"), c("yes_3")).alias("status"))
+
+
+_CLS = ["drug_response", "association", "protective", "conflicting", "likely_pathogenic"]
+
+
+@query("finding_statements", "SELECT case_id, 'You carry ' || CASE copies WHEN 2 THEN 'two copies' ELSE 'one copy' END || ' of a variant in ' || CASE WHEN yes_3 THEN 'no known gene' ELSE 'G' || case_id END || [' that changes how a medicine works', ' that is linked to a trait', ' that is linked to protection', ' about which labs disagree', ' listed as likely pathogenic'][case_id % 5 + 1] || CASE WHEN yes_2 THEN '; on its own it is not expected to cause disease' ELSE '' END || '.' AS statement FROM fx_cases")
+def _(t):
+    cls = F.get(F.array(*[F.lit(x) for x in _CLS]), (c("case_id") % 5).cast("int"))
+    gene = F.when(~c("yes_3"), F.concat(F.lit("G"), c("case_id").cast("string")))
+    return t.fx_cases.select("case_id", C.statement(cls, gene, c("copies"), F.when(c("yes_2"), "carrier")).alias("statement"))
+
+
+@query("record_links", r"""SELECT page_id, coalesce(regexp_matches(url, '://[^/]+/[^?#]*[^/?#]/[^/?#]+|[?][^#]*=|pubmed[.]ncbi[.]nlm[.]nih[.]gov/[0-9]+'), false) AS exact FROM pages""")
+def _(t):
+    from ..functions.text import exact_record
+
+    return t.pages.select("page_id", exact_record(c("url")).alias("exact"))
+
+
+@query("local_paths", r"""SELECT case_id, 'read ' || CASE WHEN yes_2 THEN 'x.bam' ELSE 'a.txt' END || ' and b/c' AS told FROM fx_cases""")
+def _(t):
+    from ..functions.text import strip_local_path
+
+    path = F.when(c("yes_2"), "read /home/kim/data_1/x.bam and b/c").otherwise("read /tmp/a.txt and b/c")
+    return t.fx_cases.select("case_id", strip_local_path(path).alias("told"))

@@ -201,3 +201,12 @@ def _(t):
     c = F.col
     s = t.fx_sites.filter("alt_reads >= 6 AND ref_reads >= 6").withColumns({"rf": F.least("ref_reads", "ref_fwd_cap"), "af": F.least("alt_reads", "alt_fwd_cap")})
     return s.select("site_id", R.fisher_exact(c("rf"), c("ref_reads") - c("rf"), c("af"), c("alt_reads") - c("af")).alias("p")).withColumn("p", F.round("p", 6))
+
+
+@query("pgs_match_rates", f"WITH {MATCH}, w AS (SELECT score_id, count(DISTINCT (chrom_order, pos, effect_allele, other_allele)) AS n FROM fx_weights GROUP BY 1), g AS (SELECT score_id, count(DISTINCT (chrom_order, pos, effect_allele, other_allele)) AS matched FROM m WHERE kind IS NOT NULL GROUP BY 1) SELECT score_id, n, coalesce(matched, 0) AS matched, coalesce(matched, 0) / n AS rate, coalesce(matched, 0) / n >= 0.75 AS passed FROM w LEFT JOIN g USING (score_id)")
+def _(t):
+    key = ["chrom_order", "pos", "effect_allele", "other_allele"]
+    n = t.fx_weights.groupBy("score_id").agg(F.count_distinct(*key).alias("n"))
+    m = match_weights(t.fx_weights, t.fx_variants).groupBy("score_id").agg(F.count_distinct(*key).alias("matched"))
+    j = n.join(m, "score_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    return j.withColumns({"rate": F.col("matched") / F.col("n"), "passed": F.col("matched") / F.col("n") >= 0.75})
