@@ -36,8 +36,8 @@ OP8 = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(1
  SELECT o.doc_id, o.line_no::BIGINT AS line_no, CASE WHEN m.partner IS NOT NULL THEN 'near' ELSE 'exact' END AS kind, coalesce(m.partner, u.first).d AS kept_doc_id, coalesce(m.partner, u.first).l::BIGINT AS kept_line_no
  FROM o JOIN u USING (line) LEFT JOIN m USING (line) WHERE m.partner IS NOT NULL OR u.first <> {'d': o.doc_id, 'l': o.line_no}"""
 
-#: OP8 with exact repeats of shorter lines that hold a word; these take no part in the near step.
-OP8_ALL = OP8.replace("FROM l WHERE length(line) >= 20)", r"FROM l WHERE length(line) >= 20 OR regexp_matches(line, '[^\x20\x09-\x0D]'))").replace("FROM u))", "FROM u WHERE n >= 20))")
+#: Exact repeats go for lines of any length that hold a word; shorter lines take no part in the near step.
+OP8 = OP8.replace("FROM l WHERE length(line) >= 20)", r"FROM l WHERE length(line) >= 20 OR regexp_matches(line, '[^\x20\x09-\x0D]'))").replace("FROM u))", "FROM u WHERE n >= 20))")
 
 OP10 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
  n AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, unnest([array_to_string(ws[j:j + 7], chr(10)) FOR j IN range(1, len(ws) - 6)]) AS x FROM d WHERE len(ws) >= 8),
@@ -48,4 +48,4 @@ OP10 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS ws, li
   + 64 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::BIGINT AS fail_bits FROM m)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b"""
 
-ORACLES = {"op3_url_filters": OP3, "op5_mixing": OP5, "op6_exact_topk": OP6, "op8_line_dedup": OP8, "op8_all_repeats": OP8_ALL, "op10_quality_rules": OP10}
+ORACLES = {"op3_url_filters": OP3, "op5_mixing": OP5, "op6_exact_topk": OP6, "op8_line_dedup": OP8, "op10_quality_rules": OP10}

@@ -60,14 +60,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(line_dedup.dropped(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-def op8_all_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(line_dedup.dropped(table(spark, sf_dir, "documents").select("doc_id", "text"), short_repeats=True))
-
-
-def _places(found: DataFrame) -> DataFrame:
+    found = line_dedup.dropped(table(spark, sf_dir, "documents").select("doc_id", "text"), short_repeats=True)
     return found.select(
         F.col("row.key").alias("doc_id"),
         F.col("line_no").cast("bigint").alias("line_no"),
