@@ -40,6 +40,7 @@ def per_sd(scores: DataFrame, hazard: bool) -> DataFrame:
         for b in batches:
             yield b.assign(intercept=solved(b["effect"].to_numpy(), b["baseline"].to_numpy(), hazard))
 
+    scores = scores.withColumns({k: F.col(k).cast("double") for k in ("effect", "baseline")})
     pairs = scores.select("effect", "baseline").distinct().filter("effect > 0 AND baseline > 0 AND baseline < 1")
     known = pairs.mapInPandas(run, "effect double, baseline double, intercept double")
     line = F.ln("effect") * F.col("z")
@@ -73,3 +74,36 @@ def from_auroc(z: Column, auc: Column, baseline: Column) -> Column:
     s = baseline * d + z * F.sqrt(1 + baseline * (1 - baseline) * d * d)
     odds = baseline / (1 - baseline) * F.exp(s * d - d * d / 2)
     return odds / (1 + odds)
+
+
+#: Fixed value: a cohort with a larger share of cases was enriched for them, so the share is no population's risk.
+MOST_CASES = 0.2
+
+
+def routes(evals: DataFrame) -> DataFrame:
+    """evals (auc, odds, clinical, baseline, case_share, z, ...) with `route` and the baseline `used`: a curve that owes nothing to
+    clinical covariates with a cited baseline, else with its cohort's share of cases, else a ratio with a cited baseline, else why
+    there is no number."""
+    c = F.col
+    curve = c("auc").isNotNull() & ~c("clinical")
+    cohort = F.when((c("case_share") > 0) & (c("case_share") <= MOST_CASES), c("case_share"))
+    route = (
+        F.when(c("z").isNull(), "no score")
+        .when(curve & c("baseline").isNotNull(), "curve")
+        .when(curve & cohort.isNotNull(), "curve, cohort")
+        .when(c("odds").isNotNull() & c("baseline").isNotNull(), "ratio")
+        .when(c("baseline").isNull(), "no baseline")
+        .otherwise("no effect")
+    )
+    used = F.when(c("z").isNotNull(), F.when(curve, F.coalesce("baseline", cohort)).when(c("odds").isNotNull(), c("baseline")))
+    return evals.withColumn("route", route).withColumn("used", used)
+
+
+def absolute_risk(evals: DataFrame) -> DataFrame:
+    """evals with `route` and `risk`, null where no route leads to one."""
+    r = routes(evals)
+    by_curve = r.filter("route LIKE 'curve%'").withColumn("risk", from_auroc(F.col("z"), F.col("auc"), F.col("used")))
+    ratio = r.filter("route = 'ratio'").drop("baseline").withColumnsRenamed({"odds": "effect", "used": "baseline"})
+    by_ratio = per_sd(ratio, False).select("pgs_id", "route", "risk")
+    none = r.filter("route LIKE 'no %'").select("pgs_id", "route", F.lit(None).cast("double").alias("risk"))
+    return by_curve.select("pgs_id", "route", "risk").unionByName(by_ratio).unionByName(none)

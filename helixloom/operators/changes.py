@@ -66,3 +66,12 @@ def contains_any(df: DataFrame, words: list[str]) -> Column:
         for t in texts:
             hit = hit | F.contains(t, F.lit(w))
     return hit
+
+
+def result_diff(spec: dict[str, tuple[DataFrame, DataFrame, str, list[str], dict[str, float]]]) -> DataFrame:
+    """(table_name, key, kind) of all tables of a specification: name -> (old, new, key, fields, tolerance by field)."""
+    out = None
+    for name, (old, new, key, fields, tolerance) in spec.items():
+        d = snapshot_compare(old, new, [key], fields, tolerance).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), "kind")
+        out = d if out is None else out.unionByName(d)
+    return out
