@@ -34,11 +34,11 @@ def variant_kind(ref: Column, alt: Column) -> Column:
 
 def zygosity(gt: Column) -> Column:
     """nocall, ref, hemi, hom or het; phased or not; half calls are no calls."""
-    parts = F.split(gt, r"[/|]")
-    a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    plain = F.translate(gt, "|", "/")  # string functions only: they stay inside compiled code
+    a, b, two = F.split_part(plain, F.lit("/"), F.lit(1)), F.split_part(plain, F.lit("/"), F.lit(2)), F.contains(plain, F.lit("/"))
     return (
-        F.when(gt.isNull() | F.exists(parts, lambda x: (x == ".") | (x == "")), "nocall")
-        .when(b.isNull(), F.when(a == "0", "ref").otherwise("hemi"))
+        F.when(gt.isNull() | F.contains(gt, F.lit(".")) | (a == "") | (two & (b == "")), "nocall")
+        .when(~two, F.when(a == "0", "ref").otherwise("hemi"))
         .when((a == "0") & (b == "0"), "ref")
         .when(a == b, "hom")
         .otherwise("het")
