@@ -289,6 +289,12 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
             break
         remove(rows)
         scale *= 2  # some set fills too few groups for the cells to be sure: deal all into more
+    return classes(df, rows, key, text, width, num, den)
+
+
+def classes(df: DataFrame, rows: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """What `join` returns, from a written table (uid, id, th, n, f1, f2, pt, cells) of the rows of df: those that meet in a cell
+    are compared."""
     # Equal sets are one node, named by a row that has it: from here on, copies take no part.
     slim = rows.select("uid", "id", "th", "n", "f1", "f2").filter("n > 0")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "th")

@@ -48,4 +48,18 @@ OP10 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS ws, li
   + 64 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::BIGINT AS fail_bits FROM m)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b"""
 
-ORACLES = {"op3_url_filters": OP3, "op5_mixing": OP5, "op6_exact_topk": OP6, "op8_line_dedup": OP8, "op10_quality_rules": OP10}
+#: crc32 of a feature's bytes, by the table of its 256 remainders.
+OP11 = r"""WITH k AS (SELECT list(list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, n: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) g(i)),
+ d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+ b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+ f AS (SELECT r, unnest(ws) AS w FROM d), u AS (SELECT DISTINCT w FROM (SELECT w FROM f UNION ALL SELECT w FROM b)),
+ h AS (SELECT w, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda x: ((position(x[1] IN '0123456789ABCDEF') - 1) * 16 + position(x[2] IN '0123456789ABCDEF') - 1)::UBIGINT) AS bytes FROM u),
+ c AS (SELECT w, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda a, x: xor(a >> 8, k.t[(xor(a, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 10000 AS bucket FROM h, k),
+ s AS (SELECT bucket, count(*)::BIGINT AS n FROM f JOIN c USING (w) GROUP BY 1), t AS (SELECT bucket, count(*)::BIGINT AS n FROM b JOIN c USING (w) GROUP BY 1),
+ g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000) / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+ p AS (SELECT r, sum(gain)::BIGINT AS weight FROM f JOIN c USING (w) JOIN g USING (bucket) GROUP BY 1),
+ q AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN p USING (r)),
+ o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) END AS place, count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS most FROM q)
+ SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END::BIGINT AS rank FROM o"""
+
+ORACLES = {"op3_url_filters": OP3, "op5_mixing": OP5, "op6_exact_topk": OP6, "op8_line_dedup": OP8, "op10_quality_rules": OP10, "op11_importance_resampling": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, html_text, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, url_filters
+from . import conversation_repair, exact_topk, fingerprints, html_text, importance, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, url_filters
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -97,4 +97,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and callable(f)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    return importance.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.drill(table(spark, sf_dir, "conversations"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def near_copies_by_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith(("op", "near_")) and callable(f)}
