@@ -15,6 +15,7 @@ carried, so their names do not matter.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ _BY_WORDS: dict[str, bool] = {}
 _WORDS: dict[str, dict[str, bytes]] = {}
 _ENDS: dict[str, np.ndarray] = {}
 WORD_END = "</w>"
+#: Words of these letters are one token before and after normalisation: none is composed, decomposed or taken apart by it.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all of ASCII but the apostrophe, which can begin a token of letters
 
 
@@ -77,9 +80,10 @@ def _encoded_letters(words: list[str], path: str) -> list[bytes]:
 
 
 def _encoded_words(words: list[str], path: str) -> list[bytes]:
-    """Ids of each word: those of its letters, then those of the marks after them; other words are encoded as they are."""
+    """Ids of each word: those of its LETTERS, then those of the marks of ASCII after them. Normalisation can join the letters of
+    other scripts with what follows, so other words are encoded whole."""
     cores = [w.rstrip(MARKS) for w in words]
-    plain = [c.isalpha() for c in cores]
+    plain = [LETTERS.fullmatch(c) is not None for c in cores]
     letters = list({c for c, p in zip(cores, plain) if p})
     rest = list({w[len(c) :] if p else w for w, c, p in zip(words, cores, plain)})
     of_letters, of_rest = dict(zip(letters, _encoded_letters(letters, path))), dict(zip(rest, _encoded(rest, path)))
