@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for tokens that no pattern names.
 
-Base kinds are regular expressions. Other runs of MIN_LENGTH token characters or more are tested, but for words in lower
-case or title case: a run's encoding is inferred from its characters (hex, base32, base64), then four tests ask whether it
+Base kinds are regular expressions. Other runs of MIN_LENGTH token characters or more are tested. An equals sign ends a run
+(as padding it may close one), so a value is judged without the name before it, and so is what follows a path of words. A run's encoding is inferred from its characters (hex, base32, base64), then four tests ask whether it
 looks like random symbols of that alphabet: chi-squared of symbol counts against the uniform, a runs test about the
 alphabet's middle, the serial correlation of neighbouring symbols, and the number of equal pairs. The smallest of the four
 p-values is compared with those of SIMULATED random tokens of the same encoding and length (seeded, and the same in every
@@ -41,7 +41,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_LENGTH = 20
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % MIN_LENGTH)
+PATH = re.compile(r"/?(?:(?:[a-z_-]+|[A-Z][a-z]+)/)+")
 
 BINS, SIMULATED = 200, 1999
 ALPHABETS = (16, 32, 64)
@@ -136,11 +137,12 @@ def candidates(text: str) -> list[tuple[int, int, int, int, int]]:
     """(start, end, encoding, length class, bin) of the tokens that are tested."""
     out = []
     for m in TOKEN.finditer(text):
-        token = m.group()
-        if token.isalpha() and (token.islower() or token.istitle()):
-            continue  # a word; letters in upper case can be base32
+        path = PATH.match(m.group())
+        token = m.group()[path.end() :] if path else m.group()
+        if len(token) < MIN_LENGTH or (token.isalpha() and (token.islower() or token.istitle())):
+            continue  # small letters alone never look uniform over base64; those in upper case can be base32
         enc, p = p_value(token)
-        out.append((m.start(), m.end(), enc, int(np.log2(len(token))), min(BINS - 1, int(p * BINS))))
+        out.append((m.end() - len(token), m.end(), enc, int(np.log2(len(token))), min(BINS - 1, int(p * BINS))))
     return out
 
 
