@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from . import ngram_join, word_batch
 from .common import text_of, written
 
-PERMUTATIONS, BANDS, ROWS = 128, 25, 5
+PERMUTATIONS, BANDS, ROWS = 256, 25, 5
 BLOCK_BYTES = 256 << 10
-SAMPLED = 64
+SAMPLED, RANGE_ROWS = 64, 20_000
 _RNG = np.random.default_rng(13)
 _A = _RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -105,11 +105,12 @@ KEY = ["known", "id", "th"]  # orders null ids first
 
 
 def _ranges(keys: DataFrame, ranges: int) -> list[tuple]:
-    """The keys of rows that begin ranges of about equal size, the least of all first; about SAMPLED rows a range come to the
-    driver."""
+    """The keys of rows that begin ranges of about equal size, the least of all first: at least `ranges`, and more of RANGE_ROWS rows
+    for a large table. About SAMPLED rows a range come to the driver."""
     n, first = keys.agg(F.count("*"), F.min(F.struct(*KEY))).first()
     if not n:
         return []
+    ranges = max(ranges, n // RANGE_ROWS)
     sample = sorted({tuple(r) for r in keys.sample(min(1.0, SAMPLED * ranges / n), seed=13).collect()})
     return sorted({tuple(first), *sample[:: max(1, min(SAMPLED, n // ranges))]})
 
@@ -132,7 +133,7 @@ def with_neighbour(df: DataFrame, schema: str, each, key: str = "doc_id", text:
             yield pd.concat([b, b[heads].assign(part=(own[heads] - 1) % len(begins), last=True)])
 
     parts = slim.mapInPandas(dealt, "known boolean, id long, th long, t string, part int, last boolean")
-    stream = parts.repartition(ranges, "part").sortWithinPartitions("part", "last", *KEY)
+    stream = parts.repartition(max(ranges, len(begins)), "part").sortWithinPartitions("part", "last", *KEY)
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row whose next one has not come yet
