@@ -1,6 +1,6 @@
 """Registered queries over the given tables; importing the modules fills the registry."""
 
-from . import genotypes, changes, checks, copies, findings, fitting, genotype, ingest, ingest_more, intervals, knowledge, matching, panel, positions, rules, scores, variants  # noqa: F401
+from . import changes, checks, copies, findings, fitting, genotype, genotypes, ingest, ingest_more, intervals, knowledge, matching, panel, positions, recount, rules, scores, variants  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
