@@ -48,32 +48,47 @@ def per_sd(scores: DataFrame, hazard: bool) -> DataFrame:
     return scores.join(known, ["effect", "baseline"], "left").withColumn("risk", risk).drop("intercept")
 
 
+#: Terms of the series for the normal distribution: enough for full precision up to five standard deviations.
+TERMS = 80
+
+
+def normal_distribution(x: Column) -> Column:
+    """Share of the standard normal distribution below x: the density times x + x^3/3 + x^5/15 + ..."""
+    start = F.struct(x.alias("term"), x.alias("total"))
+
+    def step(acc: Column, k: Column) -> Column:
+        term = acc["term"] * x * x / (2 * k + 1)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda acc: acc["total"])
+    return 0.5 + total * F.exp(-x * x / 2) * F.lit(0.3989422804014327)
+
+
 def inverse_normal(p: Column) -> Column:
-    """Quantile of the standard normal distribution by Acklam's rational approximation (relative error below 1.2e-9)."""
-    # Its coefficients.
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+    """Quantile of the standard normal distribution: a rational start (Abramowitz and Stegun 26.2.23, good to 5e-4), then Halley
+    steps on the distribution itself; the last one changes nothing that a double can hold."""
+    tail = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    # The coefficients of the start.
+    start = tail - (2.515517 + tail * (0.802853 + tail * 0.010328)) / (1 + tail * (1.432788 + tail * (0.189269 + tail * 0.001308)))
+    x = F.when(p < 0.5, -start).otherwise(start)
 
-    def poly(cs: tuple[float, ...], x: Column) -> Column:
-        out = F.lit(cs[0])
-        for k in cs[1:]:
-            out = out * x + F.lit(k)
-        return out
+    def halley(x: Column) -> Column:
+        u = (normal_distribution(x) - p) * F.exp(x * x / 2) * F.lit(2.5066282746310002)
+        return x - u / (1 + x * u / 2)
 
-    q, r = p - 0.5, (p - 0.5) * (p - 0.5)
-    tail = lambda t: poly(c, t) / poly(d, t)
-    low, high = F.sqrt(-2 * F.ln(p)), F.sqrt(-2 * F.ln(1 - p))
-    return F.when(p < 0.02425, tail(low)).when(p > 0.97575, -tail(high)).otherwise(poly(a, r) * q / poly(b, r))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(2)), x, lambda x, _: halley(x))
 
 
 def from_auroc(z: Column, auc: Column, baseline: Column) -> Column:
     """Risk under two normal distributions of equal spread; z is measured over the whole population."""
-    d = F.sqrt(F.lit(2.0)) * inverse_normal(auc)
-    s = baseline * d + z * F.sqrt(1 + baseline * (1 - baseline) * d * d)
-    odds = baseline / (1 - baseline) * F.exp(s * d - d * d / 2)
-    return odds / (1 + odds)
+
+    def risk(d: Column) -> Column:
+        s = baseline * d + z * F.sqrt(1 + baseline * (1 - baseline) * d * d)
+        odds = baseline / (1 - baseline) * F.exp(s * d - d * d / 2)
+        return odds / (1 + odds)
+
+    apart = F.sqrt(F.lit(2.0)) * inverse_normal(auc)
+    return F.get(F.transform(F.array(apart), risk), F.lit(0))  # bound, so that it is worked out once
 
 
 #: Fixed value: a cohort with a larger share of cases was enriched for them, so the share is no population's risk.

@@ -73,16 +73,28 @@ _D = ", ".join(f"({k}, {NormalDist().inv_cdf(0.55 + k / 20) * 2**0.5!r})" for k
 
 
 @query("risk_from_curve", f"""WITH r AS (SELECT *, CAST(round((auc - 0.55) * 20) AS INT) AS k FROM ({RISK})), d AS (SELECT k, d::DOUBLE AS d FROM (VALUES {_D}) AS v(k, d)), s AS (SELECT pgs_id, d, baseline, baseline * d + z * sqrt(1 + baseline * (1 - baseline) * d * d) AS s FROM r JOIN d USING (k))
- SELECT pgs_id, round(baseline * exp(-(s - d) * (s - d) / 2) / (baseline * exp(-(s - d) * (s - d) / 2) + (1 - baseline) * exp(-s * s / 2)), 6) AS risk FROM s""")
+ SELECT pgs_id, baseline * exp(-(s - d) * (s - d) / 2) / (baseline * exp(-(s - d) * (s - d) / 2) + (1 - baseline) * exp(-s * s / 2)) AS risk FROM s""")
 def _(t):
-    return read(t, RISK).select("pgs_id", F.round(K.from_auroc(c("z"), c("auc"), c("baseline")), 6).alias("risk"))
+    return read(t, RISK).select("pgs_id", K.from_auroc(c("z"), c("auc"), c("baseline")).alias("risk"))
 
 
-@query("risk_per_sd", None)
+_NODES = ", ".join(f"({x!r}::DOUBLE, {w!r}::DOUBLE)" for x, w in zip(*(v.tolist() for v in K._normal())))
+_MEAN = {"odds": "sum(g.w / (1 + exp(-(m + ln(effect) * g.x))))", "hazard": "sum(g.w * (1 - exp(-m * exp(ln(effect) * g.x))))"}
+_ENDS = {"odds": (-40, 40), "hazard": (0, 50)}
+
+
+def bisected(kind: str, pairs: str) -> str:
+    """Tables g_, b_ and i_kind: the intercept of each (effect, baseline) of `pairs` by a hundred bisections."""
+    lo, hi = _ENDS[kind]
+    return f"""g_{kind}(x, w) AS (VALUES {_NODES}), b_{kind}(n, effect, baseline, lo, hi) AS (SELECT 0, effect, baseline, {lo}::DOUBLE, {hi}::DOUBLE FROM (SELECT DISTINCT effect, baseline FROM {pairs}) UNION ALL
+  SELECT n + 1, effect, baseline, CASE WHEN low THEN m ELSE lo END, CASE WHEN low THEN hi ELSE m END FROM (SELECT *, (SELECT {_MEAN[kind]} FROM g_{kind} g) < baseline AS low FROM (SELECT *, (lo + hi) / 2 AS m FROM b_{kind} WHERE n < 100))), i_{kind} AS (SELECT effect, baseline, (lo + hi) / 2 AS i FROM b_{kind} WHERE n = 100)"""
+
+
+@query("risk_per_sd", f"""WITH RECURSIVE r AS ({RISK}), {bisected("odds", "r")}, {bisected("hazard", "r")} SELECT pgs_id, 'odds' AS kind, 1 / (1 + exp(-(i + ln(effect) * z))) AS risk FROM r JOIN i_odds USING (effect, baseline)
+ UNION ALL SELECT pgs_id, 'hazard', 1 - exp(-i * exp(ln(effect) * z)) FROM r JOIN i_hazard USING (effect, baseline)""")
 def _(t):
     r = read(t, RISK)
-    odds = K.per_sd(r, False).select("pgs_id", F.lit("odds").alias("kind"), F.round("risk", 6).alias("risk"))
-    return odds.unionByName(K.per_sd(r, True).select("pgs_id", F.lit("hazard").alias("kind"), F.round("risk", 6).alias("risk")))
+    return K.per_sd(r, False).select("pgs_id", F.lit("odds").alias("kind"), "risk").unionByName(K.per_sd(r, True).select("pgs_id", F.lit("hazard").alias("kind"), "risk"))
 
 
 @query("public_variants", """WITH RECURSIVE v AS (SELECT k.chrom_order, k.pos, k.ref, k.alt, k.af_1kg::FLOAT AS af_1kg FROM fx_known k), n AS (SELECT chrom_order, count(*) AS n, row_number() OVER (ORDER BY chrom_order) AS k FROM v GROUP BY 1), w(k, chrom_order, part, used) AS (SELECT k, chrom_order, 0, n FROM n WHERE k = 1 UNION ALL

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import risk as K
 from ..operators import changes as C
 from ..operators import fitting as T
+from .copies import _D, bisected
 from .matching import read
 from .registry import query
 
@@ -40,14 +41,19 @@ def _(t):
 EVALS = "SELECT pgs_id, CASE WHEN independent_n % 3 = 0 THEN NULL ELSE 0.55 + CAST(independent_n % 8 AS DOUBLE) / 20 END AS auc, CASE WHEN independent_n % 5 < 2 THEN 1.5 END AS odds, independent_n % 4 = 0 AS clinical, CASE WHEN independent_pubs % 2 = 0 THEN CAST(1 + independent_n % 19 AS DOUBLE) / 100 END AS baseline, CAST(independent_n % 40 AS DOUBLE) / 100 AS case_share, z FROM fx_scores"
 
 
-@query("absolute_risk_routes", f"WITH e AS ({EVALS}) SELECT pgs_id, CASE WHEN z IS NULL THEN 'no score' WHEN auc IS NOT NULL AND NOT clinical AND baseline IS NOT NULL THEN 'curve' WHEN auc IS NOT NULL AND NOT clinical AND case_share > 0 AND case_share <= 0.2 THEN 'curve, cohort' WHEN odds IS NOT NULL AND baseline IS NOT NULL THEN 'ratio' WHEN baseline IS NULL THEN 'no baseline' ELSE 'no effect' END AS route, CASE WHEN z IS NOT NULL THEN CASE WHEN auc IS NOT NULL AND NOT clinical THEN coalesce(baseline, CASE WHEN case_share > 0 AND case_share <= 0.2 THEN case_share END, NULL) WHEN odds IS NOT NULL THEN baseline END END AS used FROM e")
+ROUTES = "SELECT pgs_id, CASE WHEN z IS NULL THEN 'no score' WHEN auc IS NOT NULL AND NOT clinical AND baseline IS NOT NULL THEN 'curve' WHEN auc IS NOT NULL AND NOT clinical AND case_share > 0 AND case_share <= 0.2 THEN 'curve, cohort' WHEN odds IS NOT NULL AND baseline IS NOT NULL THEN 'ratio' WHEN baseline IS NULL THEN 'no baseline' ELSE 'no effect' END AS route, CASE WHEN z IS NOT NULL THEN CASE WHEN auc IS NOT NULL AND NOT clinical THEN coalesce(baseline, CASE WHEN case_share > 0 AND case_share <= 0.2 THEN case_share END, NULL) WHEN odds IS NOT NULL THEN baseline END END AS used FROM e"
+
+
+@query("absolute_risk_routes", f"WITH e AS ({EVALS}) {ROUTES}")
 def _(t):
     return K.routes(read(t, EVALS)).select("pgs_id", "route", "used")
 
 
-@query("absolute_risk", None)
+@query("absolute_risk", f"""WITH RECURSIVE e AS ({EVALS}), u AS ({ROUTES}), j AS (SELECT e.pgs_id, z, auc, odds AS effect, route, used AS baseline FROM e JOIN u ON e.pgs_id = u.pgs_id), q AS (SELECT effect, baseline FROM j WHERE route = 'ratio'), {bisected("odds", "q")},
+ d AS (SELECT k, d::DOUBLE AS d FROM (VALUES {_D}) AS v(k, d)), s AS (SELECT *, baseline * d + z * sqrt(1 + baseline * (1 - baseline) * d * d) AS s FROM j LEFT JOIN d ON d.k = round((auc - 0.55) * 20))
+ SELECT pgs_id, route, CASE WHEN route LIKE 'curve%' THEN baseline * exp(-(s - d) * (s - d) / 2) / (baseline * exp(-(s - d) * (s - d) / 2) + (1 - baseline) * exp(-s * s / 2)) WHEN route = 'ratio' THEN 1 / (1 + exp(-(i + ln(effect) * z))) END AS risk FROM s LEFT JOIN i_odds USING (effect, baseline)""")
 def _(t):
-    return K.absolute_risk(read(t, EVALS)).select("pgs_id", "route", F.round("risk", 6).alias("risk"))
+    return K.absolute_risk(read(t, EVALS)).select("pgs_id", "route", "risk")
 
 
 SPEC = [("claims", "fx_claims_old", "fx_claims_new", "claim_id", ["overall", "stars"], {})]

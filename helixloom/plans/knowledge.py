@@ -94,7 +94,7 @@ def _(t):
     return _claims(t).groupBy("section", "overall").agg(F.count("*").alias("n"))
 
 
-@query("compound_findings", f"""WITH {GRADED}, ca AS (SELECT gene, count(*) AS n, bool_or(cls = 'pathogenic') AS severe FROM cl WHERE section = 'carrier' AND gene IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)
+@query("compound_findings", f"""WITH {GRADED}, ca AS (SELECT gene, count(*) AS n, bool_or(cls IN ('pathogenic', 'likely_pathogenic')) AS severe FROM cl WHERE section = 'carrier' AND gene IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)
  SELECT claim_id, CASE WHEN section = 'carrier' AND coalesce(severe, false) THEN 'health' ELSE section END AS section, CASE WHEN section = 'carrier' AND coalesce(severe, false) THEN 'compound' WHEN section = 'carrier' AND n IS NOT NULL THEN 'note' END AS compound FROM cl LEFT JOIN ca USING (gene)""")
 def _(t):
     return K.compound(_claims(t))
