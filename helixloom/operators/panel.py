@@ -3,7 +3,7 @@ the group's sum, so leaving each person out costs one join with the table of cen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = 10
@@ -161,20 +161,70 @@ def simplex_mix(centres: list[list[float]], people_: DataFrame) -> DataFrame:
     return people_.select("vec_id", "pc").mapInPandas(run, "vec_id long, shares array<double>")
 
 
-def ancestry_shares(p: DataFrame, groups: int = 3) -> DataFrame:
-    """(vec_id, grp, shares) of people over the centres of their panel's groups. A centre without the person is a hair's breadth
-    from the group's for panels of any size, and floors are taken over other groups' people, who do not move it."""
-    rows = centres(long_axes(p)).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("axis", (F.col("s") / F.col("n")).alias("m")))).alias("c")).orderBy("grp").collect()  # groups x axes
-    mixed = simplex_mix([[x["m"] for x in r["c"]] for r in rows], p)
-    return p.select("vec_id", "grp").join(mixed, "vec_id")
+def left_out_mix(x, own, sums, counts):
+    """Shares of each row of x over the groups' centres, where the centre of the row's own group (`own`, its place in the list) is
+    taken without the row. sums and counts are the groups'. On each support the weights follow from products of centres,
+    solved for all rows at once; a group with nobody else has no centre and gets no share."""
+    from itertools import combinations
+
+    import numpy as np
+
+    n, k = len(x), len(sums)
+    rows = np.arange(n)
+    c = np.repeat((sums / counts[:, None])[None], n, axis=0)
+    left = counts[own] - 1
+    c[rows, own] = (sums[own] - x) / np.maximum(left, 1)[:, None]
+    there = np.ones((n, k), dtype=bool)
+    there[rows, own] = left > 0
+    gram, b, xx = np.einsum("nid,njd->nij", c, c), np.einsum("nid,nd->ni", c, x), (x * x).sum(axis=1)
+    best, shares = np.full(n, np.inf), np.full((n, k), np.nan)
+    for r in range(1, k + 1):
+        for s in combinations(range(k), r):
+            m = np.ones((n, r + 1, r + 1))
+            m[:, :r, :r] = 2 * gram[:, s][:, :, s]
+            m[:, r, r] = 0
+            right = np.column_stack([2 * b[:, s], np.ones(n)])[:, :, None]
+            try:
+                w = np.linalg.solve(m, right)[:, :r, 0]
+            except np.linalg.LinAlgError:  # some row's centres lie on one line, or are one
+                w = (np.linalg.pinv(m) @ right)[:, :r, 0]
+            gap = np.einsum("ni,nij,nj->n", w, gram[:, s][:, :, s], w) - 2 * (w * b[:, s]).sum(axis=1) + xx
+            better = there[:, s].all(axis=1) & (w >= -1e-9).all(axis=1) & (np.abs(w.sum(axis=1) - 1) < 1e-6) & (gap < best - 1e-12)
+            best[better] = gap[better]
+            shares[better] = 0
+            shares[np.ix_(better, s)] = np.maximum(w[better], 0)
+    return shares / shares.sum(axis=1, keepdims=True)
+
+
+def ancestry_shares(p: DataFrame) -> DataFrame:
+    """(vec_id, grp, shares) of people over the centres of their panel's groups in order, each person left out of the own group's
+    centre. The centres, groups x axes numbers, go to the tasks with the code; people are solved in batches."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    rows = centres(long_axes(p)).groupBy("grp").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("axis", "s"))).alias("c")).orderBy("grp").collect()
+    names = np.array([r["grp"] for r in rows])
+    sums, counts = np.array([[x["s"] for x in r["c"]] for r in rows], dtype=float), np.array([r["n"] for r in rows], dtype=float)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack(b["pc"].to_numpy()).astype(float)
+                yield pd.DataFrame({"vec_id": b["vec_id"], "grp": b["grp"], "shares": list(left_out_mix(x, np.searchsorted(names, b["grp"].to_numpy()), sums, counts))})
+
+    return p.select("vec_id", "grp", "pc").mapInPandas(run, "vec_id long, grp long, shares array<double>")
 
 
-def noise_floors(shares: DataFrame, groups: int = 3, quantile: float = 0.95) -> DataFrame:
-    """(grp, floor, own): the share of a group that its non-members reach by chance, and what its members have on average."""
+def noise_floors(shares: DataFrame, groups: int = 3, quantile: float = 0.95, admixed: Column | None = None) -> DataFrame:
+    """(grp, floor, own): the share of a group that its non-members reach by chance, and what its members have on average; people of
+    admixed populations count for neither."""
+    pure = shares.filter(~admixed) if admixed is not None else shares
     out = None
     for g in range(groups):
         s = F.get("shares", F.lit(g))
-        one = shares.agg(F.percentile(F.when(F.col("grp") != g, s), F.lit(quantile)).alias("floor"), F.avg(F.when(F.col("grp") == g, s)).alias("own")).select(F.lit(g).cast("long").alias("grp"), "floor", "own")
+        one = pure.agg(F.percentile(F.when(F.col("grp") != g, s), F.lit(quantile)).alias("floor"), F.avg(F.when(F.col("grp") == g, s)).alias("own")).select(F.lit(g).cast("long").alias("grp"), "floor", "own")
         out = one if out is None else out.unionByName(one)
     return out
 

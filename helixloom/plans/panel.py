@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import adjust as A
 from ..operators import panel as P
 from .registry import query
 
@@ -69,16 +70,25 @@ def _(t):
     return P.nearest_centre(P.long_axes(P.people(t.embeddings))).groupBy("own", "called").agg(F.count("*").alias("n"))
 
 
-@query("ancestry_shares", None)
+#: People against three centres, their own group's without them; every support in closed form, the nearest valid point wins.
+SHARES = f"""WITH {LONG}, c AS (SELECT grp, axis, count(*) AS n, sum(x) AS s FROM l GROUP BY 1, 2), k AS (SELECT l.vec_id, l.grp AS own, c.grp AS j, l.axis, l.x, CASE WHEN l.grp = c.grp THEN (c.s - l.x) / (c.n - 1) ELSE c.s / c.n END AS m FROM l JOIN c USING (axis)),
+ w AS (SELECT vec_id, own, axis, x, max(m) FILTER (j = 0) AS m0, max(m) FILTER (j = 1) AS m1, max(m) FILTER (j = 2) AS m2 FROM k GROUP BY 1, 2, 3, 4),
+ g AS (SELECT vec_id, own, sum(m0 * m0) AS g00, sum(m0 * m1) AS g01, sum(m0 * m2) AS g02, sum(m1 * m1) AS g11, sum(m1 * m2) AS g12, sum(m2 * m2) AS g22, sum(m0 * x) AS b0, sum(m1 * x) AS b1, sum(m2 * x) AS b2, sum(x * x) AS xx FROM w GROUP BY 1, 2),
+ t AS (SELECT *, ((g00 - g01) - (b0 - b1)) / (g00 - 2 * g01 + g11) AS t01, ((g00 - g02) - (b0 - b2)) / (g00 - 2 * g02 + g22) AS t02, ((g11 - g12) - (b1 - b2)) / (g11 - 2 * g12 + g22) AS t12,
+  g11 - 2 * g01 + g00 AS p, g22 - 2 * g02 + g00 AS q, g12 - g01 - g02 + g00 AS o, (b1 - b0) - (g01 - g00) AS r1, (b2 - b0) - (g02 - g00) AS r2 FROM g), u AS (SELECT *, (r1 * q - r2 * o) / (p * q - o * o) AS u, (r2 * p - r1 * o) / (p * q - o * o) AS v FROM t),
+ s AS (SELECT *, unnest([{{'i': 1, 'a': 1.0::DOUBLE, 'b': 0.0::DOUBLE, 'c': 0.0::DOUBLE}}, {{'i': 2, 'a': 0, 'b': 1, 'c': 0}}, {{'i': 3, 'a': 0, 'b': 0, 'c': 1}}, {{'i': 4, 'a': 1 - t01, 'b': t01, 'c': 0}}, {{'i': 5, 'a': 1 - t02, 'b': 0, 'c': t02}}, {{'i': 6, 'a': 0, 'b': 1 - t12, 'c': t12}}, {{'i': 7, 'a': 1 - u - v, 'b': u, 'c': v}}]) AS z FROM u),
+ e AS (SELECT vec_id, own, z, z.a * z.a * g00 + z.b * z.b * g11 + z.c * z.c * g22 + 2 * (z.a * z.b * g01 + z.a * z.c * g02 + z.b * z.c * g12) - 2 * (z.a * b0 + z.b * b1 + z.c * b2) + xx AS gap FROM s WHERE least(z.a, z.b, z.c) >= -1e-9),
+ f AS (SELECT vec_id, own AS grp, z FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY gap, z.i) AS r FROM e) WHERE r = 1), sh AS (SELECT vec_id, grp, [greatest(z.a, 0), greatest(z.b, 0), greatest(z.c, 0)] AS shares FROM f)"""
+
+
+@query("ancestry_shares", f"{SHARES} SELECT vec_id, grp, shares FROM sh")
 def _(t):
-    s = P.ancestry_shares(P.people(t.embeddings))
-    return s.select("vec_id", "grp", F.transform("shares", lambda x: F.round(x, 9)).alias("shares"))
+    return P.ancestry_shares(P.people(t.embeddings))
 
 
-@query("noise_floors", None)
+@query("noise_floors", " UNION ALL ".join(f"({SHARES} SELECT {g}::BIGINT AS grp, quantile_cont(shares[{g + 1}], 0.95) FILTER (grp <> {g}) AS floor, avg(shares[{g + 1}]) FILTER (grp = {g}) AS own FROM sh)" for g in range(3)))
 def _(t):
-    f = P.noise_floors(P.ancestry_shares(P.people(t.embeddings)))
-    return f.select("grp", F.round("floor", 9).alias("floor"), F.round("own", 9).alias("own"))
+    return P.noise_floors(P.ancestry_shares(P.people(t.embeddings)))
 
 
 @query("share_grades", "SELECT case_id, ['Limited', 'Moderate', 'Strong'][e + 1] AS evidence, ['Not callable', 'Limited', 'Moderate', 'Strong'][least(e + 1, level) + 1] AS overall FROM (SELECT case_id, level, CASE WHEN ratio_all / 2 <= gc THEN 0 WHEN ratio_all / 2 >= 0.5 THEN 2 ELSE 1 END AS e FROM fx_cases WHERE gc IS NOT NULL)")
@@ -99,3 +109,30 @@ def _(t):
 def _(t):
     s = P.people(t.embeddings).select("vec_id", "grp", F.get("pc", F.lit(1)).alias("score"))
     return P.score_in_group(s, s)
+
+
+ADJUST = "WITH " + LONG + """, y AS (SELECT vec_id, pc[1] AS x, unnest(['A', 'B']) AS score_id, unnest([pc[2] + pc[1] * (1 + pc[3]), pc[3] - 2 * pc[1]]) AS score, vec_id % 5 <> 0 AS reference FROM p),
+ f AS (SELECT score_id, regr_slope(score, x) AS b, regr_intercept(score, x) AS a FROM y WHERE reference GROUP BY 1), r AS (SELECT y.*, score - (a + b * x) AS r FROM y JOIN f USING (score_id)), g AS (SELECT score_id, regr_slope(r * r, x) AS d, regr_intercept(r * r, x) AS c, sqrt(avg(r * r)) AS sd FROM r WHERE reference GROUP BY 1)
+ SELECT vec_id, score_id, r / sd AS z_norm1, CASE WHEN c + d * x > 0 THEN r / sqrt(c + d * x) END AS z_norm2 FROM r JOIN g USING (score_id)"""
+
+
+def _scored(t):
+    x = lambda i: F.get("pc", F.lit(i))
+    both = F.array(F.struct(F.lit("A").alias("score_id"), (x(1) + x(0) * (1 + x(2))).alias("score")), F.struct(F.lit("B").alias("score_id"), (x(2) - 2 * x(0)).alias("score")))
+    return P.people(t.embeddings).select("vec_id", "pc", (F.col("vec_id") % 5 != 0).alias("reference"), F.inline(both))
+
+
+@query("scores_adjusted", ADJUST)
+def _(t):
+    return A.adjusted(_scored(t), 1).select("vec_id", "score_id", "z_norm1", "z_norm2")
+
+
+@query("scores_adjusted_by_four")
+def _(t):
+    return A.adjusted(_scored(t)).select("vec_id", "score_id", "z_norm1", "z_norm2")
+
+
+@query("population_similarity")
+def _(t):
+    people = P.people(t.embeddings).select("vec_id", F.col("grp").alias("population"), "pc", (F.col("vec_id") % 5 != 0).alias("reference"))
+    return A.population_similarity(people).select("vec_id", "population", "reference", "called", "probability")
