@@ -47,7 +47,7 @@ _BRANCH = {
 }
 
 
-@query("highlights", "WITH b AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, '{tab}' AS ref_table, * FROM ({sql})" for k, (tab, sql) in _BRANCH.items()) + """), h AS (SELECT *, md5(ref_table || ':' || ref_key) AS highlight_id, list_position(['monogenic', 'carrier', 'risk', 'pgs', 'repeat'], kind) AS ko, coalesce(list_position(['Strong', 'Moderate', 'Limited'], overall), 4) AS g FROM b)
+@query("highlights", "WITH b AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, '{tab}' AS ref_table, * FROM ({sql})" for k, (tab, sql) in _BRANCH.items()) + """), h AS (SELECT *, md5(ref_table || ':' || ref_key) AS highlight_id, list_position(['monogenic', 'repeat', 'carrier', 'risk', 'pgs'], kind) AS ko, coalesce(list_position(['Strong', 'Moderate', 'Limited'], overall), 4) AS g FROM b)
  SELECT kind, ref_table, ref_key, title, overall, person, highlight_id, row_number() OVER (PARTITION BY person ORDER BY g, ko, title, highlight_id)::INT AS rank FROM h""")
 def _(t):
     return N.highlights(*[read(t, sql).withColumns({"kind": F.lit(k), "ref_table": F.lit(tab)}) for k, (tab, sql) in _BRANCH.items()])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import knowledge as S
+from ..sources import xml as X
 from .ingest import _line
 from .matching import read
 from .registry import query
@@ -99,3 +100,24 @@ def _(t):
 def _(t):
     a = F.concat(F.lit("HLA-"), F.chr((65 + c("c_custkey") % 5).cast("int")), F.lit("*0"), (c("c_custkey") % 9).cast("string"))
     return S.catalogue_genes(t.customer.select(a.alias("allele")))
+
+
+#: A disease's parts as XML, made of a part's columns; every third names no prevalence.
+DISORDER = """SELECT '<Disorder><OrphaCode>' || CAST(p_partkey AS STRING) || '</OrphaCode><Name lang="en">Disease ' || CAST(p_partkey AS STRING) || '</Name><PrevalenceList>' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE
+  '<Prevalence><PrevalenceType><Name>' || CASE WHEN p_size % 2 = 0 THEN 'Point prevalence' ELSE 'Annual incidence' END || '</Name></PrevalenceType><PrevalenceClass><Name>' || CASE WHEN p_size % 5 = 0 THEN 'Unknown' ELSE '1-' || CAST(p_size AS STRING) || ' / 100 000' END || '</Name></PrevalenceClass><PrevalenceGeographic><Name>' || CASE WHEN p_size % 3 = 0 THEN 'Worldwide' ELSE 'Europe' END || '</Name></PrevalenceGeographic></Prevalence>' ||
+  '<Prevalence><PrevalenceType><Name>Point prevalence</Name></PrevalenceType><PrevalenceClass><Name>Not yet documented</Name></PrevalenceClass><PrevalenceGeographic><Name>Worldwide</Name></PrevalenceGeographic></Prevalence>' END || '</PrevalenceList></Disorder>' AS value FROM part"""
+
+
+@query("rare_disease_prevalence", """SELECT 'ORPHA:' || p_partkey AS disease_id, 'Disease ' || p_partkey AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_size % 5 = 0 AND NOT (p_size % 2 = 0 AND p_size % 3 = 0) THEN 'Not yet documented (point prevalence, Worldwide)'
+  ELSE CASE WHEN p_size % 5 = 0 THEN 'Unknown' ELSE '1-' || p_size || ' / 100 000' END || ' (' || CASE WHEN p_size % 2 = 0 THEN 'point prevalence' ELSE 'annual incidence' END || ', ' || CASE WHEN p_size % 3 = 0 THEN 'Worldwide' ELSE 'Europe' END || ')' END AS prevalence FROM part""")
+def _(t):
+    return X.prevalences(X.parsed(read(t, DISORDER), "value", X.PREVALENCE))
+
+
+SUMMARY = """SELECT '<gene-summary><gene-symbol>G' || CAST(p_partkey AS STRING) || '</gene-symbol><name>' || p_name || '</name><ghr-page>https://x.org/' || CAST(p_partkey AS STRING) || '</ghr-page><db-key-list><db-key><db>' || CASE WHEN p_partkey % 2 = 0 THEN 'NCBI Gene' ELSE 'OMIM' END || '</db><key>' || CAST(p_size AS STRING) || '</key></db-key></db-key-list>' ||
+  '<text-list><text><text-role>' || CASE WHEN p_partkey % 4 = 0 THEN 'location' ELSE 'function' END || '</text-role><html>' || CASE WHEN p_partkey % 3 = 0 THEN '  ' || p_type || '  <b>more</b>' ELSE '<p>' || p_type || '</p><ul><li>  of   size <i>' || CAST(p_size AS STRING) || '</i></li></ul>' END || '</html></text></text-list></gene-summary>' AS value FROM part"""
+
+
+@query("gene_summaries_xml", """SELECT 'G' || p_partkey AS gene, p_name AS name, 'https://x.org/' || p_partkey AS url, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN p_type || ' more' ELSE p_type || chr(10) || 'of size ' || p_size END AS function, CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR END AS ncbi_id FROM part""")
+def _(t):
+    return X.gene_texts(X.parsed(read(t, SUMMARY), "value", X.GENE_SUMMARY)).select("gene", "name", "url", "function", "ncbi_id")
