@@ -14,7 +14,7 @@ PENETRANCE = {"3": (40, 100), "2": (5, 39), "1": (1, 4), "0": (0, 1)}
 PENETRANCE_EVIDENCE = {"A": "substantial evidence", "B": "moderate evidence", "C": "minimal evidence", "D": "poor evidence", "N": "evidence assessed as not applicable"}
 #: Consequences that break a gene; thresholds of predictors and of gene constraint.
 LOF = ("stop_gained", "frameshift", "splice_acceptor", "splice_donor", "start_lost")
-REVEL_SUPPORTING, REVEL_STRONG, AM_LIKELY, AM_STRONG, LOEUF_CONSTRAINED = 0.644, 0.932, 0.564, 0.9, 0.6
+REVEL_SUPPORTING, REVEL_MODERATE, REVEL_STRONG, AM_LIKELY, AM_STRONG, LOEUF_CONSTRAINED = 0.644, 0.773, 0.932, 0.564, 0.9, 0.6
 #: Words of phenotypes and their class, first match wins.
 PHENOTYPES = ("poor", "intermediate", "ultrarapid", "rapid", "normal", "decreased", "increased", "positive", "negative", "possible", "deficien", "indeterminate", "risk")
 #: Condition names that say nothing.

@@ -14,6 +14,8 @@ OVERALL = ("Not callable", "Limited", "Moderate", "Strong")
 STARS_LEVEL = {4: 2, 3: 2, 2: 1, 1: 0, 0: 0}
 BA1_AF, BS1_AF, RARE_AF = 0.05, 0.01, 0.001
 VALIDITY_RANK = {"Definitive": 5, "Strong": 4, "Moderate": 3, "Limited": 2, "Disputed": 1, "Refuted": 0, "No Known Disease Relationship": 0}
+#: Modes of inheritance by kind.
+RECESSIVE, DOMINANT, X_LINKED = ("AR",), ("AD", "SD", "XLD"), ("XL", "XLR", "XLD")
 #: First matching prefix or word decides the class of a significance text.
 SIG_PREFIXES = [("conflicting", "conflicting"), ("pathogenic", "pathogenic"), ("likely_pathogenic", "likely_pathogenic"), ("uncertain", "uncertain"), ("vus", "uncertain"), ("benign", "benign"), ("likely_benign", "likely_benign")]
 SIG_WORDS = {"drug_response": "drug_response", "risk_factor": "risk_factor", "likely_risk_allele": "risk_factor", "established_risk_allele": "risk_factor", "protective": "protective", "association": "association", "affects": "association", "confers_sensitivity": "association"}
@@ -77,9 +79,7 @@ def clinvar_level(stars: Column, cls: Column, popmax: Column, af_1kg: Column, fl
     af = highest_af(popmax, af_1kg, flagged)
     down = lambda x: F.greatest(x - 1, F.lit(0))
     by_af = F.when(af >= BA1_AF, 0).when(af >= BS1_AF, down(capped)).otherwise(capped)
-    rank = F.lit(None).cast("int")
-    for name, n in VALIDITY_RANK.items():
-        rank = F.when(validity == name, n).otherwise(rank)
+    rank = validity_rank(validity)
     by_gene = F.when(rank <= 1, 0).when(rank == 2, down(by_af)).otherwise(by_af)
     return F.when(cls.isin("pathogenic", "likely_pathogenic"), by_gene).otherwise(capped).cast("int")
 
@@ -99,15 +99,51 @@ def evidence_reasons(stars: Column, cls: Column, popmax: Column, af_1kg: Column,
     return F.array_compact(F.array(*codes))
 
 
-def call_level(filter_: Column, gq: Column, dp: Column, vaf: Column, zyg: Column, provider: Column) -> Column:
+def further_reasons(cls: Column, popmax: Column, af_1kg: Column, flagged: Column, validity: Column, low_penetrance: Column) -> Column:
+    """Codes of what else bears on an assertion of disease: rarity, the standing of the gene's link, low penetrance."""
+    disease = cls.isin("pathogenic", "likely_pathogenic")
+    af, odd = highest_af(popmax, af_1kg, flagged), F.coalesce(flagged, F.lit(False))
+    uncommon = F.coalesce(af < BS1_AF, F.lit(True)) & ~odd
+    rank = validity_rank(validity)
+    gene = F.when(rank <= 1, "gene_disputed").when(rank == 2, "gene_limited").when(rank.isNotNull(), "gene_supported")
+    codes = [
+        F.when(disease & uncommon, F.when(popmax.isNotNull(), "rare").when(af_1kg.isNull(), "not_seen")),
+        F.when(disease, gene),
+        F.when(disease & F.coalesce(low_penetrance, F.lit(False)), "low_penetrance"),
+    ]
+    return F.array_compact(F.array(*codes))
+
+
+def validity_rank(validity: Column) -> Column:
+    rank = F.lit(None).cast("int")
+    for name, n in VALIDITY_RANK.items():
+        rank = F.when(validity == name, n).otherwise(rank)
+    return rank
+
+
+def call_level(filter_: Column, gq: Column, dp: Column, vaf: Column, zyg: Column, provider: Column, truth: Column | None = None) -> Column:
+    """How sure the genotype is; with `truth` (whether the calls are a benchmark's own) every call that passed is."""
     gq, dp = F.coalesce(gq, F.lit(0)), F.coalesce(dp, F.lit(0))
     base = F.when((gq >= 30) & (dp >= 15), 3).when((gq >= 20) & (dp >= 10), 2).otherwise(1)
-    odd = ((zyg == "het") & ~vaf.between(0.2, 0.8)) | ((zyg == "hom") & (vaf < 0.8))
-    level = F.when(F.coalesce(odd, F.lit(False)), F.greatest(base - 1, F.lit(1))).otherwise(base)
+    level = F.when(F.coalesce(unbalanced(vaf, zyg), F.lit(False)), F.greatest(base - 1, F.lit(1))).otherwise(base)
     level = F.when(F.coalesce(provider == "disagree", F.lit(False)), 1).otherwise(level)
+    level = F.when(truth, 3).otherwise(level) if truth is not None else level
     return F.when(filter_.isNotNull() & ~filter_.isin("PASS", "."), 1).otherwise(level).cast("int")
 
 
+def unbalanced(vaf: Column, zyg: Column) -> Column:
+    return ((zyg == "het") & ~vaf.between(0.2, 0.8)) | ((zyg == "hom") & (vaf < 0.8))
+
+
+def call_reasons(filter_: Column, gq: Column, dp: Column, vaf: Column, zyg: Column, provider: Column, truth: Column | None = None) -> Column:
+    """Codes of the reasons behind call_level, in order; a call that did not pass, or a benchmark's own, has one."""
+    gq, dp = F.coalesce(gq, F.lit(0)), F.coalesce(dp, F.lit(0))
+    reads = F.when((gq >= 30) & (dp >= 15), "strong_reads").when((gq >= 20) & (dp >= 10), "moderate_reads").otherwise("thin_reads")
+    told = F.array_compact(F.array(reads, F.when(F.coalesce(unbalanced(vaf, zyg), F.lit(False)), "unbalanced_reads"), F.when(provider == "agree", "provider_agrees"), F.when(provider == "disagree", "provider_disagrees")))
+    told = F.when(truth, F.array(F.lit("benchmark"))).otherwise(told) if truth is not None else told
+    return F.when(filter_.isNotNull() & ~filter_.isin("PASS", "."), F.array(F.lit("not_passed"))).otherwise(told)
+
+
 def overall(evidence: Column, call: Column) -> Column:
     """The weaker of both, on the scale of OVERALL."""
     return F.least(evidence + 1, call).cast("int")
@@ -123,20 +159,27 @@ def impact(rank: Column) -> Column:
 
 
 def role(modes: Column, zyg: Column, chrom: Column) -> Column:
-    """affected, carrier, possible or unknown, from inheritance modes (AD, AR, XL...) once DG, MF and SP are left out."""
-    known = F.array_except(modes, F.array(F.lit("DG"), F.lit("MF"), F.lit("SP")))
-    dominant, recessive = F.array_contains(known, "AD"), F.array_contains(known, "AR")
-    both = zyg.isin("hom", "hemi")
+    """What carrying a genotype means: affected, carrier, possible or unknown, from the modes of inheritance once DG, MF and SP are
+    left out. Two copies affect where the gene is recessive or X-linked, one on a single X where it is X-linked; one copy of a
+    purely recessive gene, or of a recessive one on two X, makes a carrier; else one dominant mode leaves it possible."""
+    core = F.array_except(modes, _words("DG", "MF", "SP"))
+    any_ = lambda sets: F.arrays_overlap(core, _words(*sets))
+    only = lambda sets: F.size(F.array_except(core, _words(*sets))) == 0
+    on_x = F.coalesce(chrom == "X", F.lit(False))
+    het, hom, hemi = (F.coalesce(zyg == z, F.lit(False)) for z in ("het", "hom", "hemi"))
     return (
-        F.when(F.size(known) == 0, "unknown")
-        .when(dominant & recessive, F.when(both, "affected").otherwise("possible"))
-        .when(dominant, "affected")
-        .when(recessive, F.when(both, "affected").otherwise("carrier"))
-        .when(F.exists(known, lambda x: x.startswith("XL")), F.when(both, "affected").otherwise("carrier"))
+        F.when(F.coalesce(F.size(core), F.lit(0)) < 1, "unknown")
+        .when((hom & any_((*RECESSIVE, *X_LINKED))) | (hemi & on_x & any_(X_LINKED)), "affected")
+        .when(het & (only(RECESSIVE) | (on_x & only(("XLR", "XL")))), "carrier")
+        .when(any_(DOMINANT), "possible")
         .otherwise("unknown")
     )
 
 
+def _words(*names: str) -> Column:
+    return F.array(*[F.lit(n) for n in names])
+
+
 def gwas_level(publications: Column, log10p: Column, direction_known: Column) -> Column:
     base = F.when(publications >= 3, 2).when(publications >= 2, 1).otherwise(0)
     return F.when((log10p < 7.3) | ~direction_known, 0).otherwise(base).cast("int")

@@ -41,13 +41,13 @@ def _(t):
     return t.fx_cases.select("case_id", C.inheritance_code(c("mode_text")).alias("code"), C.inheritance_cues(c("conditions")).alias("cues"))
 
 
-@query("role_of_findings", """WITH m AS (SELECT case_id, zyg, CASE WHEN mode_text ILIKE '%dominant%' AND mode_text NOT ILIKE 'x-%' THEN 'AD' WHEN mode_text ILIKE '%recessive%' AND mode_text NOT ILIKE 'x-%' OR mode_text = 'AR' THEN 'AR' WHEN mode_text ILIKE 'x-linked%' THEN 'XL' END AS mode FROM fx_cases)
- SELECT case_id, CASE WHEN mode IS NULL THEN 'unknown' WHEN mode = 'AD' THEN CASE WHEN case_id % 2 = 0 THEN CASE zyg WHEN 'hom' THEN 'affected' ELSE 'possible' END ELSE 'affected' END WHEN zyg = 'hom' THEN 'affected' ELSE 'carrier' END AS role FROM m""")
+@query("role_of_findings", """WITH m AS (SELECT case_id, zyg, CASE WHEN mode_text ILIKE '%dominant%' AND mode_text NOT ILIKE 'x-%' THEN 'AD' WHEN mode_text ILIKE '%recessive%' AND mode_text NOT ILIKE 'x-%' OR mode_text = 'AR' THEN 'AR' WHEN mode_text ILIKE 'x-%dominant%' THEN 'XLD' WHEN mode_text ILIKE 'x-linked%' THEN 'XL' END AS mode FROM fx_cases)
+ SELECT case_id, CASE WHEN mode IS NULL THEN 'unknown' WHEN zyg = 'hom' AND (mode IN ('AR', 'XL', 'XLD') OR (mode = 'AD' AND case_id % 2 = 0)) THEN 'affected' WHEN zyg = 'het' AND mode = 'AR' THEN 'carrier' WHEN mode IN ('AD', 'XLD') THEN 'possible' WHEN zyg = 'het' AND mode = 'XL' AND case_id % 3 = 0 THEN 'carrier' ELSE 'unknown' END AS role FROM m""")
 def _(t):
     code = C.inheritance_code(c("mode_text"))
     plain = F.when(code == "SD", "AD").otherwise(code)
     modes = F.array_compact(F.array(F.when(plain.isin("AD", "AR", "XL", "XLR", "XLD", "DG", "MF", "SP"), plain), F.when((plain == "AD") & c("yes_2"), "AR"), F.lit("MF")))
-    return t.fx_cases.select("case_id", E.role(modes, c("zyg"), F.lit("1")).alias("role"))
+    return t.fx_cases.select("case_id", E.role(modes, c("zyg"), F.when(c("case_id") % 3 == 0, "X").otherwise("1")).alias("role"))
 
 
 @query("penetrance_bands", """SELECT case_id, CASE pen_code WHEN '3A' THEN 40 WHEN '2 B' THEN 5 WHEN ' 2D' THEN 5 WHEN '1N' THEN 1 WHEN '0' THEN 0 END AS low, CASE pen_code WHEN '3A' THEN 100 WHEN '2 B' THEN 39 WHEN ' 2D' THEN 39 WHEN '1N' THEN 4 WHEN '0' THEN 1 END AS high,
