@@ -67,14 +67,24 @@ def best_evaluation(evals: DataFrame) -> DataFrame:
     return evals.groupBy("pgs_id").agg(F.max_by("eval_id", order).alias("eval_id"))
 
 
+#: Words of an evaluation's notes that tell what a ratio compares: people a standard deviation apart, or groups of people.
+GROUPED = ("decile", "quintile", "quartile", "tertile", "percentile")
+
+
 def effect_text(evals: DataFrame) -> DataFrame:
-    """(eval_id, text): the effect sizes of an evaluation; ratios tell what they compare, as far as its notes do."""
-    notes = F.coalesce("notes", F.lit(""))
-    unit = F.when(notes.rlike("(?i)per (1[- ]?)?(SD|standard deviation)"), "per standard deviation of the score").when(notes.rlike("(?i)decile|quintile|quartile|tertile|top [0-9]+ ?%|percentile"), "between score groups (see the paper)").otherwise("comparison not stated in the PGS Catalog; see the paper")
-    ratio = lambda k, name: F.when(F.coalesce(F.col(k), F.lit(0.0)) != 0, F.concat(F.lit(name + " "), F.col(k).cast("string"), F.lit(" ("), unit, F.lit(")")))
-    plain = F.when(F.coalesce(F.col("auroc"), F.lit(0.0)) != 0, F.concat(F.lit("AUROC "), F.col("auroc").cast("string")))
-    parts = F.array_compact(F.array(ratio("odds_ratio", "OR"), ratio("hazard_ratio", "HR"), plain))
-    return evals.select("eval_id", F.when(F.size(parts) > 0, F.array_join(parts, "; ")).alias("text"))
+    """(eval_id, text): the sizes of an effect, ratios with what they compare, as far as the notes tell."""
+    notes = F.lower(F.coalesce("notes", F.lit("")))
+    words = F.split(notes, "[^a-z0-9%]+")
+    spread = F.array_contains(words, "per") & (F.array_contains(words, "sd") | F.array_contains(words, "1sd") | F.contains(notes, F.lit("standard deviation")))
+    groups = F.exists(words, lambda w: F.rtrim(w, F.lit("s")).isin(*GROUPED)) | F.exists(F.split(notes, "top "), lambda x: x.rlike("^[0-9]+ ?%"))
+    compares = F.when(spread, "for one standard deviation").when(groups, "between groups of people").otherwise("of what is not told")
+
+    def size(column: str, name: str, of: Column | None = None) -> Column:
+        text = F.concat(F.lit(name + " "), F.col(column).cast("string"), *([F.lit(" "), of] if of is not None else []))
+        return F.when(F.coalesce(F.col(column), F.lit(0.0)) != 0, text)
+
+    parts = F.array_compact(F.array(size("odds_ratio", "odds ratio", compares), size("hazard_ratio", "hazard ratio", compares), size("auroc", "area under the curve")))
+    return evals.select("eval_id", F.nullif(F.array_join(parts, ", "), F.lit("")).alias("text"))
 
 
 def version_delta(old: DataFrame, new: DataFrame) -> DataFrame:

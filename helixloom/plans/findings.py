@@ -71,7 +71,7 @@ def _(t):
 
 
 EVALS = "SELECT case_id AS eval_id, 'PGS' || CAST(case_id % 50 AS STRING) AS pgs_id, CASE flagged WHEN 'true' THEN true WHEN 'false' THEN false END AS independent, CASE WHEN case_id % 4 = 0 THEN NULL ELSE size END AS odds_ratio, CASE WHEN case_id % 3 = 0 THEN 1.25 END AS hazard_ratio, CASE WHEN case_id % 5 < 2 THEN 0.75 END AS auroc, CASE WHEN case_id % 6 = 0 THEN NULL ELSE count_1 * 100 END AS n, CASE case_id % 4 WHEN 0 THEN 'per 1 SD' WHEN 1 THEN 'top 10% vs rest' WHEN 2 THEN 'Per standard deviation' END AS notes FROM fx_cases"
-_UNIT = "CASE case_id % 4 WHEN 1 THEN 'between score groups (see the paper)' WHEN 3 THEN 'comparison not stated in the PGS Catalog; see the paper' ELSE 'per standard deviation of the score' END"
+_UNIT = "CASE case_id % 4 WHEN 1 THEN 'between groups of people' WHEN 3 THEN 'of what is not told' ELSE 'for one standard deviation' END"
 
 
 @query("best_evaluations", f"WITH e AS ({EVALS}) SELECT pgs_id, eval_id FROM (SELECT *, row_number() OVER (PARTITION BY pgs_id ORDER BY coalesce(independent, false) DESC, (coalesce(odds_ratio, 0) <> 0 OR coalesce(hazard_ratio, 0) <> 0 OR coalesce(auroc, 0) <> 0) DESC, coalesce(n, 0) DESC, eval_id DESC) AS k FROM e) WHERE k = 1")
@@ -79,7 +79,7 @@ def _(t):
     return N.best_evaluation(read(t, EVALS))
 
 
-@query("effect_texts", f"""WITH e AS ({EVALS}), p AS (SELECT eval_id, eval_id AS case_id, list_filter([CASE WHEN coalesce(odds_ratio, 0) <> 0 THEN 'OR ' || odds_ratio::VARCHAR || ' (' || {_UNIT} || ')' END, CASE WHEN hazard_ratio IS NOT NULL THEN 'HR 1.25 (' || {_UNIT} || ')' END, CASE WHEN auroc IS NOT NULL THEN 'AUROC 0.75' END], lambda x: x IS NOT NULL) AS xs FROM e) SELECT eval_id, CASE WHEN len(xs) > 0 THEN array_to_string(xs, '; ') END AS text FROM p""")
+@query("effect_texts", f"""WITH e AS ({EVALS}), p AS (SELECT eval_id, eval_id AS case_id, list_filter([CASE WHEN coalesce(odds_ratio, 0) <> 0 THEN 'odds ratio ' || odds_ratio::VARCHAR || ' ' || {_UNIT} END, CASE WHEN hazard_ratio IS NOT NULL THEN 'hazard ratio 1.25 ' || {_UNIT} END, CASE WHEN auroc IS NOT NULL THEN 'area under the curve 0.75' END], lambda x: x IS NOT NULL) AS xs FROM e) SELECT eval_id, CASE WHEN len(xs) > 0 THEN array_to_string(xs, ', ') END AS text FROM p""")
 def _(t):
     return N.effect_text(read(t, EVALS))
 
