@@ -6,12 +6,12 @@ capacity from patterns to the quotas of the sources; every further repetition of
 whole passes over all of them, and for the rest a seeded choice, exact to the word: documents in the order of a seeded
 hash, the last one in part.
 
-Scale: the network has one node for each pattern and source, never one per document. Where no document has two sources,
-the network falls into single edges, whose flow is the quota itself; sources and their quotas then stay a table of Spark,
-however many there are, and only sums come to the driver: the common share is found by a few aggregations. Where sources
-overlap, the driver solves the network, which may have MOST_PATTERNS patterns (checked). The seeded choice needs no sort
-of a source: sums by hash prefix (16**3 prefixes, twice) find the prefix in which the choice ends, and only that prefix's
-documents are ordered. Hot sources therefore stay spread over all tasks.
+Scale: the network has one node for each pattern and source, never one per document. Sources and their quotas are a table of
+Spark, however many there are; the common share is found by a few aggregations, of which only sums come to the driver. The
+network falls into components of sources that share documents, and each is solved on its own, in tasks: a source that shares
+none is a component of one pattern. Only a component, of at most MOST_PATTERNS patterns (checked), must fit in a task. The seeded choice
+needs no sort of a source: sums by hash prefix (16**3 prefixes, twice) find the prefix in which the choice ends, and only that
+prefix's documents are ordered. Hot sources therefore stay spread over all tasks.
 
 Defined results: a null text or a text without words has size 0 and takes 0; a null source is a source of its own and
 comes last; repeated rows (same id and text) are taken alike, each of them in part where the choice ends among them, so
@@ -23,12 +23,15 @@ column already named like the output is replaced.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import joined, put_back, set_aside, text_of, words_of, written
+from .components import components
 
 MOST_PATTERNS = 100_000
 MAX_REPEATS = 3
@@ -139,8 +142,7 @@ def mix(df: DataFrame, sources: Column, text: str = "text", key: str = "doc_id",
     slim = written(work.select("_m_pattern", "_m_key", "_m_size", "_m_tie"), "mix")
     first = written(slim.groupBy("_m_pattern", F.substring("_m_key", 1, 3).alias("h")).agg(F.sum("_m_size").alias("size")), "prefixes")
     patterns = written(first.groupBy("_m_pattern").agg(F.sum("size").alias("size")), "patterns")
-    apart = patterns.filter(F.size("_m_pattern") != 1).limit(1).count() == 0
-    flows = _single_flows(patterns, weights, most) if apart else _network_flows(patterns, weights, most)
+    flows = _flows(patterns, weights, most)
     # One row for each pattern: passes, words left over, and where the seeded choice of those ends.
     some = F.col("size") > 0
     plan = flows.select("_m_pattern", F.when(some, F.floor(F.col("flow") / F.col("size"))).otherwise(0).alias("_m_passes"), F.when(some, F.col("flow") % F.col("size")).otherwise(0).alias("_m_rest"), F.col("source_size").alias("_m_ssize"), F.col("target").alias("_m_target"))
@@ -162,21 +164,20 @@ def mix(df: DataFrame, sources: Column, text: str = "text", key: str = "doc_id",
     return put_back(told, named)
 
 
-def _single_flows(patterns: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """(_m_pattern, size, source_size, target, flow) where each pattern is one source: the flow is the target, rounded.
+def _shares(sources: DataFrame, total: int, weights: tuple[int, ...], most: int) -> DataFrame:
+    """Sources (source, size) with `target` and a number `sid`, as a written table.
 
     Sources at `most` times their size leave the rest of the words to the others; the set of such sources only grows, so a few
     sums over the table of sources settle the common share."""
-    source = patterns.withColumn("source", F.get("_m_pattern", F.lit(0)))
     # The place of each source in code point order: places in its range of sources, after those of the ranges before.
-    ranged = source.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
     ranged = written(ranged.withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))), "sources")
     ends = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
     before = dict(zip(sorted(ends), accumulate((ends[p] for p in sorted(ends)), initial=0)))
     first = F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n))]) if before else F.create_map(F.lit(0), F.lit(0))
-    weight = F.get(F.array(*[F.lit(w).cast("bigint") for w in weights]), ((F.element_at(first, F.col("part")) + F.col("row") - 1) % len(weights)).cast("int"))
-    told = written(ranged.select("_m_pattern", "size", weight.alias("w")), "sources")
-    total = told.agg(F.sum("size")).first()[0] or 0
+    place = (F.element_at(first, F.col("part")) + F.col("row") - 1).cast("bigint")
+    weight = F.get(F.array(*[F.lit(w).cast("bigint") for w in weights]), (place % len(weights)).cast("int"))
+    told = written(ranged.select("source", "size", place.alias("sid"), weight.alias("w")), "sources")
     rest, weight = total, told.agg(F.sum("w")).first()[0] or 1
     while True:
         share = F.lit(rest).cast("bigint") * F.col("w") / F.lit(weight).cast("bigint")
@@ -186,26 +187,58 @@ def _single_flows(patterns: DataFrame, weights: tuple[int, ...], most: int) -> D
         if not now[1] or now == (rest, weight):
             break
         rest, weight = now
-    target = F.when(full, (most * F.col("size")).cast("double")).otherwise(share)
-    return told.select("_m_pattern", "size", F.col("size").alias("source_size"), target.alias("target"), F.floor(target + 0.5).alias("flow"))
-
-
-def _network_flows(patterns: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """The same where patterns share sources, by the network; of a pattern's first source the size and target."""
-    rows = patterns.limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns of overlapping sources")
-    names = sorted({x for r in rows for x in r["_m_pattern"]}, key=lambda x: (x is None, x or ""))
-    number = {x: i for i, x in enumerate(names)}
-    members = [[number[x] for x in r["_m_pattern"]] for r in rows]
-    sizes = [0] * len(names)
-    for r, m in zip(rows, members):
-        for q in m:
-            sizes[q] += r["size"]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], sum(r["size"] for r in rows), most)
-    flow = min_cost_flow([r["size"] for r in rows], members, [int(g + 0.5) for g in goal], most)
-    told = [(r["_m_pattern"], r["size"], sizes[m[0]] if m else 0, goal[m[0]] if m else 0.0, f) for r, f, m in zip(rows, flow, members)]
-    return patterns.sparkSession.createDataFrame(told, "_m_pattern array<string>, size long, source_size long, target double, flow long")
+    return told.select("source", "size", "sid", F.when(full, (most * F.col("size")).cast("double")).otherwise(share).alias("target"))
+
+
+def _flows(patterns: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(_m_pattern, size, source_size, target, flow): the flow out of each pattern, its first source's size and target."""
+    total = patterns.agg(F.sum("size")).first()[0] or 0
+    own = lambda c: F.struct(F.col(c).isNull().alias("none"), F.coalesce(c, F.lit("")).alias("name"))
+    members = patterns.select("_m_pattern", F.col("size").alias("capacity"), F.posexplode_outer("_m_pattern").alias("i", "source"))
+    there = members.filter("i IS NOT NULL")
+    shares = _shares(there.groupBy("source").agg(F.sum("capacity").alias("size")), total, weights, most)
+    known = shares.select(own("source").alias("k"), "size", "sid", "target", F.floor(F.col("target") + 0.5).cast("bigint").alias("quota"))
+    edges = there.withColumn("k", own("source")).join(known, "k")
+    arcs = edges.groupBy("_m_pattern", "capacity").agg(F.array_sort(F.collect_list(F.struct("i", "sid", "quota", "size", "target"))).alias("a"))  # sources of a document
+    arcs = written(arcs.select("_m_pattern", "capacity", F.transform("a", lambda x: x["sid"]).alias("sids"), F.transform("a", lambda x: x["quota"]).alias("quotas"), F.get("a", F.lit(0))["size"].alias("source_size"), F.get("a", F.lit(0))["target"].alias("target")), "arcs")
+    first = F.get("sids", F.lit(0))
+    shared = arcs.filter(F.size("sids") > 1)
+    if shared.limit(1).count():
+        ties = shared.select(first.alias("a"), F.explode("sids").alias("b")).filter("a <> b")
+        comp = components(ties).select(F.col("node").alias("sid"), "comp")
+        arcs = arcs.withColumn("sid", first).join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).drop("sid")
+        arcs = arcs.repartition("comp").sortWithinPartitions("comp", "sids")
+    else:
+        arcs = arcs.withColumn("comp", first)
+    fields = "_m_pattern array<string>, size long, source_size long, target double, flow long"
+    solved = arcs.select("comp", "_m_pattern", "capacity", "sids", "quotas", "source_size", "target").mapInPandas(lambda batches: _solved(batches, most), fields)
+    nowhere = members.filter("i IS NULL").select("_m_pattern", F.col("capacity").alias("size"), F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("flow"))
+    return written(solved.unionByName(nowhere), "flows")
+
+
+def _solved(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Components, whose patterns follow one another, to flows."""
+
+    names = ["_m_pattern", "size", "source_size", "target", "flow"]
+
+    def one(rows: list) -> list[tuple]:
+        if len(rows) > MOST_PATTERNS:
+            raise ValueError(f"more than {MOST_PATTERNS} patterns of sources that share documents")
+        quota = {q: n for r in rows for q, n in zip(r.sids, r.quotas)}
+        number = {q: i for i, q in enumerate(sorted(quota))}
+        flow = min_cost_flow([int(r.capacity) for r in rows], [[number[q] for q in r.sids] for r in rows], [int(quota[q]) for q in sorted(quota)], most)
+        return [(r.pattern, r.capacity, r.source_size, r.target, f) for r, f in zip(rows, flow)]
+
+    held: list = []
+    for b in batches:
+        out: list[tuple] = []
+        for r in b.rename(columns={"_m_pattern": "pattern"}).itertuples(index=False):
+            if held and r.comp != held[0].comp:
+                out += one(held)
+                held = []
+            held.append(r)
+        yield pd.DataFrame(out, columns=names)
+    yield pd.DataFrame(one(held) if held else [], columns=names)
 
 
 def _cut(slim: DataFrame, first: DataFrame, plan: DataFrame) -> DataFrame:

@@ -110,8 +110,13 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def mix_of_overlapping_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs, F.array("source", F.concat(F.lit("in "), "lang"))).select("doc_id", "mix.size", "mix.taken")
+
+
 def near_copies_by_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if name.startswith(("op", "near_")) and callable(f)}
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith(("op", "near_", "mix_")) and callable(f)}
