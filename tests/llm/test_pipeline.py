@@ -50,3 +50,24 @@ def test_copies_leave_no_short_lines(spark):
     text = "Home\n" + " ".join(f"w{i}" for i in range(50)) + "\nContact"
     docs = spark.createDataFrame([(1, text, "en", "a", 9), (2, text, "en", "a", 9)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.lines(spark, docs, SF).collect()] == [1]
+
+
+def test_remnants_of_near_copies_go(spark):
+    """Copies with some lines changed: line dedup leaves remnants of all but the first, and none of them goes on."""
+    import random
+
+    rng = random.Random(5)
+    sentence = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(12))
+    base = [sentence() for _ in range(20)]
+    rows = []
+    for k in range(12):
+        text = list(base)
+        for _ in range(k):
+            text[rng.randrange(20)] = sentence()
+        rows.append((k, "\n".join(text), "en", "a", None))
+    rows += [(100 + k, "\n".join([*(sentence() for _ in range(6)), base[0]]), "en", "b", None) for k in range(5)]  # others that share a line
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert {i for i in left if i < 100 and i < 8} == {0}
+    assert {i for i in left if i >= 100} == set(range(100, 105))
+    assert all(len(t.split()) >= 20 for t in left.values()) and left[0] == "\n".join(base)
