@@ -133,7 +133,7 @@ def with_neighbour(df: DataFrame, schema: str, each, key: str = "doc_id", text:
             yield pd.concat([b, b[heads].assign(part=(own[heads] - 1) % len(begins), last=True)])
 
     parts = slim.mapInPandas(dealt, "known boolean, id long, th long, t string, part int, last boolean")
-    stream = parts.repartition(max(ranges, len(begins)), "part").sortWithinPartitions("part", "last", *KEY)
+    stream = parts.repartitionById(max(ranges, len(begins)), F.col("part")).sortWithinPartitions("part", "last", *KEY)
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row whose next one has not come yet
