@@ -42,7 +42,7 @@ KINDS = ("assign", "access", "hex", "random")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_LENGTH = 20
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % MIN_LENGTH)
-PATH = re.compile(r"/?(?:(?:[a-z_-]+|[A-Z][a-z]+)/)+")
+PATH = re.compile(r"/?(?:(?:[a-z_-]{3,}|[A-Z][a-z]{2,})/){2,}")  # random tokens hardly ever begin with two such parts
 
 BINS, SIMULATED = 200, 1999
 ALPHABETS = (16, 32, 64)
