@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,12 @@ def graded_diff(diff: DataFrame) -> DataFrame:
 
 def digest(df: DataFrame) -> DataFrame:
     """(n_rows, digest): the same for the same rows in any order. A row is the texts of its columns in the order of their names,
-    nulls told from texts by a mark; forty bits of its md5 are summed, so that rows may repeat and sums stay exact."""
+    nulls told from texts by a mark; forty bits of its md5 are summed, so that rows may repeat. Sums stay exact for any number
+    of rows: they are taken in decimals, and told modulo 2^63, which changes none that a long holds."""
     texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.chr(F.lit(30))) for c in sorted(df.columns)]
     row = F.conv(F.substring(F.md5(F.concat_ws(chr(31), *texts)), 1, 10), 16, 10).cast("bigint")
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(row), F.lit(0)).alias("digest"))
+    total = F.coalesce(F.sum(row.cast("decimal(13,0)")), F.lit(0))
+    return df.agg(F.count("*").alias("n_rows"), (total % F.lit(Decimal(1 << 63))).cast("bigint").alias("digest"))
 
 
 def run_checks(tables: dict[str, DataFrame], rules: dict[str, tuple[tuple[str, ...], str]], spark) -> DataFrame:

@@ -61,3 +61,11 @@ def test_risk_from_curve_averages_to_the_baseline(spark):
     assert abs(mean - 0.1) < 0.005
     q = spark.range(1).select(K.inverse_normal(F.lit(0.975)).alias("a"), K.inverse_normal(F.lit(0.001)).alias("b")).first()
     assert abs(q["a"] - 1.959963985) < 1e-7 and abs(q["b"] + 3.090232306) < 1e-7
+
+
+def test_digest_of_more_rows_than_a_long_sum_holds(spark):
+    from helixloom.operators.changes import digest
+
+    half = 9_500_000
+    a, b, whole = (digest(spark.range(lo, hi)).first() for lo, hi in ((0, half), (half, 2 * half), (0, 2 * half)))
+    assert whole["n_rows"] == 2 * half and whole["digest"] == (a["digest"] + b["digest"]) % (1 << 63) and a["digest"] + b["digest"] > 1 << 63
