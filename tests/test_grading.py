@@ -131,3 +131,17 @@ def test_results_of_medicines_take_their_worst_gene(spark):
     genes = spark.createDataFrame([("A", "confirmed"), ("B", "unclear")], "gene string, status string")
     got = {r["claim_id"]: (r["status"], r["call_level"]) for r in G.after_recount(claims, sites, genes).collect()}
     assert got == {"a": ("unclear", "Medium"), "b": ("confirmed", "High"), "c": (None, "High"), "d": (None, "High")}
+
+
+def test_positions_whose_products_go_beyond_32_bits(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from helixloom import plans
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("part", "lineitem"):
+        key = "p_partkey" if name == "part" else "l_partkey"
+        df = spark.read.parquet(f"{folder}/{name}.parquet")
+        df.withColumn(key, F.col(key) + 1_170_000).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("full_findings", "full_compounds"):
+        assert len(plans.QUERIES[name](spark, str(tmp_path)).collect()) > 0
