@@ -38,13 +38,17 @@ def exon_ratios(exons: DataFrame, male: bool) -> DataFrame:
 
 def copy_events(breaks: DataFrame, runs: DataFrame, exons: DataFrame) -> DataFrame:
     """(gene, start_pos, end_pos, kind, breakpoint, depth_support, exons): breakpoint calls (gene, start_pos, end_pos, kind) with the
-    share of their exons whose depth agrees, and runs of depth that overlap no call of their kind."""
+    share of their exons whose depth agrees, and runs of depth that overlap no call of their kind. Both meet by bins of a gene, so
+    genes may have any number of exons."""
+    from .intervals import overlaps
+
     e = exons.select("gene", F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), F.col("kind").alias("depth"))
     key = ["gene", "start_pos", "end_pos", "kind"]
-    held = breaks.join(e, "gene").filter("s < end_pos AND start_pos < e").groupBy(*key).agg(F.count("*").alias("exons"), F.count(F.when(F.col("depth") == F.col("kind"), 1)).alias("agree"))
+    held = overlaps(breaks.select(*key), e, ["gene"], ("start_pos", "end_pos"), ("s", "e")).groupBy(*key).agg(F.count("*").alias("exons"), F.count(F.when(F.col("depth") == F.col("kind"), 1)).alias("agree"))
     called = breaks.join(held, key, "left").select(*key, F.lit(True).alias("breakpoint"), F.coalesce(2 * F.col("agree") >= F.col("exons"), F.lit(False)).alias("depth_support"), F.coalesce("exons", F.lit(0)).alias("exons"))
-    b = breaks.select("gene", F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), F.col("kind").alias("k"))
-    alone = runs.join(b, (runs["gene"] == b["gene"]) & (runs["kind"] == b["k"]) & (runs["start_pos"] < b["e"]) & (b["s"] < runs["end_pos"]), "left_anti")
+    b = breaks.select("gene", "kind", F.col("start_pos").alias("s"), F.col("end_pos").alias("e"))
+    met = overlaps(runs.select(*key), b, ["gene", "kind"], ("start_pos", "end_pos"), ("s", "e")).select(*key).distinct()
+    alone = runs.join(met, key, "left_anti")
     return called.unionByName(alone.select(*key, F.lit(False).alias("breakpoint"), F.lit(True).alias("depth_support"), "exons"))
 
 

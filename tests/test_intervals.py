@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixloom.operators import genotype as G
 from helixloom.operators import intervals as I
@@ -121,3 +122,17 @@ def test_genotypes_at_sites(spark):
         i = spark.createDataFrame([(chrom, pos - 1, pos, state)] if state else [], "chrom_order int, start_pos int, end_pos int, state string")
         got.append(G.genotype_sites(spark.createDataFrame([(chrom, pos, ref, alt)], "chrom_order int, pos int, ref string, alt string"), v, i).first()["gt"])
     assert got == [x[3] for x in SITES]
+
+
+def test_a_gene_of_many_exons_and_calls(spark):
+    from helixloom.operators.copies import copy_events
+
+    n = 60_000
+    at = F.col("id") * 100
+    exons = spark.range(n).select(F.lit("G").alias("gene"), at.cast("int").alias("start_pos"), (at + 80).cast("int").alias("end_pos"), F.lit("DEL").alias("kind"))
+    breaks = spark.range(n).select(F.lit("G").alias("gene"), (at - 50).cast("int").alias("start_pos"), (at + 120).cast("int").alias("end_pos"), F.lit("DEL").alias("kind"))
+    runs = spark.createDataFrame([("G", 10, 20, "DEL", 1), ("G", 10, 20, "DUP", 1), ("G", 100 * n + 500, 100 * n + 600, "DEL", 1)], "gene string, start_pos int, end_pos int, kind string, exons long")
+    events = copy_events(breaks, runs, exons)
+    assert "bin" in events._jdf.queryExecution().optimizedPlan().toString()  # no join on the gene alone
+    got = {(r["breakpoint"], r["exons"]): r["count"] for r in events.groupBy("breakpoint", "exons").count().collect()}
+    assert got == {(True, 3): n - 2, (True, 2): 2, (False, 1): 2}
