@@ -6,10 +6,10 @@ the comparison is exact.
 
 How it is spread: sites are numbered along their chromosome and dealt to blocks of `window` sites; a block also gets the
 sites of the block before it (a halo), so every pair that the rule compares meets in exactly one block, whose task finds
-the correlated pairs by matrix products. Only those pairs go on. Whether a site stays depends on decisions before the
-block's edge; blocks first decide as if nothing stayed before them, then again wherever the decisions of the block before
-have changed, until none change. That end is the result of going through the sites one by one, whatever the partitions;
-rounds are few, as a decision's influence seldom outlives a block.
+the correlated pairs by matrix products. Only those pairs go on. Decisions are taken in stretches of STRETCH blocks. Whether
+a site stays depends on the last `window` - 1 sites before the stretch's edge; stretches first decide as if nothing stayed
+before them, then again wherever what stayed there has changed, until nothing changes. That end is the result of going through
+the sites one by one, whatever the partitions; rounds are few, as a decision's influence seldom outlives a stretch.
 
 Defined results: null ids, positions or chromosomes take no part; a site without variation is correlated with none; repeated rows
 of a site and person count once (the largest dosage); an empty cohort gives no rows; other columns are not carried.
@@ -28,6 +28,8 @@ from .storage import forget, stored
 #: Sites of a window, and the largest r squared (as a fraction) of two sites that both stay.
 WINDOW, R2_NUM, R2_DEN = 1000, 1, 20
 NUMBERING_BINS = 1 << 20
+#: Blocks of a stretch that is decided in one go: only its correlated pairs are held.
+STRETCH = 64
 
 
 def outside(sites: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -72,25 +74,28 @@ def _pairs(window: int, num: int, den: int):
     return run
 
 
-def _decide(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-    """Sites of a block that stay, given those of the block before."""
-    if not len(rows):
-        return pd.DataFrame({"chrom_order": [], "block": [], "kept": []}, dtype=object)
-    stays = set(before["kept"].iloc[0]) if len(before) else set()
-    kept = []
-    for i, earlier in sorted(zip(rows["i"], rows["earlier"]), key=lambda r: r[0]):
-        if not stays.intersection(earlier):
-            stays.add(i)
-            kept.append(i)
-    return pd.DataFrame({"chrom_order": [key[0]], "block": [key[1]], "kept": [kept]})
+def _decide(window: int, span: int):
+    """Sites of a stretch that stay, given those that stay at the end of the stretch before; `tail` are those at its own end."""
+
+    def run(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"chrom_order": [], "stretch": [], "kept": [], "tail": []}, dtype=object)
+        stays = set(before["tail"].iloc[0]) if len(before) else set()
+        kept = []
+        for i, earlier in sorted(zip(rows["i"], rows["earlier"]), key=lambda r: r[0]):
+            if not stays.intersection(earlier):
+                stays.add(i)
+                kept.append(i)
+        end = (int(key[1]) + 1) * span
+        return pd.DataFrame({"chrom_order": [key[0]], "stretch": [key[1]], "kept": [kept], "tail": [[i for i in kept if i > end - window]]})
+
+    return run
 
 
 def ld_prune(cohort: DataFrame, window: int = WINDOW, num: int = R2_NUM, den: int = R2_DEN, excluded: DataFrame | None = None) -> DataFrame:
     """(site_id, chrom_order, pos, kept) of the sites of a cohort (site_id, chrom_order, pos, sample, dosage) outside the excluded
     ranges (chrom_order, start_pos, end_pos)."""
-    rows = cohort.filter("site_id IS NOT NULL AND chrom_order IS NOT NULL AND pos IS NOT NULL AND sample IS NOT NULL")
-    if excluded is not None:
-        rows = outside(rows, excluded)
+    rows = cohort.filter("site_id IS NOT NULL AND chrom_order IS NOT NULL AND pos IS NOT NULL AND sample IS NOT NULL").repartition("site_id", "chrom_order", "pos")
     rows = rows.groupBy("site_id", "chrom_order", "pos", "sample").agg(F.coalesce(F.max("dosage"), F.lit(-1)).alias("dosage"))
     people = [r["sample"] for r in rows.select("sample").distinct().orderBy("sample").collect()]  # a panel's people
     at = {s: k for k, s in enumerate(people)}
@@ -105,7 +110,8 @@ def ld_prune(cohort: DataFrame, window: int = WINDOW, num: int = R2_NUM, den: in
 
     held = rows.groupBy("site_id", "chrom_order", "pos").agg(F.collect_list(F.struct("sample", "dosage")).alias("g"))
     held = held.select("site_id", "chrom_order", "pos", F.pandas_udf(packed, "binary")(F.col("g.sample"), F.col("g.dosage")).alias("d"))
-    sites = stored(numbered(stored(held, "packed")).withColumn("block", F.floor(F.col("i") / window)), "sites")
+    packed_sites = stored(held, "packed")
+    sites = stored(numbered(outside(packed_sites, excluded) if excluded is not None else packed_sites).withColumn("block", F.floor(F.col("i") / window)), "sites")
     own = sites.select("chrom_order", "block", "i", "d", F.lit(False).alias("halo"))
     halo = sites.select("chrom_order", (F.col("block") + 1).alias("block"), "i", "d", F.lit(True).alias("halo"))
     kinds = dict(sites.dtypes)
@@ -114,23 +120,23 @@ def ld_prune(cohort: DataFrame, window: int = WINDOW, num: int = R2_NUM, den: in
     near = own.unionByName(halo.join(ahead, ["chrom_order", "block"], "left_semi"))
     links = stored(near.groupBy("chrom_order", "block").applyInPandas(_pairs(window, num, den), f"{blocks}, i long, earlier array<long>"), "links")
 
-    kept = None
-    todo = links
+    span = window * STRETCH
+    links = links.withColumn("stretch", F.floor(F.col("i") / span))
+    keys, schema = ["chrom_order", "stretch"], f"chrom_order {kinds['chrom_order']}, stretch long, kept array<long>, tail array<long>"
+    kept, todo = None, links
     while True:
-        was = kept.select("chrom_order", (F.col("block") + 1).alias("block"), "kept") if kept is not None else links.sparkSession.createDataFrame([], f"{blocks}, kept array<long>")
-        new = todo.groupBy("chrom_order", "block").cogroup(was.groupBy("chrom_order", "block")).applyInPandas(_decide, f"{blocks}, kept array<long>")
-        new = stored(new, "decided")
+        was = kept.select("chrom_order", (F.col("stretch") + 1).alias("stretch"), "tail") if kept is not None else links.sparkSession.createDataFrame([], f"chrom_order {kinds['chrom_order']}, stretch long, tail array<long>")
+        new = stored(todo.groupBy(*keys).cogroup(was.groupBy(*keys)).applyInPandas(_decide(window, span), schema), "decided")
         if kept is None:
-            kept, changed = new, new.select("chrom_order", "block")
+            kept, changed = new, new.filter(F.size("tail") > 0).select(*keys)
         else:
-            both = new.join(kept.withColumnRenamed("kept", "was"), ["chrom_order", "block"])
-            changed = both.filter("kept <> was").select("chrom_order", "block")
-            last, kept = kept, stored(kept.join(new.select("chrom_order", "block"), ["chrom_order", "block"], "left_anti").unionByName(new), "kept")
-            changed = stored(changed, "changed")
+            both = new.select(*keys, "tail").join(kept.select(*keys, F.col("tail").alias("was")), keys)
+            changed = stored(both.filter("tail <> was").select(*keys), "changed")
+            last, kept = kept, stored(kept.join(new.select(*keys), keys, "left_anti").unionByName(new), "kept")
             forget(last)
-        after = changed.select("chrom_order", (F.col("block") + 1).alias("block"))
-        todo = links.join(after, ["chrom_order", "block"], "left_semi")
-        if not todo.limit(1).count():
+        after = changed.select("chrom_order", (F.col("stretch") + 1).alias("stretch"))
+        todo = links.join(after, keys, "left_semi")
+        if todo.isEmpty():
             break
     stays = kept.select("chrom_order", F.explode("kept").alias("i")).withColumn("kept", F.lit(True))
     return sites.join(stays, ["chrom_order", "i"], "left").select("site_id", "chrom_order", "pos", F.coalesce("kept", F.lit(False)).alias("kept"))

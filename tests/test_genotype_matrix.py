@@ -135,3 +135,21 @@ def test_pruning_leaves_out_ranges(spark):
     got = {r["site_id"]: r["kept"] for r in L.ld_prune(df, 8, 1, 5, ranges).collect()}
     assert sorted(got) == left and [s for s in left if got[s]] == [left[i] for i in one_by_one(d[:, left], None, 8, 1, 5)]
     assert L.ld_prune(df.filter(F.lit(False))).count() == 0
+
+
+def test_thinning_takes_few_rounds(spark, monkeypatch):
+    from helixloom.operators import pruning as L
+
+    rng = np.random.default_rng(8)
+    d = rng.integers(0, 3, (600, 12))
+    df = spark.createDataFrame([(s, 1, 10 * s, p, int(d[s, p])) for s in range(600) for p in range(12)], "site_id long, chrom_order int, pos int, sample int, dosage int")
+    rounds, plain = [], L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: (rounds.append(name), plain(df, name))[1])
+    got = {r["site_id"] for r in L.ld_prune(df, 6, 1, 4).filter("kept").collect()}
+    stays = []
+    for s in range(600):
+        near = [k for k in stays if k > s - 6]
+        if not L.correlated(d[[s]], d[near], 1, 4).any() if near else True:
+            stays.append(s)
+    assert got == set(stays)
+    assert rounds.count("decided") <= 3
