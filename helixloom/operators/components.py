@@ -32,6 +32,8 @@ MOST_GRAM, STRIP_NUMBERS = 2_000, 1 << 20
 PROBES, ROUNDS = 20, 12
 #: Sums are taken in parts of at least PART_SITES sites, in TASKS parts at most.
 TASKS, PART_SITES = 64, 4_096
+#: Rows of the cohort in a part that is made ready in one task.
+PART_ROWS = 500_000
 
 
 @dataclass
@@ -130,11 +132,18 @@ def _by_subspace(rows: DataFrame, tasks: int, n: int, k: int, seed: int = 5) ->
     return values[::-1][:k], (held @ vectors)[:, ::-1][:, :k]
 
 
+def _once(cohort: DataFrame) -> DataFrame:
+    """One row of each site and person, dealt by site first: tasks that read the cohort hold no table of its rows, what follows by
+    site needs no other shuffle, and the number of parts follows from the rows, so that none grows with them."""
+    parts = max(1, -(-cohort.count() // PART_ROWS))
+    return cohort.select("site_id", "sample", "dosage").repartition(parts, "site_id").groupBy("site_id", "sample").agg(F.max("dosage").alias("dosage"))
+
+
 def principal_components(cohort: DataFrame, k: int = 10, must_have: str | int | None = None, most_gram: int = MOST_GRAM) -> Components:
     """Components of a cohort (site_id, sample, dosage). must_have: a person at whose missing sites all are left out, so that the
     person stands among the others unshrunk."""
     spark = cohort.sparkSession
-    rows = cohort.filter("site_id IS NOT NULL AND sample IS NOT NULL").groupBy("site_id", "sample").agg(F.max("dosage").alias("dosage"))
+    rows = _once(cohort.filter("site_id IS NOT NULL AND sample IS NOT NULL"))
     sites = site_statistics(rows)
     if must_have is not None:
         theirs = rows.filter((F.col("sample") == must_have) & F.col("dosage").isNotNull()).select("site_id")
@@ -168,7 +177,7 @@ def _loadings(z: DataFrame, weights: np.ndarray) -> DataFrame:
 def project(cohort: DataFrame, loadings: DataFrame) -> DataFrame:
     """(sample, axis, pc) of people (site_id, sample, dosage) on a panel's components: a join by site and a sum; missing dosages
     count as the panel's mean."""
-    rows = cohort.groupBy("site_id", "sample").agg(F.max("dosage").alias("dosage")).join(loadings, "site_id")
+    rows = _once(cohort).join(loadings, "site_id")
     z = F.coalesce((F.col("dosage") - F.col("mean")) / F.col("sd"), F.lit(0.0))
     parts = rows.select("sample", z.alias("z"), F.posexplode("loading").alias("i", "w"))
     return parts.groupBy("sample", (F.col("i") + 1).alias("axis")).agg(F.sum(F.col("z") * F.col("w")).alias("pc"))

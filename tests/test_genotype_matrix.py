@@ -153,3 +153,11 @@ def test_thinning_takes_few_rounds(spark, monkeypatch):
             stays.append(s)
     assert got == set(stays)
     assert rounds.count("decided") <= 3
+
+
+def test_parts_of_a_cohort_follow_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(C, "PART_ROWS", 100)
+    df = spark.createDataFrame([(s, p, (s + p) % 3) for s in range(90) for p in range(10)], "site_id long, sample int, dosage int")
+    plan = C._once(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [site_id" in plan and plan.rstrip().count(", 9") >= 1
+    assert C.principal_components(df, 2).sites == 90
