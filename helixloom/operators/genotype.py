@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import overlaps, points_in
+from .intervals import merge, overlaps, points_in
 
 #: Least quality of a genotype, distance within which another indel makes a site unreadable, the only state that counts
 #: as callable, autosomes, genotypes that show no variant.
@@ -40,7 +40,8 @@ def genotype_sites(sites: DataFrame, variants: DataFrame, intervals: DataFrame)
     met = overlaps(spots, spans, ["chrom_order"], ("s_start", "s_end"), ("v_start", "v_end"))
     other = ~((F.col("v_pos") == F.col("pos")) & (F.col("v_ref") == F.col("ref")) & (F.col("v_alt") == F.col("alt")))
     near = met.filter(other & (~F.col("v_indel") | longer)).select(*allele).distinct().withColumn("near", F.lit(True))
-    open_ = points_in(sites.select(*key).distinct(), intervals.filter(F.col("state") == CALLABLE), ["chrom_order"], "pos", "start_pos", "end_pos", "left_semi").withColumn("open", F.lit(True))
+    callable_ = merge(intervals.filter((F.col("state") == CALLABLE) & (F.col("start_pos") < F.col("end_pos"))), ["chrom_order"], "start_pos", "end_pos")
+    open_ = points_in(sites.select(*key).distinct(), callable_, ["chrom_order"], "pos", "start_pos", "end_pos", "left_semi").withColumn("open", F.lit(True))
     j = sites.join(here, key, "left").join(exact, allele, "left").join(inside, key, "left").join(near, allele, "left").join(open_, key, "left")
     called = F.col("call.gt")
     unsure = (F.col("shown") > 1) | ~F.col("call.filter").isin("PASS", ".") | (F.coalesce("call.gq", F.lit(0)) < MIN_GQ)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.genotype import genotype_sites
+from ..operators.storage import stored
 from .registry import query
 
 GT = """s AS (SELECT DISTINCT chrom_order, pos, other_allele AS ref, effect_allele AS alt FROM fx_weights UNION SELECT chrom_order, pos, ref, alt FROM fx_variants WHERE length(ref) <> length(alt) AND pos % 2 = 0
@@ -29,11 +30,16 @@ def _sites(t):
     return score.union(indels).union(inside).union(beside).distinct()
 
 
+def _genotypes(t):
+    t.fx_variants = stored(t.fx_variants.select("chrom_order", "pos", "ref", "alt", "filter", "gt", "gq"), "variants")  # read seven times
+    return genotype_sites(stored(_sites(t), "sites"), t.fx_variants, t.fx_intervals)
+
+
 @query("genotype_sites", f"WITH {GT} SELECT * FROM r")
 def _(t):
-    return genotype_sites(_sites(t), t.fx_variants, t.fx_intervals)
+    return _genotypes(t)
 
 
 @query("genotype_site_counts", f"WITH {GT} SELECT gt, count(*) AS n FROM r GROUP BY 1")
 def _(t):
-    return genotype_sites(_sites(t), t.fx_variants, t.fx_intervals).groupBy("gt").agg(F.count("*").alias("n"))
+    return _genotypes(t).groupBy("gt").agg(F.count("*").alias("n"))

@@ -136,3 +136,12 @@ def test_a_gene_of_many_exons_and_calls(spark):
     assert "bin" in events._jdf.queryExecution().optimizedPlan().toString()  # no join on the gene alone
     got = {(r["breakpoint"], r["exons"]): r["count"] for r in events.groupBy("breakpoint", "exons").count().collect()}
     assert got == {(True, 3): n - 2, (True, 2): 2, (False, 1): 2}
+
+
+def test_callable_intervals_are_merged_before_sites_meet_them(spark):
+    sites = spark.createDataFrame([(1, 50, "A", "G"), (1, 900, "A", "G")], "chrom_order int, pos int, ref string, alt string")
+    none = spark.createDataFrame([], "chrom_order int, pos int, ref string, alt string, filter string, gt string, gq int")
+    spans = spark.range(5000).select(F.lit(1).alias("chrom_order"), (F.col("id") % 40).cast("int").alias("start_pos"), F.lit(100).alias("end_pos"), F.lit("CALLABLE").alias("state"))
+    out = G.genotype_sites(sites, none, spans)
+    assert "_island" in out._jdf.queryExecution().analyzed().toString()
+    assert {(r["pos"], r["gt"]) for r in out.collect()} == {(50, "0/0"), (900, "./.")}
