@@ -145,3 +145,28 @@ def test_positions_whose_products_go_beyond_32_bits(spark, tmp_path):
         df.withColumn(key, F.col(key) + 1_170_000).write.parquet(str(tmp_path / f"{name}.parquet"))
     for name in ("full_findings", "full_compounds"):
         assert len(plans.QUERIES[name](spark, str(tmp_path)).collect()) > 0
+
+
+def test_filters_on_classes_and_zygosity_stay_small_enough_to_be_compiled(spark):
+    """The JVM never compiles a method of more than 8,000 bytes: a plan that copies a rule's cases into one ran ten times longer."""
+    import contextlib
+    import io
+    import re
+
+    from helixloom.plans import QUERIES
+
+    text = io.StringIO()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the final plan at once
+    try:
+        with contextlib.redirect_stdout(text):
+            QUERIES["claims_from_annotations"](spark, "/root/testdata/sf0.001").explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_rank_of_joined_terms(spark):
+    rows = [("intron&stop_gained", 9), ("splice_region", 4), ("missense&start_lost", 8), ("unheard_of", 0), ("", 0), ("not_missense", 0), (None, None)]
+    got = spark.createDataFrame(rows, "csq string, rank int").select("rank", E.consequence_rank(F.col("csq")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["rank"] for r in got]
