@@ -124,3 +124,11 @@ def test_verdicts(spark, case):
     assert observed is None or r["observed"] == observed
     noted = P.judged(df.drop("note").selectExpr("*", "'other letters' AS note")).first()
     assert noted["status"] == "not_checkable" and noted["observed"] is None
+
+
+def test_targets_and_pairs_are_worked_out_once(spark):
+    from helixloom.plans import QUERIES
+
+    df = QUERIES["indel_recounts"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Window" not in plan  # windows of targets and variants are read from files
