@@ -13,6 +13,8 @@ WS_RE = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
 #: Keys of a few 64-bit numbers; a broadcast of so many takes about 30 MB.
 BROADCAST_ROWS = 500_000
+#: What a task reads of a table, about.
+READ_BYTES = 32 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -70,9 +72,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def sized(df: DataFrame, rows: int, each: int) -> DataFrame:
-    """df in no more partitions than `rows` of `each` make: small tables don't go through all shuffle partitions."""
-    return df.coalesce(max(1, -(-rows // each)))
+def sized(df: DataFrame, rows: int, each: int, *read: DataFrame) -> DataFrame:
+    """df in no more partitions than `rows` of `each` make: small tables don't go through all shuffle partitions. `read` are written
+    tables that df is made of: few rows may come from much, so there are partitions enough for READ_BYTES of each."""
+    return df.coalesce(max(1, -(-rows // each), *[-(-size_of(x) // READ_BYTES) for x in read]))
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of a table that `written` made."""
+    files = df.inputFiles()
+    if not files:
+        return 0
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -273,7 +273,7 @@ def _judged(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): those of a written table of pairs of nodes whose sets are linked."""
     n = pairs.count()
     x, y = sets.select(F.col("node").alias("a"), F.col("h").alias("x")), sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
-    judged = sized(pairs.select("a", "b").join(y, "b").join(x, "a"), n, PAIRS_EACH).mapInPandas(_verify(num, den), "a long, b long, good boolean")
+    judged = sized(pairs.select("a", "b").join(y, "b").join(x, "a"), n, PAIRS_EACH, sets).mapInPandas(_verify(num, den), "a long, b long, good boolean")
     return judged.filter("good").select("a", "b")
 
 
@@ -324,10 +324,12 @@ def _families(df: DataFrame, key: str, text: str, width: int, rows: DataFrame, n
     remove(several, here, chosen)
     wanted = written(nodes.select("node", "row").join(spots.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = _sets(df, key, text, width, wanted)
+    # From here on only the points of those that met any other are read, and shuffled where they must be.
+    points = written(narrowed(rows.select("node", "n", "pt"), wanted.select("node"), ["node"]), "met")
 
     pairs = written(spots.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    x, y = rows.select(F.col("node").alias("a"), F.col("pt").alias("x")), rows.select(F.col("node").alias("b"), F.col("pt").alias("y"))
-    both = sized(pairs.join(y, "b").join(x, "a"), pairs.count(), PAIRS_EACH)
+    x, y = points.select(F.col("node").alias("a"), F.col("pt").alias("x")), points.select(F.col("node").alias("b"), F.col("pt").alias("y"))
+    both = sized(pairs.join(y, "b").join(x, "a"), pairs.count(), PAIRS_EACH, points)
     bounded = written(both.mapInPandas(_bounded(num, den), "a long, b long, near boolean"), "bounded")
     close = written(bounded.filter("near").select("a", "b"), "close")
     good = written(_judged(close, sets, num, den), "good")
@@ -337,7 +339,7 @@ def _families(df: DataFrame, key: str, text: str, width: int, rows: DataFrame, n
 
     # Links between those that met in a cell but are not tied together by its star; of two members, the star has compared
     # all there is.
-    used, spots_left, most = [spots, wanted, sets, bounded], spots.filter("n > 2").select("cell", "node"), 1
+    used, spots_left, most = [spots, wanted, sets, points, bounded], spots.filter("n > 2").select("cell", "node"), 1
     while True:
         now = spots_left.join(family, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
         mixed = written(now.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cell"), "mixed")
@@ -346,7 +348,7 @@ def _families(df: DataFrame, key: str, text: str, width: int, rows: DataFrame, n
         if not n:
             remove(mixed, now)
             break
-        found = written(_near_in_blocks(now, rows, num, den, most), "found")
+        found = written(_near_in_blocks(now, points, num, den, most), "found")
         near = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for d in done:
             near = near.join(d, ["a", "b"], "left_anti")
