@@ -25,7 +25,7 @@ memory in proportion to their length in one task. Sizes from MANY_GROUPS_BELOW s
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -229,25 +229,28 @@ def _join_block(num: int, den: int, most: int):
     """For each query of a block, tree points of other families whose bound allows the threshold, `most` at once, largest
     bounds first; `cut` tells that there are more."""
 
-    def run(queries: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+    def run(members: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"cell": [], "a": [], "b": [], "cut": []}
-        trees = dict(list(tree.groupby(["cell", "tb", "qb"])))
-        for k, qs in queries.groupby(["cell", "tb", "qb"]):
-            if k not in trees:
+        raw_of = dict(zip(held["node"], held["pt"]))
+        members = members.sort_values(["cell", "tb", "qb", "asks"])  # of each pair of blocks, the tree's members first
+        key, asks = members[["cell", "tb", "qb"]].to_numpy(), members["asks"].to_numpy()
+        nodes, comps = members["node"].to_numpy(), members["comp"].to_numpy()
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        for lo, hi in zip(start, np.r_[start[1:], len(key)]):
+            mid = hi - int(asks[lo:hi].sum())
+            if mid in (lo, hi):
                 continue
-            ts = trees[k]
-            points = [loaded(x) for x in ts["pt"]]
-            dims = min(min(len(p) for p in points), min(x[0] and (len(x) - 1) // x[0] for x in qs["pt"]))
+            points, queries = [loaded(raw_of[x]) for x in nodes[lo:mid]], [loaded(raw_of[x]) for x in nodes[mid:hi]]
+            dims = min(map(len, points + queries))
             points = np.stack([folded(p, dims).astype(np.int32) for p in points])
-            index, family, node = PointTree(points, num, den), ts["comp"].to_numpy(), ts["node"].to_numpy()
-            for own, comp, raw in zip(qs["node"], qs["comp"], qs["pt"]):
-                q = loaded(raw)
+            index, family, node = PointTree(points, num, den), comps[lo:mid], nodes[lo:mid]
+            for own, comp, q in zip(nodes[mid:hi], comps[mid:hi], queries):
                 q = folded(q, dims)
                 at = index.near(q)
                 at = at[family[at] != comp]
                 share = np.minimum(points[at], q).sum(axis=1) / (points[at].sum(axis=1) + q.sum())
                 first = at[np.lexsort((node[at], -share))][:most]
-                out["cell"].append(np.full(len(first), k[0]))
+                out["cell"].append(np.full(len(first), key[lo, 0]))
                 out["a"].append(np.full(len(first), own))
                 out["b"].append(node[first])
                 out["cut"].append(np.full(len(first), len(at) > most))
@@ -269,12 +272,20 @@ def _sets(df: DataFrame, key: str, text: str, width: int, wanted: DataFrame) ->
     return written(sized(one, wanted.count(), PAIRS_EACH).mapInPandas(hashed, "node long, h binary"), "sets")
 
 
-def _judged(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): those of a written table of pairs of nodes whose sets are linked."""
-    n = pairs.count()
-    x, y = sets.select(F.col("node").alias("a"), F.col("h").alias("x")), sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
-    judged = sized(pairs.select("a", "b").join(y, "b").join(x, "a"), n, PAIRS_EACH, sets).mapInPandas(_verify(num, den), "a long, b long, good boolean")
-    return judged.filter("good").select("a", "b")
+def _judged(pairs: DataFrame, sets: list[DataFrame], num: int, den: int) -> DataFrame:
+    """(a, b), written: those of a written table of pairs of nodes whose sets, in written tables, are linked. Sets of other nodes
+    are not shuffled."""
+    ends = written(_ends(pairs), "ends")
+    own = narrowed(reduce(DataFrame.unionByName, sets), ends, ["node"]) if sets else pairs.sparkSession.createDataFrame([], "node long, h binary")
+    x, y = own.select(F.col("node").alias("a"), F.col("h").alias("x")), own.select(F.col("node").alias("b"), F.col("h").alias("y"))
+    judged = sized(pairs.select("a", "b").join(y, "b").join(x, "a"), pairs.count(), PAIRS_EACH, *sets).mapInPandas(_verify(num, den), "a long, b long, good boolean")
+    out = written(judged.filter("good").select("a", "b"), "links")
+    remove(ends)
+    return out
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -322,24 +333,35 @@ def _families(df: DataFrame, key: str, text: str, width: int, rows: DataFrame, n
     chosen = written(alike.groupBy("a", "n", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell", "a", "n"), "cells")
     spots = written(joined(here, chosen, ["cell"]), "spots")
     remove(several, here, chosen)
-    wanted = written(nodes.select("node", "row").join(spots.select("node").distinct(), "node", "left_semi"), "wanted")
-    sets = _sets(df, key, text, width, wanted)
     # From here on only the points of those that met any other are read, and shuffled where they must be.
-    points = written(narrowed(rows.select("node", "n", "pt"), wanted.select("node"), ["node"]), "met")
+    wanted = written(spots.select("node").distinct(), "wanted")
+    points = written(narrowed(rows.select("node", "n", "pt"), wanted, ["node"]), "met")
+    sets: list[DataFrame] = []
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """`_judged`; the sets of nodes are made when a pair first asks for them, as points rule out most of those that met."""
+        missing = _ends(pairs)
+        for s in sets:
+            missing = missing.join(s.select("node"), "node", "left_anti")
+        missing = written(missing.join(nodes.select("node", "row"), "node"), "missing")
+        if missing.limit(1).count():
+            sets.append(_sets(df, key, text, width, missing))
+        remove(missing)
+        return _judged(pairs, sets, num, den)
 
     pairs = written(spots.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     x, y = points.select(F.col("node").alias("a"), F.col("pt").alias("x")), points.select(F.col("node").alias("b"), F.col("pt").alias("y"))
     both = sized(pairs.join(y, "b").join(x, "a"), pairs.count(), PAIRS_EACH, points)
     bounded = written(both.mapInPandas(_bounded(num, den), "a long, b long, near boolean"), "bounded")
     close = written(bounded.filter("near").select("a", "b"), "close")
-    good = written(_judged(close, sets, num, den), "good")
+    good = judged(close)
     family = written(components(good), "family")
     done = [bounded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))]
     remove(pairs, close, good)
 
     # Links between those that met in a cell but are not tied together by its star; of two members, the star has compared
     # all there is.
-    used, spots_left, most = [spots, wanted, sets, points, bounded], spots.filter("n > 2").select("cell", "node"), 1
+    used, spots_left, most = [spots, wanted, points, bounded], spots.filter("n > 2").select("cell", "node"), 1
     while True:
         now = spots_left.join(family, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
         mixed = written(now.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cell"), "mixed")
@@ -353,7 +375,7 @@ def _families(df: DataFrame, key: str, text: str, width: int, rows: DataFrame, n
         for d in done:
             near = near.join(d, ["a", "b"], "left_anti")
         near = written(sized(near, n * most, PAIRS_EACH), "near")
-        new = written(_judged(near, sets, num, den), "links")
+        new = judged(near)
         if new.limit(1).count():
             last, family = family, written(merged(family, new), "family")
             remove(last)
@@ -367,7 +389,7 @@ def _families(df: DataFrame, key: str, text: str, width: int, rows: DataFrame, n
             break
         spots_left = narrowed(spots_left, again, ["cell"])
         most *= 8
-    remove(*used)
+    remove(*used, *sets)
     return family
 
 
@@ -376,20 +398,28 @@ def _near_in_blocks(spots: DataFrame, points: DataFrame, num: int, den: int, mos
     blocks are dealt out one by one, so that what a task holds does not grow with the cell."""
     # The points of a block take about BLOCK * BLOCK_SIZE numbers, fewer members for long texts.
     heavy = F.greatest(F.lit(1.0), F.col("size") / BLOCK_SIZE)
-    sizes = spots.join(points.select("node", F.col("n").alias("size")), "node").groupBy("cell", "comp").agg(F.count("*").alias("n"), F.sum(heavy).alias("load"))
-    largest = sizes.groupBy("cell").agg(F.max(F.struct("n", "comp", "load")).alias("top"), F.sum("n").alias("all"), F.sum("load").alias("load"))
+    sizes = spots.join(points.select("node", F.col("n").alias("size")), "node").groupBy("cell", "comp").agg(F.count("*").alias("n"), F.sum(heavy).alias("load"), F.min("node").alias("a"))
+    largest = sizes.groupBy("cell").agg(F.max(F.struct("n", "comp", "load")).alias("top"), F.sum("n").alias("all"), F.sum("load").alias("load"), F.min("a").alias("a"))
     blocks = lambda x: F.ceil(x / BLOCK).cast("int")
-    largest = largest.select("cell", F.col("top.comp").alias("top"), "all", (F.col("all") - F.col("top.n")).alias("qs"), blocks(F.col("load")).alias("tbs"), blocks(F.greatest(F.lit(1.0), F.col("load") - F.col("top.load"))).alias("qbs"))
-    largest = written(largest, "blocks")
-    moved = largest.agg(F.sum(F.col("all") * F.col("qbs") + F.col("qs") * F.col("tbs"))).first()[0]
-    full = joined(spots, largest.drop("all", "qs"), ["cell"])
+    largest = largest.select("cell", "a", F.col("top.comp").alias("top"), "all", (F.col("all") - F.col("top.n")).alias("qs"), blocks(F.col("load")).alias("tbs"), blocks(F.greatest(F.lit(1.0), F.col("load") - F.col("top.load"))).alias("qbs"))
+    largest = written(largest.withColumn("moved", F.col("all") * F.col("qbs") + F.col("qs") * F.col("tbs")), "blocks")
+    moved = largest.agg(F.sum("moved")).first()[0]
+    # Cells of one smallest member hold much the same members: they go to one bucket, or as many as their rows ask for, and a
+    # bucket is given each point once.
+    parts = largest.groupBy("a").agg(F.ceil(F.sum("moved") / BLOCK).alias("parts"))
+    dealt = written(largest.join(parts, "a").select("cell", "a", "parts", "top", "tbs", "qbs"), "dealt")
+    full = joined(spots, dealt, ["cell"])
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
-    bucket = F.pmod(F.xxhash64("cell", "tb", "qb"), F.lit(max(1, -(-moved // BLOCK))))
+    part = F.pmod(F.xxhash64("cell", "tb", "qb"), F.col("parts"))
+    bucket = F.pmod(F.xxhash64("a", part), F.lit(max(1, -(-moved // BLOCK))))
     q = full.filter("comp <> top").withColumn("qb", block("qbs", 1)).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("tbs") - 1)))
     t = full.withColumn("tb", block("tbs", 2)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
-    cols = [bucket.alias("bucket"), *[F.col(c).alias(c) for c in ("cell", "tb", "qb", "node", "comp", "pt")]]  # new names for either side
-    side = lambda x: x.join(points.select("node", "pt"), "node").select(*cols).groupBy("bucket")
-    return sized(side(q).cogroup(side(t)).applyInPandas(_join_block(num, den, most), "cell long, a long, b long, cut boolean"), moved, BLOCK)
+    side = lambda x, asks: x.select(bucket.alias("bucket"), "cell", "tb", "qb", "node", "comp", F.lit(asks).alias("asks"))
+    members = side(q, True).unionByName(side(t, False))
+    held = members.select("bucket", "node").distinct().join(points.select(F.col("node").alias("of"), "pt"), F.col("node") == F.col("of"))
+    held = held.select(F.col("bucket").alias("to"), F.col("of").alias("node"), "pt")  # new names for either side
+    found = members.groupBy("bucket").cogroup(held.groupBy("to")).applyInPandas(_join_block(num, den, most), "cell long, a long, b long, cut boolean")
+    return sized(found, moved, BLOCK)
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

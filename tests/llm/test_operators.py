@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from helixloom.llm import exact_topk, html_text, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, url_filters
+from helixloom.llm import common, exact_topk, html_text, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, url_filters
 from helixloom.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -234,6 +235,33 @@ def test_ngram_join_groups_are_enough():
                 assert 185 * ngram_join.bound(ngram_join.point(a), ngram_join.point(b)) >= 85 * (len(a) + len(b))
 
 
+def test_ngram_join_makes_sets_of_close_pairs_only(spark, monkeypatch):
+    """Documents that share half of their words meet in cells; their points rule them out, and their sets are not made."""
+    head = " ".join(f"h{k}" for k in range(9))
+    texts = [f"{head} " + " ".join(f"t{i}x{k}" for k in range(6)) for i in range(60)]
+    long = " ".join(f"w{k}" for k in range(100))
+    df = spark.createDataFrame(list(enumerate([*texts, long, long + " more"])), "doc_id int, text string")
+    asked, made = [], ngram_join._sets
+    monkeypatch.setattr(ngram_join, "_sets", lambda df, key, text, width, wanted: asked.append(wanted.count()) or made(df, key, text, width, wanted))
+    got = {r["id"]: r["component_id"] for r in ngram_join.join(df, width=4, num=85, den=100).collect()}
+    assert got == {i: 60 if i == 61 else i for i in range(62)}
+    assert sum(asked) == 2
+
+
+def test_ngram_join_hands_out_each_point_once(spark, monkeypatch):
+    """Forty cells of the same six members are one bucket, which is given six points."""
+
+    def counted(*_):
+        return lambda x, y: pd.DataFrame({"cell": [sum(len(f) for f in (x, y) if "pt" in f)], "a": [0], "b": [0], "cut": [False]})
+
+    monkeypatch.setattr(ngram_join, "_join_block", counted)
+    spots = spark.createDataFrame([(c, n, n) for c in range(40) for n in range(6)], "cell long, node long, comp long")
+    raw = ngram_join.stored(ngram_join.point(np.arange(30, dtype=np.uint64)))
+    points = spark.createDataFrame([(n, 30, raw) for n in range(6)], "node long, n long, pt binary")
+    found = ngram_join._near_in_blocks(common.written(spots, "spots"), common.written(points, "points"), 85, 100, 1)
+    assert found.agg({"cell": "sum"}).first()[0] == 6
+
+
 def one_edit(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
