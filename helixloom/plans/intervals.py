@@ -60,7 +60,7 @@ def _(t):
 @query("nearest_pass_variant", """WITH p AS (SELECT DISTINCT chrom_order, pos FROM fx_variants), q AS (SELECT DISTINCT chrom_order, pos FROM fx_variants WHERE filter = 'PASS')
  SELECT p.chrom_order, p.pos, min(abs(q.pos - p.pos)) FILTER (q.pos <> p.pos) AS nearest, coalesce(max((q.pos = p.pos)::INT), 0) AS at_point FROM p LEFT JOIN q ON p.chrom_order = q.chrom_order AND q.pos BETWEEN p.pos - 10 AND p.pos + 10 GROUP BY 1, 2""")
 def _(t):
-    return I.nearest_other(t.fx_variants, t.fx_variants.filter("filter = 'PASS'"), ["chrom_order"], "pos", 10)
+    return I.nearest_other(t.fx_variants, F.col("filter") == "PASS", ["chrom_order"], "pos", 10)
 
 
 @query("gap_anti_join", """WITH c AS (SELECT chrom_order, start_pos, end_pos FROM fx_intervals WHERE state = 'CALLABLE') SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM fx_variants v WHERE v.chrom_order = c.chrom_order AND v.filter = 'PASS'

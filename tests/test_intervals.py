@@ -145,3 +145,22 @@ def test_callable_intervals_are_merged_before_sites_meet_them(spark):
     out = G.genotype_sites(sites, none, spans)
     assert "_island" in out._jdf.queryExecution().analyzed().toString()
     assert {(r["pos"], r["gt"]) for r in out.collect()} == {(50, "0/0"), (900, "./.")}
+
+
+@pytest.mark.parametrize("reach,width", [(10, CUT), (100, 16), (10, I.WIDTH)])
+def test_nearest_other(spark, reach, width):
+    rng = random.Random(8)
+    rows = [(rng.choice([0, 1, None]), rng.choice([rng.randrange(3000), CUT * rng.randrange(40), None]), rng.choice([True, False, False, None])) for _ in range(500)]
+    got = I.nearest_other(spark.createDataFrame(rows, "chrom int, pos int, yes boolean"), F.col("yes"), ["chrom"], "pos", reach, width)
+    marked = {x[:2] for x in rows if x[2] and None not in x}
+    near = lambda c, p: [abs(q - p) for d, q in marked if p is not None and d == c and abs(q - p) <= reach]
+    want = {(c, p, min([g for g in near(c, p) if g], default=None), int((c, p) in marked)) for c, p, _ in rows}
+    found = [(r["chrom"], r["pos"], r["nearest"], r["at_point"]) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_nearest_pass_variant_joins_nothing(spark):
+    from helixloom.plans import QUERIES
+
+    plan = QUERIES["nearest_pass_variant"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
