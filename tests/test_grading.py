@@ -170,3 +170,33 @@ def test_rank_of_joined_terms(spark):
     rows = [("intron&stop_gained", 9), ("splice_region", 4), ("missense&start_lost", 8), ("unheard_of", 0), ("", 0), ("not_missense", 0), (None, None)]
     got = spark.createDataFrame(rows, "csq string, rank int").select("rank", E.consequence_rank(F.col("csq")).alias("got")).collect()
     assert [r["got"] for r in got] == [r["rank"] for r in got]
+
+
+def test_claims_hold_what_predictors_name_and_what_is_known_of_genes(spark):
+    from helixloom.plans import QUERIES
+
+    told = {r["cls"]: r["n"] for r in QUERIES["claims_from_annotations"](spark, "/root/testdata/sf0.001").groupBy("cls").agg(F.count("*").alias("n")).collect()}
+    assert told["predicted"] > 100 and told["pathogenic"] > 0
+
+    base = {"chrom_order": 0, "chrom": "1", "ref": "A", "alt": "G", "filter": "PASS", "zygosity": "het", "gq": 40, "dp": 30, "vaf": 0.5, "consequence": "missense", "gene": "D", "known_gene": None, "aa_change": None, "significance": None,
+            "cls": "other", "conflicts": None, "stars": None, "popmax": None, "af_1kg": None, "flagged": None, "provider_genotype": None, "am": None, "revel": None, "loeuf": None, "low_penetrance": False, "blood_group": False}
+    path = {"cls": "pathogenic", "significance": "Pathogenic", "stars": 3}
+    rows = [
+        {"revel": 0.95},  # predictors alone
+        {"revel": 0.95, "gene": "N"},  # no disease is linked to the gene
+        {"revel": 0.95, "filter": "RefCall"},
+        {"revel": 0.95, "cls": "benign", "significance": "Benign"},  # labs have settled it
+        {"consequence": "stop_gained", "gene": "R"},  # breaks a recessive gene
+        {**path, "gene": "D"},  # disputed link
+        {**path, "gene": None, "known_gene": "R"},  # the record's gene, recessive: a carrier
+        {**path, "alt": "ATG", "provider_genotype": "AG", "gene": "X"},  # a provider's letter says nothing of an insertion
+    ]
+    schema = "chrom_order int, chrom string, ref string, alt string, filter string, zygosity string, gq int, dp int, vaf double, consequence string, gene string, known_gene string, aa_change string, significance string, cls string, conflicts string, stars int, popmax double, af_1kg double, flagged boolean, provider_genotype string, am double, revel double, loeuf double, low_penetrance boolean, blood_group boolean, pos int"
+    a = spark.createDataFrame([tuple({**base, **r, "pos": i}[x.split()[0]] for x in schema.split(", ")) for i, r in enumerate(rows)], schema)
+    genes = spark.createDataFrame([("D", "Disputed", ["AD"], None, True), ("R", "Strong", ["AR"], None, True), ("N", None, ["AR"], None, False)], "gene string, validity string, modes array<string>, rule string, disease_gene boolean")
+    got = {r["claim_id"].split("-")[2]: r for r in G.claims(a, genes).collect()}
+    assert sorted(got) == ["0", "4", "5", "6", "7"]
+    assert [got[k]["cls"] for k in ("0", "4")] == ["predicted", "predicted"] and got["0"]["reasons"] == ["revel_strong", "not_seen", "prediction_only"]
+    assert [got[k]["section"] for k in ("0", "4", "5", "6")] == ["health", "carrier", "health", "carrier"]
+    assert [got[k]["evidence_level"] for k in ("0", "5", "6", "7")] == ["Limited", "Limited", "Strong", "Strong"]
+    assert got["6"]["gene"] == "R" and got["7"]["call_confidence"] == "High"
