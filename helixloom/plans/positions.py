@@ -28,8 +28,10 @@ def _trim(p, r, a):
  y AS (SELECT *, CASE WHEN here IS NULL THEN 'no_reference' WHEN here <> ref AND home = 0 THEN 'ref_mismatch' WHEN fault IS NOT NULL THEN fault WHEN m = 0 AND NOT sure THEN 'not_callable' WHEN m > 2 THEN 'complex' WHEN haploid AND pair[1] <> pair[2] THEN 'het_haploid' WHEN m = 0 THEN 'reference' ELSE 'variant' END AS status FROM x)
  SELECT position_id, CASE WHEN status NOT IN ('reference', 'variant') THEN './.' WHEN haploid THEN pair[1]::VARCHAR ELSE pair[1] || '/' || pair[2] END AS gt, status FROM y""")
 def _(t):
+    t = t.written("fx_variants", lambda v: v.select("chrom_order", "pos", "ref", "alt", "filter", "gt", "gq"))  # positions are made of it, too
+    longest = t.fx_variants.agg(F.max(F.length("ref"))).first()[0]  # of positions, too
     p = read(t, POS).withColumn("alts", F.split("alts", ","))
-    return P.genotype_positions(p, t.fx_variants, t.fx_intervals.filter("state = 'CALLABLE'"))
+    return P.genotype_positions(p, t.fx_variants, t.fx_intervals.filter("state = 'CALLABLE'"), longest or 0)
 
 
 MARKERS = "SELECT DISTINCT chrom_order * CAST(1000000000 AS BIGINT) + pos AS marker_id, chrom_order, pos, CASE WHEN pos % 4 = 0 THEN 'A' ELSE 'G' END AS alt FROM fx_variants WHERE pos % 2 = 0"
